@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, matroska, warc
+from . import bpe, matroska, packing, token_count, warc
 
 QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op5_media": matroska.op5_media,
+    "op6_packing": packing.op6_packing,
+    "op8_token_counts": token_count.op8_token_counts,
     "op10_warc": warc.op10_warc,
 }
 
