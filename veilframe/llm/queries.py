@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, matroska, packing, token_count, warc
+from . import bpe, matroska, packing, quality, token_count, warc
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
     "op3_bpe": bpe.op3_bpe,
     "op5_media": matroska.op5_media,
     "op6_packing": packing.op6_packing,
