@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, matroska, packing, quality, token_count, warc
+from . import bpe, matroska, packing, quality, token_count, vectors, warc
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
     "op3_bpe": bpe.op3_bpe,
+    "op4_near_vectors": vectors.op4_near_vectors,
     "op5_media": matroska.op5_media,
     "op6_packing": packing.op6_packing,
     "op8_token_counts": token_count.op8_token_counts,
