@@ -74,4 +74,5 @@ def components(edges: DataFrame) -> DataFrame:
         path = after
     else:
         raise RuntimeError("components did not settle")
-    return read(path).select(F.col("u").alias("id"), F.col("v").alias("component"))
+    done = read(path)
+    return done.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(done.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
