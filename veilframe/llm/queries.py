@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, matroska, packing, quality, token_count, vectors, warc
+from . import bpe, matroska, ngram_join, packing, quality, token_count, vectors, warc
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_media": matroska.op5_media,
     "op6_packing": packing.op6_packing,
     "op8_token_counts": token_count.op8_token_counts,
+    "op9_jaccard": ngram_join.op9_jaccard,
     "op10_warc": warc.op10_warc,
 }
 
