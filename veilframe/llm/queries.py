@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, matroska, ngram_join, packing, quality, token_count, vectors, warc
+from . import bpe, matroska, ngram_join, packing, quality, suffixes, token_count, vectors, warc
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_near_vectors": vectors.op4_near_vectors,
     "op5_media": matroska.op5_media,
     "op6_packing": packing.op6_packing,
+    "op7_suffixes": suffixes.op7_suffixes,
     "op8_token_counts": token_count.op8_token_counts,
     "op9_jaccard": ngram_join.op9_jaccard,
     "op10_warc": warc.op10_warc,
