@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, matroska, ngram_join, packing, quality, suffixes, token_count, vectors, warc
+from . import bpe, html_text, matroska, ngram_join, packing, quality, suffixes, token_count, vectors, warc
 
 QUERIES = {
+    "op1_html_text": html_text.op1_html_text,
     "op2_quality": quality.op2_quality,
     "op3_bpe": bpe.op3_bpe,
     "op4_near_vectors": vectors.op4_near_vectors,
