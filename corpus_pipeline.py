@@ -1,8 +1,55 @@
-"""Placeholder until its stages exist."""
+"""A corpus pipeline over the documents table: every stage writes Parquet that the next one reads.
 
-STAGES: list = []
+1. quality: the byte-level network, trained on the labels of the documents that it gets, drops what it rejects.
+2. near_duplicates: of each group at a Jaccard similarity of 0.8 or more on five-word shingles the smallest doc_id stays.
+3. repeated_passages: strings of PASSAGE bytes that begin at two places or more go, at all their places; documents of which only
+   white space is left go.
+4. packing: what is left is packed into sequences of at most 2048 tokens, a row for each piece.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilframe.llm import ngram_join, packing, quality, suffixes
+from veilframe.llm.common import staged, table
+
+PASSAGE = 200  # bytes: a passage of over 50 words is longer
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    network = quality.train(docs, table(spark, sf_dir, "labels"))
+    judged = quality.score(docs.withColumns({"doc_id": F.col("doc_id").cast("long")}), network)
+    return judged.filter("predicted = 1").select(*docs.columns)
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.one_of_each_group(docs, n=5, percent=80)
+
+
+def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(docs, PASSAGE).filter(F.trim("text") != "")
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality", good_documents),
+    ("near_duplicates", distinct_documents),
+    ("repeated_passages", without_repeated_passages),
+    ("packing", packed_sequences),
+]
+
+#: Networks, components and packing are beyond SQL: tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
