@@ -3,7 +3,8 @@
 Equal vectors of a label are one class from the start, so that a vector that fills a third of a table is compared once.
 Centroids are fitted on at most SAMPLE_PER_CELL * cells classes (in the order of a hash of their id); every class is
 assigned. A class also visits each cell whose bounding plane is closer than SLACK times the largest distance of two
-linked vectors: with SLACK 1 no link can be missed, whatever the centroids. Cells are cut into blocks of about BLOCK rows
+linked vectors: with SLACK 1 no link can be missed, whatever the centroids, but nearly every cell is visited; a
+quarter found all 308,465 links of 51,282 random vectors with near copies (recall 1.0, README). Cells are cut into blocks of about BLOCK rows
 and each pair of blocks is one product, so memory does not depend on a cell's size; blocks give link counts and spanning
 forests, never all pairs.
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import staged, table
 from .components import components, forest
 
-THRESHOLD, SLACK = 0.93, 1.0
+THRESHOLD, SLACK = 0.93, 0.25
 CELL_ROWS, MOST_CELLS, SAMPLE_PER_CELL, BLOCK = 4000, 4096, 40, 1024
 LLOYD_ROUNDS = 8
 
