@@ -1,9 +1,9 @@
 """An exact Jaccard join of documents on sets of word n-grams.
 
-Documents with equal sets are one class. N-grams are ordered by an approximate number of documents (a fixed number of
-counters over all rows; any order gives right results, a good one keeps common n-grams out of prefixes). Two sets that
-reach the threshold share an n-gram among the first n - ceil(t n) + 1 of both, so columns of the incidence matrix over these
-prefixes give candidate groups. Inside a group blocks of documents are multiplied as sparse document by n-gram matrices,
+Documents with equal sets are one class. Sets of similar size that reach the threshold differ in at most d n-grams, so when the
+columns of the incidence matrix are dealt to d + 1 bundles by a hash, one bundle at least has the same n-grams in both:
+equal bundles give candidate groups. (A bundle holds several n-grams, so common phrases and passages make no candidates
+by themselves, however often they occur.) Inside a group blocks of documents are multiplied as sparse document by n-gram matrices,
 one block of columns after the other; overlap counts add up, and pairs whose overlap stays below the bound that their
 sizes give are discarded. Blocks return spanning forests, so no list of all pairs exists anywhere.
 
@@ -18,16 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RangeHash, drop_path, mixed, packed, sliced, staged, staged_path, table, text_bytes
+from .common import RangeHash, mixed, packed, sliced, staged, table, text_bytes
 from .components import components, forest
 
-COUNTERS = 18  # bits
-ENTRIES_PER_BUCKET = 100_000
-SMALL_COLUMN = 16  # up to this many documents, pairs of unequal size are told apart
-LOCAL_RUN = 32  # from this many documents of a column in one slice on, they are sent as one
+ENTRIES_PER_BUCKET = 250_000
 BLOCK_ROWS, BLOCK_NGRAMS, COLUMNS = 512, 1 << 20, 2048
 
 _lower = np.arange(256, dtype=np.uint8)
@@ -91,136 +90,105 @@ def marks(owner: np.ndarray, grams: np.ndarray, docs: int) -> tuple[np.ndarray,
     return size, *out
 
 
-FIRST = "doc_id long, n long, m1 long, m2 long, part int, counts binary"
-
-
-def measured(docs: DataFrame, n: int) -> DataFrame:
-    """A row for each document, and from every task its counters (part and counts set)."""
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(1 << COUNTERS, np.int64)
-        names = [x.split()[0] for x in FIRST.split(", ")]
-        for batch in sliced(batches, "text"):
-            bounds, data = text_bytes(batch.column("text"))
-            owner, grams = ngram_sets(data, bounds, n)
-            counters += np.bincount((grams >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=len(counters))
-            size, m1, m2 = marks(owner, grams, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(m1), pa.array(m2), pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary())], names=names)
-        parts = [packed(x.astype(np.uint32)) for x in np.split(counters, 64)]
-        none = pa.nulls(64, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(64), pa.int32()), pa.array(parts, pa.binary())], names=names)
-
-    return docs.mapInArrow(measure, FIRST)
-
-
-def added_up(counts: DataFrame) -> np.ndarray:
-    """The sum of all tasks' counters: a table of fixed size."""
-
-    def add(group: pa.Table) -> pa.Table:
-        total = sum((np.frombuffer(x, np.uint32).astype(np.float64) for x in group.column("counts").to_pylist()), np.zeros(1))
-        return pa.table({"part": group.column("part")[:1], "counts": pa.array([packed(total)], pa.binary())})
-
-    rows = counts.groupBy("part").applyInArrow(add, "part int, counts binary").collect()  # 64 rows of fixed size
-    return np.concatenate([np.frombuffer(r["counts"], np.float64) for r in sorted(rows, key=lambda r: r["part"])]) if rows else np.zeros(1 << COUNTERS)
-
-
-def linked_runs(columns: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> np.ndarray:
-    """For entries ordered by (column, low): whether each entry may be as large as one before it in its column."""
-    if not len(columns):
-        return np.zeros(0, bool)
-    new = np.concatenate([[True], columns[1:] != columns[:-1]])
-    group = np.cumsum(new) - 1
-    top = int(high.max()) + 1
-    most = np.maximum.accumulate(high + group * top) - group * top  # running maximum inside a column
-    joins = np.zeros(len(columns), bool)
-    joins[1:] = ~new[1:] & (100 * most[:-1] >= percent * low[1:])
-    return joins
-
-
-ENTRY = np.dtype([("gram", "<u8"), ("mark", "<i8"), ("low", "<u4"), ("high", "<u4")])
-
-
-def prefix_entries(data: np.ndarray, bounds: np.ndarray, n: int, percent: int, counters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(entries, and edges between documents of a slice that a long run has put together)."""
-    owner, grams = ngram_sets(data, bounds, n)
-    size, mark, _ = marks(owner, grams, len(bounds) - 1)
-    _, first = np.unique(mark, return_index=True)
-    chosen = np.zeros(len(size), bool)
-    chosen[first] = True  # equal sets of a slice are sent once
-    keep = chosen[owner]
-    owner, grams = owner[keep], grams[keep]
-    order = np.lexsort((grams, counters[(grams >> np.uint64(64 - COUNTERS)).astype(np.int64)], owner))
-    owner, grams = owner[order], grams[order]
-    begin = np.searchsorted(owner, np.arange(len(size)))
-    place = np.arange(len(owner)) - begin[owner]
-    prefix = size - -(-percent * size // 100) + 1
-    keep = place < prefix[owner]
-    owner, grams = owner[keep], grams[keep]
-    entries = np.empty(len(owner), ENTRY)
-    entries["gram"], entries["mark"], entries["low"], entries["high"] = grams, mark[owner], size[owner], size[owner]
-    entries = entries[np.lexsort((entries["low"], entries["gram"]))]
-    run = np.cumsum(~linked_runs(entries["gram"], entries["low"].astype(np.int64), entries["high"].astype(np.int64), percent)) - 1
-    length = np.bincount(run) if len(run) else np.zeros(0, np.int64)
-    begin = np.concatenate([[0], np.cumsum(length)])[:-1]
-    long = length[run] >= LOCAL_RUN if len(run) else np.zeros(0, bool)
-    head = begin[run[long]]
-    a, b = entries["mark"][long], entries["mark"][head]
-    lead = np.flatnonzero(length >= LOCAL_RUN)
-    entries["high"][begin[lead]] = entries["high"][begin[lead] + length[lead] - 1]
-    stays = ~long
-    stays[begin[lead]] = True
-    return entries[stays], a, b
-
-
-def column_edges(entries: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges between documents that share a column and may be alike by size."""
-    entries = np.unique(entries)
-    entries = entries[np.lexsort((entries["low"], entries["gram"]))]
-    columns, low, high = entries["gram"], entries["low"].astype(np.int64), entries["high"].astype(np.int64)
-    new = np.concatenate([[True], columns[1:] != columns[:-1]])
-    group = np.cumsum(new) - 1
-    few = np.bincount(group)[group] <= SMALL_COLUMN
-    a, b = [], []
-    for d in range(1, SMALL_COLUMN):
-        at = np.flatnonzero(few[d:] & (columns[d:] == columns[:-d]))
-        at = at[100 * high[at] >= percent * low[at + d]]
-        a.append(entries["mark"][at])
-        b.append(entries["mark"][at + d])
-    joins = np.flatnonzero(~few & linked_runs(columns, low, high, percent))
-    a.append(entries["mark"][joins - 1])
-    b.append(entries["mark"][joins])
-    return np.concatenate(a), np.concatenate(b)
-
-
-def candidate_edges(docs: DataFrame, n: int, percent: int, counters: np.ndarray, buckets: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(counters)  # of fixed size
+def size_classes(most: int, percent: int) -> np.ndarray:
+    """Where classes of set sizes begin: sets that can reach the threshold are in the same or in neighbouring classes."""
+    begin = [1, 2]
+    while begin[-1] <= most:
+        begin.append(max(begin[-1] + 1, 100 * (begin[-1] - 1) // percent + 1))
+    begin.append(max(begin[-1] + 1, 100 * (begin[-1] - 1) // percent + 1))
+    return np.array(begin, np.int64)
+
+
+def bundle_names(owner: np.ndarray, grams: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, name) of every bundle. A document meets its own size class and the next smaller one in one slot, and its own
+    and the next larger one in another; a slot's largest sets tell how many bundles it needs."""
+    begin = size_classes(int(size.max(initial=1)), percent)
+    own = np.searchsorted(begin, size, side="right") - 1
+    docs, names = [], []
+    for step in (0, 1):
+        slot = own - step
+        used = np.flatnonzero((size > 0) & (slot >= 0))
+        largest = begin[np.minimum(slot[used] + 2, len(begin) - 1)] - 1
+        bundles = np.zeros(len(size), np.int64)
+        bundles[used] = 2 * largest * (100 - percent) // (100 + percent) + 1
+        first = np.concatenate([[0], np.cumsum(bundles)])
+        sums = np.zeros(first[-1], np.uint64)
+        keep = bundles[owner] > 0
+        o, g = owner[keep], grams[keep]
+        np.add.at(sums, first[o] + ((g >> np.uint64(16)) % bundles[o].astype(np.uint64)).astype(np.int64), g)
+        doc = np.repeat(np.arange(len(size)), bundles)
+        place = np.arange(first[-1]) - first[doc]
+        docs.append(doc)
+        names.append(mixed(sums + mixed((slot[doc] << 40 | place).astype(np.uint64))))
+    return np.concatenate(docs), np.concatenate(names)
+
+
+ENTRY = np.dtype([("low", "<u4"), ("high", "<u2"), ("doc", "<u2")])  # 48 bits of the name; its bucket has more of it
+MOST_ROWS = 1 << 16  # of a slice
+
+
+def bundled(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+    """Rows of kind 0: a document's slot, id, set size and marks; rows of kind 1: edges (u, v) between slots with an equal bundle."""
+    names_ = ["bucket", "slot", "doc_id", "n", "m1", "m2", "packed"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
-            bounds, data = text_bytes(batch.column("text"))
-            entries, a, b = prefix_entries(data, bounds, n, percent, shared.value)
-            bucket = (mixed(entries["gram"]) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(edges))
-            rows = [packed(entries[order[edges[k] : edges[k + 1]]]) for k in full]
-            ids = full.tolist()
-            if len(a):
-                u, v = forest(a, b)
-                rows.append(packed(np.concatenate([u, v])))
-                ids.append(-1 - int(u[0] % buckets) if len(u) else -1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "packed"])
+        part, number = TaskContext.get().partitionId(), 0
+        for whole in sliced(batches, "text"):
+            for begin in range(0, whole.num_rows, MOST_ROWS):
+                batch = whole.slice(begin, MOST_ROWS)
+                bounds, data = text_bytes(batch.column("text"))
+                owner, grams = ngram_sets(data, bounds, n)
+                size, m1, m2 = marks(owner, grams, batch.num_rows)
+                base = (part << 24 | number) << 16
+                number += 1
+                rows = batch.num_rows
+                slots = base + np.arange(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(-1 - slots % buckets, pa.int32()), pa.array(slots), batch.column("doc_id"), pa.array(size), pa.array(m1), pa.array(m2), pa.nulls(rows, pa.binary())], names=names_)
+                doc, name = bundle_names(owner, grams, size, percent)
+                order = np.argsort(name, kind="stable")
+                doc, name = doc[order], name[order]
+                new = np.ones(len(name), bool)
+                new[1:] = name[1:] != name[:-1]
+                u, v = forest(slots[doc[1:][~new[1:]]], slots[doc[:-1][~new[1:]]]) if len(name) else (slots[:0], slots[:0])
+                doc, name = doc[new], name[new]  # a bundle that a slice has several times travels once
+                entries = np.empty(len(name), ENTRY)
+                entries["low"], entries["high"], entries["doc"] = name & np.uint64(0xFFFFFFFF), name >> np.uint64(32) & np.uint64(0xFFFF), doc
+                cuts = np.array([(k << 64) // buckets for k in range(1, buckets)], dtype=np.uint64)
+                edges = np.concatenate([[0], np.searchsorted(name, cuts), [len(name)]])
+                full = np.flatnonzero(np.diff(edges))
+                blobs = [packed(entries[edges[k] : edges[k + 1]]) for k in full]
+                ids = full.tolist()
+                if len(u):
+                    blobs.append(packed(np.concatenate([u, v])))
+                    ids.append(-1 - (number % buckets))
+                none = pa.nulls(len(ids), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([base] * len(ids), pa.int64()), none, none, none, none, pa.array(blobs, pa.binary())], names=names_)
 
     def meet(group: pa.Table) -> pa.Table:
+        blobs = group.column("packed")
         if group.column("bucket")[0].as_py() < 0:
-            halves = [np.frombuffer(x, np.int64).reshape(2, -1) for x in group.column("packed").to_pylist()]
-            u, v = np.concatenate(halves, axis=1)
+            is_doc = pc.is_null(blobs)
+            docs_ = group.filter(is_doc)
+            halves = [np.frombuffer(x.as_py(), np.int64).reshape(2, -1) for x in group.filter(pc.invert(is_doc)).column("packed")]
+            u, v = np.concatenate(halves, axis=1) if halves else np.zeros((2, 0), np.int64)
+            u, v = forest(u, v)
         else:
-            u, v = column_edges(np.concatenate([np.frombuffer(x, ENTRY) for x in group.column("packed").to_pylist()]), percent)
-        u, v = forest(u, v)
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-
-    return docs.mapInArrow(emit, "bucket int, packed binary").groupBy("bucket").applyInArrow(meet, "u long, v long")
+            docs_ = group.slice(0, 0)
+            parts = [np.frombuffer(x.as_py(), ENTRY) for x in blobs]
+            slots = np.repeat(group.column("slot").to_numpy(), [len(x) for x in parts])
+            entries = np.concatenate(parts)
+            slots = slots + entries["doc"]
+            name = entries["high"].astype(np.uint64) << np.uint64(32) | entries["low"]
+            order = np.argsort(name, kind="stable")
+            equal = name[order][1:] == name[order][:-1]
+            u, v = forest(slots[order[1:][equal]], slots[order[:-1][equal]])
+        k = len(u)
+        pad = pa.nulls(k, pa.int64())
+        join = lambda c, own: pa.concat_arrays([docs_.column(c).combine_chunks(), own])
+        return pa.table({"slot": join("slot", pa.array(u, pa.int64())), "doc_id": join("doc_id", pad), "n": join("n", pad), "m1": join("m1", pad), "m2": join("m2", pad), "v": pa.concat_arrays([pa.nulls(docs_.num_rows, pa.int64()), pa.array(v, pa.int64())])})
+
+    rows = docs.mapInArrow(emit, "bucket int, slot long, doc_id long, n long, m1 long, m2 long, packed binary")
+    return rows.groupBy("bucket").applyInArrow(meet, "slot long, doc_id long, n long, m1 long, m2 long, v long")
 
 
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -243,6 +211,8 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
 
 def compare(group: pa.Table, percent: int) -> pa.Table:
     """A block pair of a candidate group: the links found, as a forest."""
+    _, once = np.unique(group.column("cid").to_numpy(), return_index=True)  # repeated rows
+    group = group.take(pa.array(once))
     side = group.column("side").to_numpy()
     cid = group.column("cid").to_numpy()
     sets = [np.frombuffer(x, np.uint64) for x in group.column("grams").to_pylist()]
@@ -259,39 +229,36 @@ def compare(group: pa.Table, percent: int) -> pa.Table:
 
 
 def with_sets(rows: DataFrame, n: int) -> DataFrame:
-    """cid, comp, m1, blocks, text -> the same with grams (packed) in place of text, where the set is that of m1."""
+    """cid, comp, m1, m2, blocks, text -> cid, comp, blocks, grams (packed), where the set is the one that is marked."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             bounds, data = text_bytes(batch.column("text"))
             owner, grams = ngram_sets(data, bounds, n)
-            _, mark, _ = marks(owner, grams, batch.num_rows)
+            _, m1, m2 = marks(owner, grams, batch.num_rows)
             edges = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             coded = [packed(grams[a:b]) for a, b in zip(edges, edges[1:])]
             out = pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("comp"), batch.column("blocks"), pa.array(coded, pa.binary())], names=["cid", "comp", "blocks", "grams"])
-            yield out.filter(pa.array(mark == batch.column("m1").to_numpy()))
+            yield out.filter(pa.array((m1 == batch.column("m1").to_numpy()) & (m2 == batch.column("m2").to_numpy())))
 
-    return rows.select("cid", "comp", "m1", "blocks", "text").mapInArrow(build, "cid long, comp long, blocks int, grams binary")
+    return rows.select("cid", "comp", "m1", "m2", "blocks", "text").mapInArrow(build, "cid long, comp long, blocks int, grams binary")
 
 
 def jaccard_groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, text -> doc_id, n_shingles, component_id. A link: 100 * overlap >= percent * union."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = staged(measured(docs, n))
-    counters = added_up(first.filter("part is not null").select("part", "counts"))
-    rows = first.filter("part is null").select("doc_id", "n", "m1", "m2")
-    classes = staged(rows.filter("n > 0").groupBy("n", "m1", "m2").agg(F.min("doc_id").alias("least")).withColumn("cid", F.monotonically_increasing_id()))
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    buckets = max(8, total * (100 - percent) // 100 // ENTRIES_PER_BUCKET)
-    edges_path = staged_path(candidate_edges(docs, n, percent, counters, int(buckets)))
-    candidates = staged(components(spark.read.schema("u long, v long").parquet(edges_path)))
-    drop_path(spark, edges_path)
-    members = classes.join(candidates.withColumnRenamed("component", "comp"), F.col("m1") == F.col("id")).select("cid", "n", "m1", "least", "comp")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    per_gram = 4.5 * (100 - percent) / (100 + percent)  # bundles of an n-gram, roughly; words of six bytes
+    first = staged(bundled(docs, n, percent, int(size / 6 * per_gram // ENTRIES_PER_BUCKET + 8)))
+    rows = first.filter("v is null").select("doc_id", "slot", "n", "m1", "m2")
+    classes = staged(rows.filter("n > 0").groupBy("n", "m1", "m2").agg(F.min("doc_id").alias("least"), F.min("slot").alias("cid")))
+    candidates = staged(components(first.filter("v is not null").select("slot", "v")))
+    members = classes.join(candidates.withColumnRenamed("component", "comp"), F.col("cid") == F.col("id")).select("cid", "n", "m1", "m2", "least", "comp")
     sizes = members.groupBy("comp").agg(F.count("*").alias("k"), F.sum("n").alias("all")).filter("k > 1")
     blocks = F.greatest(F.ceil(F.col("k") / BLOCK_ROWS), F.ceil(F.col("all") / BLOCK_NGRAMS)).cast("int")
     members = members.join(sizes.select("comp", blocks.alias("blocks")), "comp")
-    sets = with_sets(docs.join(members, F.col("doc_id") == F.col("least")), n).dropDuplicates(["cid"])
+    sets = with_sets(docs.join(members, F.col("doc_id").eqNullSafe(F.col("least"))), n)
     own = F.pmod(F.xxhash64("cid"), F.col("blocks").cast("long")).cast("int")
     to_right = F.transform(F.sequence("b", F.col("blocks") - 1), lambda j: F.struct(F.col("b").alias("i"), j.alias("j"), F.lit(0).alias("side"), (j == F.col("b")).alias("alone")))
     to_left = F.transform(F.filter(F.sequence(F.lit(0), F.col("b")), lambda i: i < F.col("b")), lambda i: F.struct(i.alias("i"), F.col("b").alias("j"), F.lit(1).alias("side"), F.lit(False).alias("alone")))
@@ -300,6 +267,7 @@ def jaccard_groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
     groups = staged(components(links).withColumnRenamed("id", "cid"))
     least = groups.join(classes.select("cid", "least"), "cid").groupBy("component").agg(F.min("least").alias("component_id"))
     named = classes.join(groups.join(least, "component").select("cid", "component_id"), "cid", "left").select(F.col("n").alias("n_"), F.col("m1").alias("a_"), F.col("m2").alias("b_"), F.coalesce("component_id", "least").alias("component_id"))
+    rows = rows.drop("slot")
     out = rows.join(named, (F.col("n") == F.col("n_")) & (F.col("m1") == F.col("a_")) & (F.col("m2") == F.col("b_")), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
