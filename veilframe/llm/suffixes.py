@@ -31,7 +31,7 @@ from .common import RangeHash, mixed, packed, sliced, staged, table, text_bytes
 
 LENGTH = 400
 NAMES_PER_BUCKET = 200_000
-SLICE = 2 << 20
+SLICE, NAMED_SLICE = 2 << 20, 1 << 20
 _first, _second = RangeHash(21), RangeHash(22)
 SAMPLE = np.dtype([("name", "<u8"), ("at", "<u4")])
 ALREADY = np.uint32(1 << 31)  # in `at` and in check words: this slice has it more than once
@@ -158,8 +158,11 @@ def sample_survivors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
 
 def starts_of(ranges: list[np.ndarray], bounds: np.ndarray) -> np.ndarray:
     """Places in the slice of all strings to name."""
-    out = [np.arange(low, high + 1) + at for at, own in zip(bounds[:-1].tolist(), ranges) for low, high in np.asarray(own).reshape(-1, 2)]
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+    wanted = np.zeros(int(bounds[-1] - bounds[0]), bool)
+    for at, own in zip((bounds[:-1] - bounds[0]).tolist(), ranges):
+        for low, high in np.asarray(own).reshape(-1, 2).tolist():
+            wanted[at + low : at + high + 1] = True
+    return np.flatnonzero(wanted) + int(bounds[0])
 
 
 def named(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -174,8 +177,11 @@ def ordered_names(group: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray,
     bounds, data = text_bytes(group.column("text").combine_chunks())
     starts = starts_of(group.column("ranges").to_pylist(), bounds)
     names = named(data, starts, length)
-    order = np.lexsort((names["check"], names["name"]))
+    order = np.argsort(names["name"], kind="stable")
     names = names[order]
+    if ((names["name"][1:] == names["name"][:-1]) & (names["check"][1:] != names["check"][:-1])).any():
+        again = np.lexsort((names["check"], names["name"]))
+        order, names = order[again], names[again]
     new, many = runs(names)
     return data, bounds, starts[order], new, many, names
 
@@ -194,12 +200,12 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for batch in sliced(batches, "text", SLICE):
             bounds, data = text_bytes(batch.column("text"))
             sums = _first.sums(data)
-            least = [int(mixed(_first.of(sums, at := starts_of([own], np.array([b, b])), at + w)).min() >> np.uint64(1)) for b, own in zip(bounds[:-1], batch.column("ranges").to_pylist())]
+            least = [int(mixed(_first.of(sums, at := starts_of([own], np.array([b, e])), at + w)).min() >> np.uint64(1)) for b, e, own in zip(bounds[:-1], bounds[1:], batch.column("ranges").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("text"), batch.column("ranges"), pa.array(least, pa.int64())], names=["key", "text", "ranges", "cluster"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        for batch in sliced(batches, "text", SLICE):
+        for batch in sliced(batches, "text", NAMED_SLICE):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part << 32 | number] * batch.num_rows, pa.int64())], names=[*batch.schema.names, "slice"])
             number += 1
 
