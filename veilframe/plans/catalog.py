@@ -1,6 +1,346 @@
-"""The queries of the engine and the SQL that they are held against."""
+"""The queries of the engine and the SQL that they are held against.
+
+events and orders stand in for the job history, which the tables lack. The SQL's IPv4 rule has no look-behind (DuckDB knows
+none); it is the same on these tables, where no version number stands before an address.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import paths, scalars
+from ..functions.encoding import LINE, detect, with_encoding, with_lines
+from ..functions.masking import OUTSIDE, masked
+from ..functions.rules import DEFAULT_RULES, NON_ASCII, category, fixed_width, keyword_table, rule_table
+from ..operators import jobs
+from ..operators.audit import audit, file_totals, job_total, unit_hits, with_keywords
+from ..operators.sanitize import hit_rows, sanitized
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+MORE_RULES = [r"[\w.+-]+@[\w-]+\.[\w.]+", r"token", r"\b\d{13,16}\b", r"secret"]
+
+
+def query(sql: str | None = None):
+    def register(function):
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def sql_rule(rule: str) -> str:
+    """A rule in DuckDB's dialect: without look-behind and named groups."""
+    while rule.startswith("(?<!"):
+        rule = rule[rule.index(")") + 1 :]
+    return "(?i)" + rule.replace("(?P<ipv4>", "(?:")
+
+
+def sql_fold(source: str, column: str, rules: list[str], keys: str) -> str:
+    """CTEs f0, f1, ...: keys, text t and counts n0, n1, ... after every step."""
+    parts = [f"f0 AS (SELECT {keys}, regexp_replace({column}, {quoted(OUTSIDE)}, 'X', 'g') AS t, len(regexp_extract_all({column}, {quoted(OUTSIDE)}))::BIGINT AS n0 FROM {source})"]
+    for i, rule in enumerate(rules, 1):
+        p, width = quoted(sql_rule(rule)), fixed_width(rule)
+        if width:
+            new = f"regexp_replace(t, {p}, '{'X' * width}', 'g')"
+        else:
+            new = f"CASE WHEN regexp_matches(t, {p}) THEN array_to_string(list_transform(list_zip(string_split_regex(t, {p}), list_concat(list_transform(regexp_extract_all(t, {p}), lambda m: repeat('X', length(m))), [''])), lambda z: z[1] || z[2]), '') ELSE t END"
+        parts.append(f"f{i} AS MATERIALIZED (SELECT * EXCLUDE (t), {new} AS t, len(regexp_extract_all(t, {p}))::BIGINT AS n{i} FROM f{i - 1})")
+    return ",\n".join(parts)
+
+
+def sql_total(rules: list[str]) -> str:
+    return " + ".join(f"n{i}" for i in range(len(rules) + 1))
+
+
+N = len(DEFAULT_RULES)
+LINES = f"units AS (SELECT doc_id::VARCHAR AS file, unnest(regexp_extract_all(text, {quoted('[^\\r\\n]*(?:\\r\\n|\\r|\\n)|[^\\r\\n]+$')})) AS line, unnest(range(1, len(regexp_extract_all(text, {quoted('[^\\r\\n]*(?:\\r\\n|\\r|\\n)|[^\\r\\n]+$')})) + 1))::BIGINT AS ordinal FROM documents)"
+KINDS = [NON_ASCII, *(category(r, i) for i, r in enumerate(DEFAULT_RULES, 1))]
+HITS = f"WITH {LINES}, {sql_fold('units', 'line', DEFAULT_RULES, 'file, ordinal')}, hits AS (" + " UNION ALL ".join(f"SELECT file, ordinal, {quoted(k)} AS match_type, n{i} AS n FROM f{N} WHERE n{i} > 0" for i, k in enumerate(KINDS)) + ")"
+AUDIT = HITS + ", audit AS (SELECT file, match_type, sum(n)::BIGINT AS occurrences, 'Line ' || min(ordinal) AS location FROM hits GROUP BY ALL)"
+
+
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as text units."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), "text")
+    return with_lines(docs, "text").select("file", F.col("line_no").cast("long").alias("ordinal"), F.concat(F.lit("Line "), "line_no").alias("location"), F.col("line").alias("text"))
+
+
+@query(f"WITH {sql_fold('documents', 'text', [], 'doc_id')} SELECT doc_id, t AS masked, n0 AS n FROM f0")
+def mask_nonascii(spark, sf_dir):
+    return masked(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", []).select("doc_id", "masked", F.col("total").alias("n"))
+
+
+@query(f"WITH {sql_fold('documents', 'text', DEFAULT_RULES, 'doc_id')} SELECT doc_id, t AS sanitized, {sql_total(DEFAULT_RULES)} AS total FROM f{N}")
+def mask_documents(spark, sf_dir):
+    return masked(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", DEFAULT_RULES).select("doc_id", F.col("masked").alias("sanitized"), "total")
+
+
+@query(ORACLES["mask_documents"])
+def mask_documents_python(spark, sf_dir):
+    return masked(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", DEFAULT_RULES, native=False).select("doc_id", F.col("masked").alias("sanitized"), "total")
+
+
+@query(f"WITH {sql_fold('pages', 'html', DEFAULT_RULES, 'page_id')} SELECT page_id, t AS sanitized, {sql_total(DEFAULT_RULES)} AS total FROM f{N}")
+def mask_pages(spark, sf_dir):
+    return masked(table(spark, sf_dir, "pages").select("page_id", "html"), "html", DEFAULT_RULES).select("page_id", F.col("masked").alias("sanitized"), "total")
+
+
+@query(f"WITH {sql_fold('conversations', 'text', DEFAULT_RULES, 'conv_id, turn')} SELECT conv_id, turn, t AS sanitized, {sql_total(DEFAULT_RULES)} AS total FROM f{N}")
+def mask_conversations(spark, sf_dir):
+    return masked(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text", DEFAULT_RULES).select("conv_id", "turn", F.col("masked").alias("sanitized"), "total")
+
+
+@query(f"WITH {sql_fold('documents', 'text', MORE_RULES, 'doc_id')} SELECT doc_id, t AS sanitized, {', '.join(f'n{i}' for i in range(len(MORE_RULES) + 1))} FROM f{len(MORE_RULES)}")
+def mask_other_rules(spark, sf_dir):
+    done = masked(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", MORE_RULES)
+    return done.select("doc_id", F.col("masked").alias("sanitized"), *(F.col("hits")[i].alias(f"n{i}") for i in range(len(MORE_RULES) + 1)))
+
+
+def sql_category() -> str:
+    low = "lower(pattern)"
+    has = lambda *parts: "(" + " AND ".join(f"contains({low}, {quoted(p)})" for p in parts) + ")"
+    cases = [("Email Address", [has("@"), has("email")]), ("IPv4 Address", [has("ipv4"), has(r"\d{1,3}", r"\.")]), ("IPv6 Address", [has("ipv6"), has("[0-9a-f", ":")]), ("MAC Address", [has("mac"), has(":", "{6}")]), ("Credential / Secret", [has("password"), has("passwd"), has("secret"), has("token"), has("api", "key")]), ("URL", [has("http"), has("url")]), ("Hostname / Domain", [has("host"), has("domain")]), ("Identity", [has("user"), has("employee")])]
+    return "CASE " + " ".join(f"WHEN {' OR '.join(tests)} THEN {quoted(name)}" for name, tests in cases) + " ELSE 'Custom Rule ' || rule_ix END"
+
+
+CATALOG_RULES = [*DEFAULT_RULES, *MORE_RULES, r"([0-9a-f]{2}:){5}", r"https?://\S+", r"\bhost\d+\b", r"employee-\d+", r"api[_-]?key"]
+RULES_SQL = f"rules AS (SELECT rule_ix, pattern, {sql_category()} AS kind FROM (VALUES " + ", ".join(f"({i}, {quoted(r)})" for i, r in enumerate(CATALOG_RULES, 1)) + ") v(rule_ix, pattern))"
+
+
+@query(f"WITH {RULES_SQL} SELECT rule_ix, pattern, kind FROM rules")
+def rule_catalog(spark, sf_dir):
+    return rule_table(spark, CATALOG_RULES)
+
+
+@query(f"WITH {RULES_SQL} SELECT kind, string_agg(pattern, ' | ' ORDER BY rule_ix) AS keywords FROM rules GROUP BY kind")
+def rule_keywords(spark, sf_dir):
+    return keyword_table(spark, CATALOG_RULES)
+
+
+@query(f"WITH {sql_fold('documents', 'text', DEFAULT_RULES, 'doc_id')} SELECT unnest(range({N + 1}))::INTEGER AS place, unnest([{', '.join(f'sum(n{i})' for i in range(N + 1))}])::BIGINT AS n FROM f{N}")
+def rule_hits(spark, sf_dir):
+    done = masked(table(spark, sf_dir, "documents").select("text"), "text", DEFAULT_RULES)
+    return done.select(F.posexplode("hits").alias("place", "hit")).groupBy("place").agg(F.sum("hit").alias("n"))
+
+
+@query(AUDIT + " SELECT * FROM audit")
+def audit_lines(spark, sf_dir):
+    return audit(unit_hits(document_lines(spark, sf_dir), DEFAULT_RULES))
+
+
+@query(AUDIT + f", {RULES_SQL.replace('rules AS', 'known AS')} SELECT file, match_type, occurrences, location, coalesce(CASE WHEN match_type = {quoted(NON_ASCII)} THEN match_type END, (SELECT string_agg(pattern, ' | ' ORDER BY rule_ix) FROM known WHERE kind = match_type AND rule_ix <= {N}), match_type) AS keywords FROM audit")
+def audit_keywords(spark, sf_dir):
+    return with_keywords(audit(unit_hits(document_lines(spark, sf_dir), DEFAULT_RULES)), DEFAULT_RULES)
+
+
+@query(HITS + " SELECT file, sum(n)::BIGINT AS replacements FROM hits GROUP BY file")
+def summary_by_file(spark, sf_dir):
+    return file_totals(unit_hits(document_lines(spark, sf_dir), DEFAULT_RULES))
+
+
+@query(HITS + " SELECT sum(n)::BIGINT AS total_replacements FROM hits")
+def job_total_hits(spark, sf_dir):
+    return job_total(unit_hits(document_lines(spark, sf_dir), DEFAULT_RULES))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '[^\\r\\n]*(?:\\r\\n|\\r|\\n)|[^\\r\\n]+$'))::BIGINT AS n_lines, sum(length(text))::BIGINT AS n_characters FROM documents WHERE text <> '' GROUP BY ALL")
+def text_lines(spark, sf_dir):
+    return with_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).cast("long").alias("n_characters"))
+
+
+LAST = "list_extract(string_split(url, '/'), -1)"
+SUFFIX = "CASE WHEN regexp_matches({0}, '[^.].*\\.[^.]+$') THEN regexp_extract({0}, '(\\.[^.]+)$', 1) ELSE '' END"
+
+
+@query(f"""SELECT page_id, CASE WHEN c = '' THEN 'file' ELSE c END AS name, n FROM (SELECT page_id, regexp_replace(regexp_replace({LAST}, {quoted(paths.BAD_CHARACTER)}, 'X', 'g'), '[ .]+$', '') AS c, len(regexp_extract_all({LAST}, {quoted(paths.BAD_CHARACTER)}))::BIGINT AS n FROM pages)""")
+def sanitize_names(spark, sf_dir):
+    last = F.element_at(F.split("url", "/"), -1)
+    return table(spark, sf_dir, "pages").select("page_id", paths.safe_name_column(last).alias("s")).select("page_id", "s.name", "s.n")
+
+
+@query(f"""WITH p AS (SELECT page_id, list_filter(string_split(replace(url, '\\', '/'), '/'), lambda x: x NOT IN ('', '.', '..')) AS parts FROM pages)
+SELECT page_id, array_to_string(list_transform(parts, lambda x: CASE WHEN regexp_replace(regexp_replace(x, {quoted(paths.BAD_CHARACTER)}, 'X', 'g'), '[ .]+$', '') = '' THEN 'file' ELSE regexp_replace(regexp_replace(x, {quoted(paths.BAD_CHARACTER)}, 'X', 'g'), '[ .]+$', '') END), '/') AS safe_path, len(parts)::INTEGER AS n_parts FROM p""")
+def relative_paths(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", paths.safe_path_column(F.col("url")).alias("safe_path"), F.size(paths.components_column(F.col("url"))).alias("n_parts"))
+
+
+FILE = "'f' || page_id || CASE page_id % 12 WHEN 0 THEN '.TXT' WHEN 1 THEN '.pdf' WHEN 2 THEN '.tar.gz' WHEN 3 THEN '.xlsx' WHEN 4 THEN '.exe' WHEN 5 THEN '.yaml' WHEN 6 THEN '.docx' WHEN 7 THEN '.zip' WHEN 8 THEN '' WHEN 9 THEN '.xls' WHEN 10 THEN '.tbz2' ELSE '.odd' END"
+SQL_ARCHIVE = "CASE " + " ".join(f"WHEN ends_with(lower(name), '{x}') THEN '{x}'" for x in paths.COMPOUND) + f" ELSE {SUFFIX.format('lower(name)')} END"
+
+
+def _in(values: list[str]) -> str:
+    return ", ".join(map(quoted, values))
+
+
+@query(f"""WITH n AS (SELECT page_id, {FILE} AS name FROM pages), s AS (SELECT *, {SUFFIX.format('lower(name)')} AS e, {SQL_ARCHIVE} AS a FROM n)
+SELECT page_id, name, CASE WHEN e IN ('.pdf', '.docx', '.xlsx', '.xls') THEN substr(e, 2) WHEN a IN ({_in(paths.ARCHIVES)}) THEN 'archive' WHEN e IN ({_in(paths.BINARY)}) THEN 'binary' WHEN e IN ({_in(paths.TEXT + paths.TEXT_LIKE)}) THEN 'text' ELSE 'unknown' END AS format,
+ a AS archive_suffix, CASE WHEN a IN ({_in(paths.ARCHIVES)}) THEN substr(name, 1, length(name) - length(a)) || '_SANITIZED' || substr(name, length(name) - length(a) + 1) ELSE substr(name, 1, length(name) - length(e)) || '_SANITIZED' || substr(name, length(name) - length(e) + 1) END AS download_name FROM s""")
+def format_dispatch(spark, sf_dir):
+    named = table(spark, sf_dir, "pages").select("page_id", F.expr(FILE).alias("name"))
+    name = F.col("name")
+    return named.select("page_id", "name", paths.format_column(name).alias("format"), paths.archive_suffix_column(name).alias("archive_suffix"), paths.download_name_column(name).alias("download_name"))
+
+
+@query("""WITH n AS (SELECT doc_id, source AS folder, lang || '.txt' AS name FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY doc_id) - 1 AS k FROM n)
+SELECT doc_id, folder, name, CASE WHEN k = 0 THEN name ELSE substr(name, 1, length(name) - 4) || '_' || k || '.txt' END AS unique_name FROM r""")
+def unique_file_names(spark, sf_dir):
+    named = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("folder"), F.concat("lang", F.lit(".txt")).alias("name"))
+    return paths.with_unique_names(named, "folder", "name", "doc_id")
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as text files in folders."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.encode("text", "UTF-8").alias("content"))
+
+
+@query(f"WITH {sql_fold('documents', 'text', DEFAULT_RULES, 'doc_id, source')} SELECT source || '/' || doc_id || '.txt' AS path, md5(t) AS content_md5, ({sql_total(DEFAULT_RULES)})::BIGINT AS total FROM f{N}")
+def sanitize_files(spark, sf_dir):
+    return sanitized(document_files(spark, sf_dir), DEFAULT_RULES).select("path", F.md5("content").alias("content_md5"), "total")
+
+
+@query(AUDIT.replace("doc_id::VARCHAR AS file", "source || '/' || doc_id || '.txt' AS file") + " SELECT * FROM audit")
+def sanitize_files_audit(spark, sf_dir):
+    return audit(hit_rows(sanitized(document_files(spark, sf_dir), DEFAULT_RULES)))
+
+
+@query()
+def encoding_detect(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    text = F.col("text")
+    forms = F.array(*(F.struct(F.lit(name).alias("form"), content.alias("content")) for name, content in (("utf-8", F.encode(text, "UTF-8")), ("utf-8 with mark", F.concat(F.lit(b"\xef\xbb\xbf"), F.encode(text, "UTF-8"))), ("utf-16-le", F.encode(text, "UTF-16LE")), ("utf-16-be with mark", F.concat(F.lit(b"\xfe\xff"), F.encode(text, "UTF-16BE"))), ("latin", F.encode(text, "ISO-8859-1")))))
+    files = docs.select("doc_id", F.explode(forms).alias("f")).select("doc_id", "f.form", "f.content")
+    return with_encoding(files).select("doc_id", "form", "codec", F.hex("mark").alias("mark"))
+
+
+@query("SELECT event_id, ts, user_id, event_type FROM events ORDER BY ts DESC, event_id LIMIT 500")
+def latest_events(spark, sf_dir):
+    return jobs.latest(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type"), 9999, "ts", "event_id")
+
+
+@query("SELECT event_id, user_id, event_type, props FROM events WHERE contains(lower(event_id || '|' || user_id || '|' || event_type || '|' || coalesce(props, '')), '\"k\": 9')")
+def history_search(spark, sf_dir):
+    return jobs.search(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props"), '"K": 9')
+
+
+@query("SELECT count(*) AS jobs, count_if(event_type = 'purchase')::BIGINT AS done, count_if(event_type = 'error')::BIGINT AS failed, sum(user_id)::BIGINT AS replacements FROM (SELECT * FROM events)")
+def kpis(spark, sf_dir):
+    status = F.when(F.col("event_type") == "purchase", "Done").when(F.col("event_type") == "error", "Failed").otherwise("Queued")
+    return jobs.figures(table(spark, sf_dir, "events").withColumn("status", status), amount="user_id")
+
+
+NOW = "2024-01-31 00:00:00"
+
+
+@query(f"SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 10 DAY")
+def retention(spark, sf_dir):
+    return jobs.retained(table(spark, sf_dir, "events").select("event_id", "ts"), F.lit(NOW).cast("timestamp_ntz" if dict(table(spark, sf_dir, "events").dtypes)["ts"] == "timestamp_ntz" else "timestamp"), 10, "ts")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus IN ('O', 'P') THEN 'Failed' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def restart_fixup(spark, sf_dir):
+    return jobs.after_restart(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), F.current_timestamp(), "o_orderstatus", ["O", "P"])
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'Queued' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice FROM orders")
+def upsert_latest(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return jobs.upsert(orders, orders.filter("o_orderkey % 7 = 0").select("o_orderkey", F.lit("Queued").alias("o_orderstatus")), "o_orderkey")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey = 370 THEN 'Done' ELSE o_orderstatus END AS status FROM orders")
+def update_jobs(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status"))
+    return jobs.update(orders, F.col("o_custkey") == 370, F.current_timestamp(), {"status": "Done", "o_orderkey": -1}).select("o_orderkey", "status")
+
+
+@query("SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k FROM events")
+def props_json(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.from_json("props", "k long")["k"], F.lit(0)).alias("k"))
+
+
+@query("SELECT conv_id, list(role ORDER BY turn) AS roles, string_agg(role, ', ' ORDER BY turn) AS joined FROM conversations GROUP BY conv_id")
+def file_name_lists(spark, sf_dir):
+    """Names as JSON arrays and back, as the history keeps them."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])
+    kept = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(ordered).alias("filenames"))
+    return kept.select("conv_id", scalars.file_names(F.col("filenames")).alias("roles"), F.array_join(scalars.file_names(F.col("filenames")), ", ").alias("joined"))
+
+
+@query("SELECT * FROM customer WHERE c_custkey = 37")
+def job_lookup(spark, sf_dir):
+    return jobs.job(table(spark, sf_dir, "customer"), "c_custkey", 37)
+
+
+@query("SELECT c_name AS username, c_mktsegment AS role FROM customer ORDER BY c_name")
+def user_list(spark, sf_dir):
+    return jobs.users(table(spark, sf_dir, "customer").select(F.col("c_name").alias("username"), F.col("c_mktsegment").alias("role")))
+
+
+@query("SELECT count(*) AS admins FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_acctbal > 0")
+def admin_count(spark, sf_dir):
+    return jobs.admins(table(spark, sf_dir, "customer").select(F.when(F.col("c_mktsegment") == "MACHINERY", "admin").alias("role"), (F.col("c_acctbal") > 0).cast("int").alias("enabled")))
+
+
+@query("SELECT line_no, value FROM (SELECT event_id AS line_no, event_type AS value FROM events ORDER BY event_id DESC LIMIT 500) ORDER BY line_no")
+def log_tail(spark, sf_dir):
+    return jobs.log_tail(table(spark, sf_dir, "events").select(F.col("event_id").alias("line_no"), F.col("event_type").alias("value")), 10_000)
+
+
+@query("""SELECT o_orderkey::VARCHAR AS job_id, o_orderstatus = 'F' AS download_available, CASE WHEN o_orderstatus = 'F' AND o_custkey % 2 = 0 THEN '/download/' || o_orderkey || '?token=t' || o_custkey END AS download, coalesce(o_totalprice, 0) AS duration FROM orders""")
+def public_jobs(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("job_id"), F.lit("Done").alias("status"), F.col("o_orderdate").alias("created_at"), F.lit(None).cast("timestamp").alias("completed_at"), F.lit(None).cast("string").alias("created_by"), F.lit("[]").alias("filenames"), F.lit(1).alias("total_replacements"), F.col("o_totalprice").alias("duration"), F.lit(None).cast("string").alias("error"), F.when(F.col("o_orderstatus") == "F", "out").alias("output_path"), F.lit("").alias("report_path"), F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("t"), "o_custkey")).alias("token"))
+    return jobs.public(orders).select("job_id", "download_available", "download", "duration")
+
+
+@query("""SELECT event_id, greatest(least(user_id, 40), 5) AS clamped, 10 + floor(user_id / 100.0 * 70)::INTEGER AS progress, CASE WHEN event_id < 1024 THEN event_id || ' B' ELSE printf('%.1f KB', event_id / 1024.0) END AS size,
+ CASE WHEN regexp_matches(lower(trim(event_type)), '^[\\p{L}\\p{N}._\\-@]+$') THEN lower(trim(event_type)) END AS user_name, '/' AS target FROM events WHERE event_id < 1048576""")
+def display_values(spark, sf_dir):
+    events = table(spark, sf_dir, "events").filter("event_id < 1048576")
+    return events.select("event_id", scalars.clamp(F.col("user_id"), 5, 40).alias("clamped"), scalars.progress(F.col("user_id"), F.lit(100)).alias("progress"), scalars.human_bytes(F.col("event_id")).alias("size"), scalars.user_name(F.col("event_type")).alias("user_name"), scalars.local_target(F.concat(F.lit("//"), "event_type")).alias("target"))
+
+
+@query("SELECT doc_id, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 260) AS example FROM documents")
+def audit_examples(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.example(F.col("text")).alias("example"))
+
+
+def _packages(spark: SparkSession, sf_dir: str, end: str) -> DataFrame:
+    """A generated archive or Office package for every conversation."""
+    import pyarrow as pa
+
+    from ..sources.samples import sample
+
+    grouped = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("texts"))
+
+    def build(batches):
+        for batch in batches:
+            made = [sample(end, texts) for texts in batch.column("texts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([f"c{i}{end}" for i in batch.column("conv_id").to_pylist()]), pa.array(made, pa.binary())], names=["path", "content"])
+
+    return grouped.mapInArrow(build, "path string, content binary")
+
+
+def _package_query(name: str, end: str):
+    def run(spark, sf_dir):
+        return sanitized(_packages(spark, sf_dir, end), DEFAULT_RULES).select("path", "safe_path", "total", "error", F.length("content").alias("n_bytes"))
+
+    run.__name__ = name
+    query()(run)
+
+
+for _name, _end in (("archive_roundtrip", ".zip"), ("tar_roundtrip", ".tar.gz"), ("docx_mask", ".docx"), ("xlsx_mask", ".xlsx")):
+    _package_query(_name, _end)
