@@ -209,9 +209,10 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part << 32 | number] * batch.num_rows, pa.int64())], names=[*batch.schema.names, "slice"])
             number += 1
 
-    # Likely copies come near each other, so that most repeated strings meet inside a slice and travel once.
+    # Likely copies come near each other, so that most repeated strings meet inside a slice and travel once. This is only a
+    # matter of cost, so a partition with a large group of copies may be split anywhere.
     found = docs.join(wanted, "key").select("key", F.col("text").alias("text"), "ranges").mapInArrow(cluster, "key long, text string, ranges array<int>, cluster long")
-    near = found.repartition("cluster").sortWithinPartitions("cluster").select("key", "text", "ranges")
+    near = found.hint("rebalance", "cluster").sortWithinPartitions("cluster").select("key", "text", "ranges")
     held = staged(near.mapInArrow(cut, "key long, text string, ranges array<int>, slice long"))
     places = F.aggregate(F.transform("ranges", lambda x, i: F.when(i % 2 == 0, 1 - x).otherwise(x).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     buckets = int((held.agg(F.sum(places)).first()[0] or 0) // NAMES_PER_BUCKET + 8)
@@ -297,10 +298,10 @@ def without_repeats(docs: DataFrame, length: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             texts = [kept_bytes(t.encode("utf-8"), s).decode("utf-8", "ignore") for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.string())], names=["key_", "kept_"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.string())], names=["__key", "__kept"])
 
-    changed = repeats(docs.select("doc_id", "text"), length).mapInArrow(cut, "key_ long, kept_ string").dropDuplicates(["key_"])
-    joined = docs.withColumn("key_", doc_key()).join(changed, "key_", "left").withColumn("text", F.coalesce("kept_", "text"))
+    changed = repeats(docs.select("doc_id", "text"), length).mapInArrow(cut, "__key long, __kept string").dropDuplicates(["__key"])
+    joined = docs.withColumn("__key", doc_key()).join(changed, "__key", "left").withColumn("text", F.coalesce("__kept", "text"))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("kept_").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        joined = joined.withColumn("n_chars", F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return joined.select(*docs.columns)
