@@ -20,9 +20,7 @@ PASSAGE = 200  # bytes: a passage of over 50 words is longer
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    network = quality.train(docs, table(spark, sf_dir, "labels"))
-    judged = quality.score(docs.withColumns({"doc_id": F.col("doc_id").cast("long")}), network)
-    return judged.filter("predicted = 1").select(*docs.columns)
+    return quality.accepted(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -184,20 +184,29 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Networ
 
 
 def score(docs: DataFrame, network: Network) -> DataFrame:
-    """doc_id, held_out, score, predicted, and the columns of docs (of the same name: those of docs are left out)."""
+    """doc_id, text -> doc_id, held_out, score, predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
-    own = [c for c in docs.columns if c not in ("doc_id", "held_out", "score", "predicted")]
-    source = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), *own)
-    schema = source.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), *own).schema
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 2 << 20):
             found = shared.value.scores(*reversed(text_bytes(batch.column("text"))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(found, pa.float64()), pa.array(found >= 0.5).cast(pa.int32()), *(batch.column(c) for c in own)], names=["doc_id", "held_out", "score", "predicted", *own])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(found, pa.float64()), pa.array(found >= 0.5).cast(pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
-    return source.mapInArrow(judge, schema)
+    return source.mapInArrow(judge, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def accepted(docs: DataFrame, network: Network) -> DataFrame:
+    """The documents that the network does not reject, with all their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(network)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text", 2 << 20):
+            yield batch.filter(pa.array(shared.value.scores(*reversed(text_bytes(batch.column("text")))) >= 0.5))
+
+    return docs.mapInArrow(choose, docs.schema)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score(docs, train(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
