@@ -135,3 +135,18 @@ def hits_by_kind(hits, rules: list[str]):
     order = list(dict.fromkeys(names))
     sums = [sum((F.element_at(hits, i + 1) for i, k in enumerate(names) if k == kind), F.lit(0).cast("long")) for kind in order]
     return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, order)), F.array(*sums)), lambda _, n: n > 0)
+
+
+def with_ranges(df: DataFrame, column: str, rules: list[str]) -> DataFrame:
+    """Adds masked and ranges: every match with its place in the text and its kind. Null text stays null."""
+    kind = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())]))
+    schema = T.StructType([*df.schema.fields, T.StructField("masked", T.StringType()), T.StructField("ranges", kind)])
+    arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = [(None, None) if x is None else mask_ranges(x, rules) for x in batch.column(column).to_pylist()]
+            rows = [None if r is None else [dict(zip(("start", "end", "kind"), x)) for x in r] for _, r in done]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([m for m, _ in done], pa.string()), pa.array(rows, arrow)], names=[*batch.schema.names, "masked", "ranges"])
+
+    return df.mapInArrow(run, schema)

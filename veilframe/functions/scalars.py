@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
@@ -55,3 +56,24 @@ def iso_seconds(value):
 
 def before_days(now, days: int):
     return now - F.make_dt_interval(F.lit(days))
+
+
+def spread(df, key: str, masked: str, parts: str):
+    """key, place, part: a masked text cut into pieces as long as the given parts. One row for each key is expected."""
+    each = df.select(key, masked, F.posexplode(parts).alias("place", "own"))
+    before = Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("own")).over(before), F.lit(0)).cast("int")
+    return each.withColumn("start", start).select(key, "place", F.substring(F.col(masked), F.col("start") + 1, F.length("own")).alias("part"))
+
+
+def union_box(boxes):
+    """The smallest box (x0, y0, x1, y1) around boxes; null boxes are left out."""
+    there = F.filter(boxes, lambda b: b.isNotNull())
+    side = lambda i, pick: pick(F.transform(there, lambda b: b[i]))
+    return F.when(F.size(there) > 0, F.array(side(0, F.array_min), side(1, F.array_min), side(2, F.array_max), side(3, F.array_max)))
+
+
+def paired_paths(names, relative):
+    """array<struct<name, path>> by position; the names stand for the paths if their numbers differ."""
+    own = F.when(F.size(names) == F.size(relative), relative).otherwise(names)
+    return F.zip_with(names, own, lambda n, p: F.struct(n.alias("name"), p.alias("path")))

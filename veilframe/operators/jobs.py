@@ -115,3 +115,17 @@ def job_log(jobs: DataFrame) -> DataFrame:
 def distinct_uploads(files: DataFrame) -> DataFrame:
     """The same file chosen twice counts once."""
     return files.dropDuplicates(["name", "size", "path"])
+
+
+def read_job_log(lines: DataFrame, schema) -> DataFrame:
+    """Jobs from JSON lines; a line that is missing or broken is a row of nulls."""
+    return lines.select(F.from_json("value", schema).alias("j")).select("j.*")
+
+
+def export(jobs: DataFrame, path: str) -> None:
+    jobs.write.mode("overwrite").json(path)
+
+
+def within_limits(files: DataFrame, size: str, most_files: int = 10_000, most_megabytes: int = 4096) -> DataFrame:
+    """Number and bytes of files, and whether they keep the limits of an archive."""
+    return files.agg(F.count("*").alias("files"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes")).withColumn("within", (F.col("files") <= most_files) & (F.col("bytes") <= most_megabytes * 1024 * 1024))

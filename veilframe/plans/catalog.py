@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, scalars
-from ..functions.encoding import LINE, detect, with_encoding, with_lines
-from ..functions.masking import OUTSIDE, masked
+from ..functions.encoding import with_encoding, with_lines
+from ..functions.masking import OUTSIDE, masked, with_ranges
 from ..functions.rules import DEFAULT_RULES, NON_ASCII, category, fixed_width, keyword_table, rule_table
 from ..operators import jobs
 from ..operators.audit import audit, file_totals, job_total, unit_hits, with_keywords
@@ -318,6 +318,61 @@ def audit_examples(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", scalars.example(F.col("text")).alias("example"))
 
 
+@query(f"WITH {sql_fold('documents', 'text', MORE_RULES, 'doc_id')}, h AS (" + " UNION ALL ".join(f"SELECT doc_id, {quoted(k)} AS kind, n{i} AS n FROM f{len(MORE_RULES)} WHERE n{i} > 0" for i, k in enumerate([NON_ASCII, *(category(r, i) for i, r in enumerate(MORE_RULES, 1))])) + ") SELECT doc_id, kind, sum(n)::BIGINT AS n FROM h GROUP BY ALL")
+def match_ranges(spark, sf_dir):
+    found = with_ranges(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", MORE_RULES)
+    return found.select("doc_id", F.explode("ranges").alias("r")).groupBy("doc_id", "r.kind").agg(F.count("*").alias("n"))
+
+
+RUNS = "regexp_extract_all(text, '[^ ]* |[^ ]+$')"
+
+
+@query(f"""WITH {sql_fold('documents', 'text', MORE_RULES, 'doc_id, text')}, p AS (SELECT doc_id, t, unnest({RUNS}) AS run, unnest(range(len({RUNS}))) AS place FROM f{len(MORE_RULES)}),
+q AS (SELECT *, coalesce(sum(length(run)) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p)
+SELECT doc_id, place, substr(t, before::BIGINT + 1, length(run)) AS part FROM q""")
+def run_redistribution(spark, sf_dir):
+    """Masked texts cut into the runs that they came from: here words, each with the space behind it."""
+    done = masked(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", MORE_RULES)
+    runs = F.regexp_extract_all("text", F.lit(r"[^ ]* |[^ ]+$"), F.lit(0))
+    cut = scalars.spread(done.select("doc_id", "masked", runs.alias("runs")), "doc_id", "masked", "runs")
+    return cut.select("doc_id", F.col("place").cast("long").alias("place"), "part")
+
+
+@query("SELECT user_id, min(value) AS x0, min(event_id)::DOUBLE AS y0, max(value) AS x1, max(event_id)::DOUBLE AS y1 FROM events GROUP BY user_id")
+def union_boxes(spark, sf_dir):
+    box = F.array("value", F.col("event_id").cast("double"), "value", F.col("event_id").cast("double"))
+    u = scalars.union_box(F.collect_list(box))
+    boxes = table(spark, sf_dir, "events").groupBy("user_id").agg(u.alias("u"))
+    return boxes.select("user_id", *(F.col("u")[i].alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))))
+
+
+@query("SELECT DISTINCT event_type AS name, user_id AS size, props AS path FROM events")
+def distinct_uploads(spark, sf_dir):
+    return jobs.distinct_uploads(table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("user_id").alias("size"), F.col("props").alias("path")))
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def job_log_json(spark, sf_dir):
+    """Jobs as JSON lines and back."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    return jobs.read_job_log(jobs.job_log(events), events.schema)
+
+
+@query("SELECT count(*) AS files, sum(strlen(html))::BIGINT AS bytes, count(*) <= 10000 AND sum(strlen(html)) <= 4096::BIGINT * 1048576 AS within FROM pages")
+def archive_limits(spark, sf_dir):
+    return jobs.within_limits(table(spark, sf_dir, "pages").select(F.octet_length("html").alias("size")), "size")
+
+
+@query("""WITH g AS (SELECT conv_id, list(role ORDER BY turn) AS names, list(turn::VARCHAR ORDER BY turn) AS paths FROM conversations GROUP BY conv_id), z AS (SELECT conv_id, unnest(names) AS name, unnest(CASE WHEN conv_id % 2 = 0 THEN paths ELSE names END) AS path, unnest(range(len(names)))::INTEGER AS place FROM g)
+SELECT conv_id, place, name, path FROM z""")
+def upload_pairs(spark, sf_dir):
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "role")))
+    grouped = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(ordered.alias("o"))
+    names, paths_ = F.transform("o", lambda x: x["role"]), F.transform("o", lambda x: x["turn"].cast("string"))
+    own = F.when(F.col("conv_id") % 2 == 0, paths_).otherwise(F.slice(paths_, 2, 1_000_000))
+    return grouped.select("conv_id", F.posexplode(scalars.paired_paths(names, own)).alias("place", "p")).select("conv_id", "place", "p.name", "p.path")
+
+
 def _packages(spark: SparkSession, sf_dir: str, end: str) -> DataFrame:
     """A generated archive or Office package for every conversation."""
     import pyarrow as pa
