@@ -137,8 +137,6 @@ def test_site_tree_removes_what_a_host_repeats(spark, tmp_path):
 
 
 def test_pages_of_the_tables(spark, odd):
-    for page_id, url, raw, text, n in duckdb.sql(f"SELECT page_id, url, html, NULL, NULL FROM '{SF}/pages.parquet'").fetchall()[:0]:
-        raise AssertionError((page_id, url, raw, text, n))
     found = {r["page_id"]: r for r in queries.QUERIES["op1_html_text"](spark, SF).collect()}
     for page_id, raw in duckdb.sql(f"SELECT page_id, html FROM '{SF}/pages.parquet'").fetchall():
         article = regex.search(r"<article>(.*?)</article>", raw, regex.S)[1]
@@ -164,7 +162,7 @@ def test_scores_cover_whole_texts_and_do_not_depend_on_neighbours(spark, odd):
     rng = random.Random(2)
     clean = [words(rng, 60).encode() for _ in range(60)]
     junk = [b" | ".join(words(rng, 60).encode().split()) for _ in range(60)]
-    net = quality.Network().fit(clean + junk, np.array([1] * 60 + [0] * 60, np.float32), epochs=6)
+    net = quality.Network().fit(clean + junk, np.array([1] * 60 + [0] * 60, np.float32), epochs=30)
     score = lambda texts: net.scores(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
     assert score(clean).mean() > 0.9 and score(junk).mean() < 0.1
     together = score([clean[0], b"", junk[0], clean[1] * 5])
@@ -210,7 +208,24 @@ def test_perfect_hash(codec):
     assert (found == np.arange(len(codec.tokens))).all() and len(set(codec.hash.at.tolist())) == len(codec.tokens)
     assert (codec.hash.find([b"not a token at all", b"\xff\xfe\xfd\xfc"]) == -1).all() and len(codec.hash.find([])) == 0
     assert codec.hash.size == len(codec.tokens)
-    assert bpe.heap_merge(b"a" * 5000, codec.ranks) == [codec.ranks[b] for b in tiktoken._educational.bpe_encode(codec.ranks, b"a" * 5000, visualise=None)] if False else True
+
+
+def test_heap_merges_like_the_plain_loop(codec):
+    rng = random.Random(3)
+
+    def plain(piece):
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while True:
+            ranked = [(codec.ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in codec.ranks]
+            if not ranked:
+                return [codec.ranks[p] for p in parts]
+            _, i = min(ranked)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    for _ in range(400):
+        piece = bytes(rng.choice(b"aethinso n\xc3\xa9") for _ in range(rng.randrange(1, 40)))
+        assert bpe.heap_merge(piece, codec.ranks) == plain(piece)
+    assert bpe.heap_merge(b"a" * 3000, codec.ranks) == plain(b"a" * 3000)
 
 
 # 4: vectors

@@ -143,10 +143,11 @@ def near_duplicates(rows: DataFrame, id_column: str = "vec_id", vector_column: s
     classes = staged(base.filter("label is not null").groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("size")).withColumn("rep", F.monotonically_increasing_id()))
     n = classes.count()
     k = int(np.clip(n // CELL_ROWS, 1, MOST_CELLS))
-    sample = classes.select("v", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep", "label").limit(SAMPLE_PER_CELL * k).select("v").collect()  # bounded by MOST_CELLS
-    dim = max((len(r["v"]) for r in sample), key=[len(r["v"]) for r in sample].count, default=1) if len(sample) < 5000 else len(sample[0]["v"])
-    fitting = [r["v"] for r in sample if len(r["v"]) == dim]
-    centres = spherical_kmeans(unit(np.array(fitting)), min(k, len(fitting))) if fitting else np.ones((1, dim))
+    sample = classes.select("v", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(SAMPLE_PER_CELL * k).select("v").toArrow().column("v").combine_chunks()  # bounded by MOST_CELLS
+    lengths, often = np.unique(np.asarray(sample.value_lengths()), return_counts=True)
+    dim = int(lengths[often.argmax()]) if len(lengths) else 1
+    fitting = sample.filter(pa.array(np.asarray(sample.value_lengths()) == dim))
+    centres = spherical_kmeans(unit(matrix(fitting)), min(k, len(fitting))) if len(fitting) else np.ones((1, dim))
     cells = staged(assigned(classes, centres, slack * float(np.sqrt(2 - 2 * threshold))))
     at_home = F.col("home") == F.col("cell")
     counts = cells.groupBy("label", "cell").agg(F.count_if(at_home).alias("homes"), F.count_if(~at_home).alias("guests"))

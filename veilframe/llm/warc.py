@@ -90,7 +90,10 @@ def parse_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     at = 0
     while at < len(raw):
         stop = raw.index(b"\r\n\r\n", at) + 4
-        length = int(next(x.partition(b":")[2] for x in raw[at:stop].split(b"\r\n") if x.lower().startswith(b"content-length:")))
+        told = [x.partition(b":")[2] for x in raw[at:stop].split(b"\r\n") if x.lower().startswith(b"content-length:")]
+        if not told:
+            raise ValueError("a record without its length")
+        length = int(told[0])
         block = raw[stop : stop + length]
         if len(block) < length or raw[stop + length : stop + length + 4] != b"\r\n\r\n":
             raise ValueError("a record is cut off")
