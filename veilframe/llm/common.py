@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 4 << 20  # text handled at once in a worker
+SLICE_BYTES = 2 << 20  # text handled at once in a worker
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
             found = known.get()
         else:
             found = tempfile.mkdtemp(prefix="veilframe-")
+            atexit.register(shutil.rmtree, found, ignore_errors=True)
             spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -60,6 +64,16 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Workers live on between tasks: what allocators hold but don't use goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,22 +98,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class RangeHash:
-    """Polynomial hashes of byte ranges modulo 2**64 from prefix sums, with a random odd value for each byte value."""
+    """Polynomial hashes of byte ranges modulo 2**64 from prefix sums, with a random odd value for each byte value. All
+    share one base and the tables of its powers."""
+
+    _base = 0x5851F42D4C957F2D
+    _powers = _inverses = np.ones(1, np.uint64)
 
     def __init__(self, seed: int):
         rng = np.random.Generator(np.random.PCG64(seed))
         self.values = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        base = (int(rng.integers(1, 2**61)) * 8 + 5) % 2**64
-        self._base, self._inverse = base, pow(base, -1, 2**64)
-        self._powers = self._inverses = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self._powers) < n:
-            n = max(n, 2 * len(self._powers))
-            for name, by in (("_powers", self._base), ("_inverses", self._inverse)):
+
+    @classmethod
+    def _grow(cls, n: int) -> None:
+        if len(cls._powers) < n:
+            n = -(-n // 65536) * 65536
+            for name, by in (("_powers", cls._base), ("_inverses", pow(cls._base, -1, 2**64))):
                 steps = np.full(n, by, np.uint64)
                 steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
+                setattr(cls, name, np.multiply.accumulate(steps))
 
     def sums(self, data: np.ndarray) -> np.ndarray:
         self._grow(len(data) + 1)

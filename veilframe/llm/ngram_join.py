@@ -1,9 +1,10 @@
 """An exact Jaccard join of documents on sets of word n-grams.
 
-Documents with equal sets are one class. Sets of similar size that reach the threshold differ in at most d n-grams, so when the
-columns of the incidence matrix are dealt to d + 1 bundles by a hash, one bundle at least has the same n-grams in both:
-equal bundles give candidate groups. (A bundle holds several n-grams, so common phrases and passages make no candidates
-by themselves, however often they occur.) Inside a group blocks of documents are multiplied as sparse document by n-gram matrices,
+Documents with equal sets are one class. A partner of a set lacks few of its n-grams, so a set with more n-grams that no other
+document has can have none: a fixed share of all n-grams, chosen by hash, is counted over all documents, and sets with too many
+lone ones leave. Of the others, sets of similar size that reach the threshold differ in at most d n-grams; when the columns of the
+incidence matrix are dealt to more than d bundles by a hash, some bundles have the same n-grams in both, and equal bundles
+give candidate groups. Inside a group blocks of documents are multiplied as sparse document by n-gram matrices,
 one block of columns after the other; overlap counts add up, and pairs whose overlap stays below the bound that their
 sizes give are discarded. Blocks return spanning forests, so no list of all pairs exists anywhere.
 
@@ -18,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +27,7 @@ from .common import RangeHash, mixed, packed, sliced, staged, table, text_bytes
 from .components import components, forest
 
 ENTRIES_PER_BUCKET = 250_000
-BLOCK_ROWS, BLOCK_NGRAMS, COLUMNS = 512, 1 << 20, 2048
+BLOCK_ROWS, BLOCK_NGRAMS, COLUMNS = 512, 1 << 19, 2048
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
@@ -101,7 +101,9 @@ def size_classes(most: int, percent: int) -> np.ndarray:
 
 def bundle_names(owner: np.ndarray, grams: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, name) of every bundle. A document meets its own size class and the next smaller one in one slot, and its own
-    and the next larger one in another; a slot's largest sets tell how many bundles it needs."""
+    and the next larger one in another; a slot's largest sets tell by how many n-grams d linked sets may differ. Of the K bundles
+    K - d are equal. A set with fewer empty bundles than that shares one that is not empty with each partner and needs no
+    empty ones; only sets with more name theirs."""
     begin = size_classes(int(size.max(initial=1)), percent)
     own = np.searchsorted(begin, size, side="right") - 1
     docs, names = [], []
@@ -109,27 +111,44 @@ def bundle_names(owner: np.ndarray, grams: np.ndarray, size: np.ndarray, percent
         slot = own - step
         used = np.flatnonzero((size > 0) & (slot >= 0))
         largest = begin[np.minimum(slot[used] + 2, len(begin) - 1)] - 1
-        bundles = np.zeros(len(size), np.int64)
-        bundles[used] = 2 * largest * (100 - percent) // (100 + percent) + 1
+        apart = 2 * largest * (100 - percent) // (100 + percent)
+        bundles, spare = np.zeros((2, len(size)), np.int64)
+        spare[used] = 1 + (apart + 5) // 6
+        bundles[used] = apart + spare[used]
         first = np.concatenate([[0], np.cumsum(bundles)])
-        sums = np.zeros(first[-1], np.uint64)
+        sums, filled = np.zeros(first[-1], np.uint64), np.zeros(first[-1], bool)
         keep = bundles[owner] > 0
         o, g = owner[keep], grams[keep]
-        np.add.at(sums, first[o] + ((g >> np.uint64(16)) % bundles[o].astype(np.uint64)).astype(np.int64), g)
+        at = first[o] + ((g >> np.uint64(16)) % bundles[o].astype(np.uint64)).astype(np.int64)
+        np.add.at(sums, at, g)
+        filled[at] = True
         doc = np.repeat(np.arange(len(size)), bundles)
         place = np.arange(first[-1]) - first[doc]
-        docs.append(doc)
-        names.append(mixed(sums + mixed((slot[doc] << 40 | place).astype(np.uint64))))
+        empty = np.bincount(doc[~filled], minlength=len(size))
+        named = filled | (empty >= spare)[doc]
+        docs.append(doc[named])
+        names.append(mixed(sums + mixed((slot[doc] << 40 | place).astype(np.uint64)))[named])
     return np.concatenate(docs), np.concatenate(names)
 
 
-ENTRY = np.dtype([("low", "<u4"), ("high", "<u2"), ("doc", "<u2")])  # 48 bits of the name; its bucket has more of it
-MOST_ROWS = 1 << 16  # of a slice
+ENTRY = np.dtype([("low", "<u4"), ("high", "<u2"), ("doc", "<u2")])  # 48 bits of an n-gram; its bucket has more of it
+MOST_ROWS = (1 << 16) - 1  # of a slice
+SEVERAL = MOST_ROWS  # in place of a document: several of the slice have it, and know
 
 
-def bundled(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
-    """Rows of kind 0: a document's slot, id, set size and marks; rows of kind 1: edges (u, v) between slots with an equal bundle."""
-    names_ = ["bucket", "slot", "doc_id", "n", "m1", "m2", "packed"]
+def by_range(names: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """Sorted names cut by ranges."""
+    cuts = np.array([(k << 64) // buckets for k in range(1, buckets)], dtype=np.uint64)
+    edges = np.concatenate([[0], np.searchsorted(names, cuts), [len(names)]])
+    for k in np.flatnonzero(np.diff(edges)).tolist():
+        yield k, slice(edges[k], edges[k + 1])
+
+
+def counted(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+    """A row for each document: slot, doc_id, n (set size), m1, m2 (marks of the set), chosen (how many of its n-grams are
+    counted); and rows with slot and packed: how many of these other documents of a slice have as well."""
+    names_ = ["bucket", "slot", "doc_id", "n", "m1", "m2", "chosen", "packed"]
+    share = min(64, 112 * (100 - percent) // 100)  # of 64: over twice as many as a partner may lack, less for small sets
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
@@ -138,57 +157,104 @@ def bundled(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
                 batch = whole.slice(begin, MOST_ROWS)
                 bounds, data = text_bytes(batch.column("text"))
                 owner, grams = ngram_sets(data, bounds, n)
-                size, m1, m2 = marks(owner, grams, batch.num_rows)
+                rows = batch.num_rows
+                size, m1, m2 = marks(owner, grams, rows)
                 base = (part << 24 | number) << 16
                 number += 1
-                rows = batch.num_rows
                 slots = base + np.arange(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(-1 - slots % buckets, pa.int32()), pa.array(slots), batch.column("doc_id"), pa.array(size), pa.array(m1), pa.array(m2), pa.nulls(rows, pa.binary())], names=names_)
-                doc, name = bundle_names(owner, grams, size, percent)
-                order = np.argsort(name, kind="stable")
-                doc, name = doc[order], name[order]
-                new = np.ones(len(name), bool)
-                new[1:] = name[1:] != name[:-1]
-                u, v = forest(slots[doc[1:][~new[1:]]], slots[doc[:-1][~new[1:]]]) if len(name) else (slots[:0], slots[:0])
-                doc, name = doc[new], name[new]  # a bundle that a slice has several times travels once
-                entries = np.empty(len(name), ENTRY)
-                entries["low"], entries["high"], entries["doc"] = name & np.uint64(0xFFFFFFFF), name >> np.uint64(32) & np.uint64(0xFFFF), doc
-                cuts = np.array([(k << 64) // buckets for k in range(1, buckets)], dtype=np.uint64)
-                edges = np.concatenate([[0], np.searchsorted(name, cuts), [len(name)]])
-                full = np.flatnonzero(np.diff(edges))
-                blobs = [packed(entries[edges[k] : edges[k + 1]]) for k in full]
-                ids = full.tolist()
-                if len(u):
-                    blobs.append(packed(np.concatenate([u, v])))
-                    ids.append(-1 - (number % buckets))
-                none = pa.nulls(len(ids), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([base] * len(ids), pa.int64()), none, none, none, none, pa.array(blobs, pa.binary())], names=names_)
+                keep = (grams >> np.uint64(8)) % np.uint64(64) < np.uint64(share)
+                owner, grams = owner[keep], grams[keep]
+                chosen = np.bincount(owner, minlength=rows)
+                yield pa.RecordBatch.from_arrays([pa.array(-1 - slots % buckets, pa.int32()), pa.array(slots), batch.column("doc_id"), pa.array(size), pa.array(m1), pa.array(m2), pa.array(chosen, pa.int64()), pa.nulls(rows, pa.binary())], names=names_)
+                order = np.argsort(grams, kind="stable")
+                owner, grams = owner[order], grams[order]
+                new = np.ones(len(grams), bool)
+                new[1:] = grams[1:] != grams[:-1]
+                many = ~new
+                many[:-1] |= ~new[1:]
+                own = owner.copy()
+                own[many] = SEVERAL
+                own, grams = own[new], grams[new]
+                entries = np.empty(len(grams), ENTRY)
+                entries["low"], entries["high"], entries["doc"] = grams & np.uint64(0xFFFFFFFF), grams >> np.uint64(32) & np.uint64(0xFFFF), own
+                cut = [(k, packed(entries[at])) for k, at in by_range(grams, buckets)]
+                if many.any():
+                    cut.append((-1 - number % buckets, packed(tally(owner[many]))))
+                none = pa.nulls(len(cut), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in cut], pa.int32()), pa.array([base] * len(cut), pa.int64()), none, none, none, none, none, pa.array([x for _, x in cut], pa.binary())], names=names_)
+
+    def meet(group: pa.Table) -> pa.Table:
+        if group.column("bucket")[0].as_py() < 0:
+            return group.drop_columns(["bucket"])
+        parts = [np.frombuffer(x.as_py(), ENTRY) for x in group.column("packed")]
+        entries = np.concatenate(parts)
+        gram = entries["high"].astype(np.uint64) << np.uint64(32) | entries["low"]
+        order = np.argsort(gram, kind="stable")
+        equal = gram[order][1:] == gram[order][:-1]
+        met = np.zeros(len(entries), bool)
+        met[order[1:][equal]] = True
+        met[order[:-1][equal]] = True
+        met &= entries["doc"] != SEVERAL
+        edges = np.cumsum([0] + [len(x) for x in parts])
+        found = [(k, packed(tally(entries["doc"][a:b][met[a:b]]))) for k, (a, b) in enumerate(zip(edges, edges[1:])) if met[a:b].any()]
+        none = pa.nulls(len(found), pa.int64())
+        return pa.table({"slot": group.column("slot").combine_chunks().take(pa.array([k for k, _ in found], pa.int64())), "doc_id": none, "n": none, "m1": none, "m2": none, "chosen": none, "packed": pa.array([x for _, x in found], pa.binary())})
+
+    rows = docs.mapInArrow(emit, "bucket int, slot long, doc_id long, n long, m1 long, m2 long, chosen long, packed binary")
+    return rows.groupBy("bucket").applyInArrow(meet, "slot long, doc_id long, n long, m1 long, m2 long, chosen long, packed binary")
+
+
+def tally(docs: np.ndarray) -> np.ndarray:
+    ids, n = np.unique(docs, return_counts=True)
+    return np.stack([ids, n], axis=1).astype(np.int32)
+
+
+def shared_counts(first: DataFrame) -> DataFrame:
+    """slot, shared."""
+
+    def add(group: pa.Table) -> pa.Table:
+        pairs = np.concatenate([np.frombuffer(x.as_py(), np.int32).reshape(-1, 2) for x in group.column("packed")])
+        ids, at = np.unique(pairs[:, 0], return_inverse=True)
+        return pa.table({"slot": pa.array(ids.astype(np.int64) + group.column("slot")[0].as_py()), "shared": pa.array(np.bincount(at, pairs[:, 1]).astype(np.int64))})
+
+    return first.filter("packed is not null").select("slot", "packed").groupBy("slot").applyInArrow(add, "slot long, shared long")
+
+
+PAIR = np.dtype([("name", "<u8"), ("cid", "<i8")])
+
+
+def bundle_edges(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """Edges between sets with an equal bundle."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "grams"):
+            each = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("grams")]
+            size = np.array([len(x) for x in each], np.int64)
+            doc, name = bundle_names(np.repeat(np.arange(len(each)), size), np.concatenate(each), size, percent)
+            entries = np.empty(len(name), PAIR)
+            entries["name"], entries["cid"] = name, batch.column("cid").to_numpy()[doc]
+            entries = entries[np.argsort(name, kind="stable")]
+            name, cid = entries["name"], entries["cid"]
+            new = np.ones(len(name), bool)
+            new[1:] = name[1:] != name[:-1]
+            u, v = forest(cid[1:][~new[1:]], cid[:-1][~new[1:]])
+            entries = entries[new]  # a bundle that a batch has several times travels once
+            cut = [(k, packed(entries[at])) for k, at in by_range(entries["name"], buckets)] + ([(-1, packed(np.concatenate([u, v])))] if len(u) else [])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in cut], pa.int32()), pa.array([x for _, x in cut], pa.binary())], names=["bucket", "packed"])
 
     def meet(group: pa.Table) -> pa.Table:
         blobs = group.column("packed")
         if group.column("bucket")[0].as_py() < 0:
-            is_doc = pc.is_null(blobs)
-            docs_ = group.filter(is_doc)
-            halves = [np.frombuffer(x.as_py(), np.int64).reshape(2, -1) for x in group.filter(pc.invert(is_doc)).column("packed")]
-            u, v = np.concatenate(halves, axis=1) if halves else np.zeros((2, 0), np.int64)
-            u, v = forest(u, v)
+            u, v = np.concatenate([np.frombuffer(x.as_py(), np.int64).reshape(2, -1) for x in blobs], axis=1)
         else:
-            docs_ = group.slice(0, 0)
-            parts = [np.frombuffer(x.as_py(), ENTRY) for x in blobs]
-            slots = np.repeat(group.column("slot").to_numpy(), [len(x) for x in parts])
-            entries = np.concatenate(parts)
-            slots = slots + entries["doc"]
-            name = entries["high"].astype(np.uint64) << np.uint64(32) | entries["low"]
-            order = np.argsort(name, kind="stable")
-            equal = name[order][1:] == name[order][:-1]
-            u, v = forest(slots[order[1:][equal]], slots[order[:-1][equal]])
-        k = len(u)
-        pad = pa.nulls(k, pa.int64())
-        join = lambda c, own: pa.concat_arrays([docs_.column(c).combine_chunks(), own])
-        return pa.table({"slot": join("slot", pa.array(u, pa.int64())), "doc_id": join("doc_id", pad), "n": join("n", pad), "m1": join("m1", pad), "m2": join("m2", pad), "v": pa.concat_arrays([pa.nulls(docs_.num_rows, pa.int64()), pa.array(v, pa.int64())])})
-
-    rows = docs.mapInArrow(emit, "bucket int, slot long, doc_id long, n long, m1 long, m2 long, packed binary")
-    return rows.groupBy("bucket").applyInArrow(meet, "slot long, doc_id long, n long, m1 long, m2 long, v long")
+            entries = np.concatenate([np.frombuffer(x.as_py(), PAIR) for x in blobs])
+            entries = entries[np.argsort(entries["name"], kind="stable")]
+            equal = entries["name"][1:] == entries["name"][:-1]
+            u, v = entries["cid"][1:][equal], entries["cid"][:-1][equal]
+        u, v = forest(u, v)
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return sets.select("cid", "grams").mapInArrow(emit, "bucket int, packed binary").groupBy("bucket").applyInArrow(meet, "u long, v long")
 
 
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -229,7 +295,7 @@ def compare(group: pa.Table, percent: int) -> pa.Table:
 
 
 def with_sets(rows: DataFrame, n: int) -> DataFrame:
-    """cid, comp, m1, m2, blocks, text -> cid, comp, blocks, grams (packed), where the set is the one that is marked."""
+    """cid, m1, m2, text -> cid, grams (packed), where the set is the one that is marked."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
@@ -238,36 +304,38 @@ def with_sets(rows: DataFrame, n: int) -> DataFrame:
             _, m1, m2 = marks(owner, grams, batch.num_rows)
             edges = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             coded = [packed(grams[a:b]) for a, b in zip(edges, edges[1:])]
-            out = pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("comp"), batch.column("blocks"), pa.array(coded, pa.binary())], names=["cid", "comp", "blocks", "grams"])
+            out = pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(coded, pa.binary())], names=["cid", "grams"])
             yield out.filter(pa.array((m1 == batch.column("m1").to_numpy()) & (m2 == batch.column("m2").to_numpy())))
 
-    return rows.select("cid", "comp", "m1", "m2", "blocks", "text").mapInArrow(build, "cid long, comp long, blocks int, grams binary")
+    return rows.select("cid", "m1", "m2", "text").mapInArrow(build, "cid long, grams binary")
 
 
 def jaccard_groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, text -> doc_id, n_shingles, component_id. A link: 100 * overlap >= percent * union."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    per_gram = 4.5 * (100 - percent) / (100 + percent)  # bundles of an n-gram, roughly; words of six bytes
-    first = staged(bundled(docs, n, percent, int(size / 6 * per_gram // ENTRIES_PER_BUCKET + 8)))
-    rows = first.filter("v is null").select("doc_id", "slot", "n", "m1", "m2")
-    classes = staged(rows.filter("n > 0").groupBy("n", "m1", "m2").agg(F.min("doc_id").alias("least"), F.min("slot").alias("cid")))
-    candidates = staged(components(first.filter("v is not null").select("slot", "v")))
-    members = classes.join(candidates.withColumnRenamed("component", "comp"), F.col("cid") == F.col("id")).select("cid", "n", "m1", "m2", "least", "comp")
-    sizes = members.groupBy("comp").agg(F.count("*").alias("k"), F.sum("n").alias("all")).filter("k > 1")
-    blocks = F.greatest(F.ceil(F.col("k") / BLOCK_ROWS), F.ceil(F.col("all") / BLOCK_NGRAMS)).cast("int")
+    grams = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6  # roughly: words of six bytes
+    first = staged(counted(docs, n, percent, int(grams * 1.75 * (100 - percent) / 100 // ENTRIES_PER_BUCKET + 8)))
+    rows = first.filter("packed is null").select("doc_id", "slot", "n", "m1", "m2", "chosen")
+    lone = F.col("chosen") - F.coalesce("shared", F.lit(0))
+    hopeful = rows.filter("n > 0").join(shared_counts(first), "slot", "left").withColumn("hope", lone <= F.floor(F.col("n") * (100 - percent) / 100))
+    classes = staged(hopeful.groupBy("n", "m1", "m2").agg(F.min("doc_id").alias("least"), F.min("slot").alias("cid"), F.max("hope").alias("hope")))
+    sets = staged(with_sets(docs.join(classes.filter("hope"), F.col("doc_id").eqNullSafe(F.col("least"))), n))
+    length = F.octet_length("grams") / 8
+    inside = sets.agg(F.sum(length)).first()[0] or 0
+    candidates = staged(components(bundle_edges(sets, percent, int(inside * 6 * (100 - percent) / (100 + percent) // ENTRIES_PER_BUCKET + 8))))
+    members = sets.join(candidates.select(F.col("id").alias("cid"), F.col("component").alias("comp")), "cid")
+    sizes = sets.select("cid", length.alias("k")).join(candidates.select(F.col("id").alias("cid"), F.col("component").alias("comp")), "cid").groupBy("comp").agg(F.count("*").alias("rows"), F.sum("k").alias("all"))
+    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("all") / BLOCK_NGRAMS)).cast("int")
     members = members.join(sizes.select("comp", blocks.alias("blocks")), "comp")
-    sets = with_sets(docs.join(members, F.col("doc_id").eqNullSafe(F.col("least"))), n)
     own = F.pmod(F.xxhash64("cid"), F.col("blocks").cast("long")).cast("int")
     to_right = F.transform(F.sequence("b", F.col("blocks") - 1), lambda j: F.struct(F.col("b").alias("i"), j.alias("j"), F.lit(0).alias("side"), (j == F.col("b")).alias("alone")))
     to_left = F.transform(F.filter(F.sequence(F.lit(0), F.col("b")), lambda i: i < F.col("b")), lambda i: F.struct(i.alias("i"), F.col("b").alias("j"), F.lit(1).alias("side"), F.lit(False).alias("alone")))
-    laid = sets.withColumn("b", own).withColumn("p", F.explode(F.concat(to_right, to_left))).select("comp", "p.i", "p.j", "p.side", "p.alone", "cid", "grams")
+    laid = members.withColumn("b", own).withColumn("p", F.explode(F.concat(to_right, to_left))).select("comp", "p.i", "p.j", "p.side", "p.alone", "cid", "grams")
     links = staged(laid.groupBy("comp", "i", "j").applyInArrow(lambda t: compare(t, percent), "u long, v long"))
     groups = staged(components(links).withColumnRenamed("id", "cid"))
     least = groups.join(classes.select("cid", "least"), "cid").groupBy("component").agg(F.min("least").alias("component_id"))
     named = classes.join(groups.join(least, "component").select("cid", "component_id"), "cid", "left").select(F.col("n").alias("n_"), F.col("m1").alias("a_"), F.col("m2").alias("b_"), F.coalesce("component_id", "least").alias("component_id"))
-    rows = rows.drop("slot")
+    rows = rows.select("doc_id", "n", "m1", "m2")
     out = rows.join(named, (F.col("n") == F.col("n_")) & (F.col("m1") == F.col("a_")) & (F.col("m2") == F.col("b_")), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
