@@ -160,7 +160,7 @@ def near_duplicates(rows: DataFrame, id_column: str = "vec_id", vector_column: s
     lower = F.filter(F.sequence(F.lit(0), F.col("b")), lambda i: i < F.col("b"))
     as_right = F.transform(lower, lambda i: F.struct(i.alias("i"), F.col("b").alias("j"), F.lit(1).alias("side"), F.lit(False).alias("alone")))
     as_guest = F.transform(F.sequence(F.lit(0), F.col("nh") - 1), lambda i: F.struct(i.alias("i"), (F.col("nh") + F.col("b")).alias("j"), F.lit(1).alias("side"), F.lit(False).alias("alone")))
-    laid = sized.withColumn("p", F.explode(F.when(at_home, F.concat(as_left, as_right)).otherwise(as_guest))).select("label", "cell", "p.i", "p.j", "p.side", "p.alone", "rep", "size", "v", "home", "goes")
+    laid = sized.withColumn("p", F.explode(F.when(at_home, F.concat(as_left, as_right)).otherwise(as_guest))).select("label", "cell", "p.i", "p.j", "p.side", "p.alone", "rep", "size", "v", "home", "goes").repartition("label", "cell", "i", "j")  # else all blocks of a cell meet in one task
     found = staged(laid.groupBy("label", "cell", "i", "j").applyInArrow(lambda t: compare(t, threshold), "rep long, links long, other long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = staged(components(found.filter("rep <> other").select("rep", "other")))
