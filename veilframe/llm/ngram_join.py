@@ -330,7 +330,7 @@ def jaccard_groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
     own = F.pmod(F.xxhash64("cid"), F.col("blocks").cast("long")).cast("int")
     to_right = F.transform(F.sequence("b", F.col("blocks") - 1), lambda j: F.struct(F.col("b").alias("i"), j.alias("j"), F.lit(0).alias("side"), (j == F.col("b")).alias("alone")))
     to_left = F.transform(F.filter(F.sequence(F.lit(0), F.col("b")), lambda i: i < F.col("b")), lambda i: F.struct(i.alias("i"), F.col("b").alias("j"), F.lit(1).alias("side"), F.lit(False).alias("alone")))
-    laid = members.withColumn("b", own).withColumn("p", F.explode(F.concat(to_right, to_left))).select("comp", "p.i", "p.j", "p.side", "p.alone", "cid", "grams")
+    laid = members.withColumn("b", own).withColumn("p", F.explode(F.concat(to_right, to_left))).select("comp", "p.i", "p.j", "p.side", "p.alone", "cid", "grams").repartition("comp", "i", "j")  # else the join's partitions stay, and all blocks of a group meet in one task
     links = staged(laid.groupBy("comp", "i", "j").applyInArrow(lambda t: compare(t, percent), "u long, v long"))
     groups = staged(components(links).withColumnRenamed("id", "cid"))
     least = groups.join(classes.select("cid", "least"), "cid").groupBy("component").agg(F.min("least").alias("component_id"))
