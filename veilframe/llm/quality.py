@@ -55,13 +55,14 @@ def repeated(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def laid_out(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, first): symbols in whole blocks, each document padded with 0 to at least one byte more; first block of each document."""
+    """(symbols, first): symbols in whole blocks; first block of each document. A document has WIDTH - 1 zeros before it, so that no window
+    sees two documents, and at least one behind it."""
     symbols = data.astype(np.int16) + 256 * repeated(data, bounds)
     lengths = np.diff(bounds)
-    blocks = lengths // BLOCK + 1
+    blocks = (lengths + WIDTH - 1) // BLOCK + 1
     first = np.concatenate([[0], np.cumsum(blocks)])
     out = np.zeros(first[-1] * BLOCK + WIDTH, np.int16)
-    out[np.arange(len(data)) + np.repeat(first[:-1] * BLOCK - bounds[:-1], lengths)] = symbols
+    out[np.arange(len(data)) + np.repeat(first[:-1] * BLOCK + WIDTH - 1 - bounds[:-1], lengths)] = symbols
     return out, first
 
 
