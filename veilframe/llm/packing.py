@@ -138,7 +138,8 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
                 sequence[own], offset[own] = rows[at, 1] + ranks[own] - rows[at, 0], rows[at, 2]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    ranked = cut.join(offsets.select("part", "length", "before"), ["part", "length"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("place")).alias("rank"))
+    # Offsets grow with the number of input partitions, so they are not broadcast.
+    ranked = cut.join(offsets.select("part", "length", "before").hint("merge"), ["part", "length"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("place")).alias("rank"))
     return ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
