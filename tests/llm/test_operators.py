@@ -271,6 +271,16 @@ def test_vectors(spark, odd, monkeypatch, block, cell):
         assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in got), key=str) == want if slack == 1 else 0.9 <= found <= 1
 
 
+def test_links_across_cells_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL_ROWS", 40)
+    rng = np.random.default_rng(12)
+    rows = [(i, v, i % 2) for i, v in enumerate(rng.normal(size=(600, 3)).tolist())]  # copies differ along few dimensions
+    links = brute_links(rows)
+    component = brute_components(len(rows), links, [r[0] for r in rows])
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == [(i, len(links[i]), component[i], component[i] == i) for i in range(600)]
+
+
 def test_recall_at_the_threshold(spark):
     rng = np.random.default_rng(9)
     base = rng.normal(size=(1500, 64))

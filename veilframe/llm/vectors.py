@@ -2,9 +2,10 @@
 
 Equal vectors of a label are one class from the start, so that a vector that fills a third of a table is compared once.
 Centroids are fitted on at most SAMPLE_PER_CELL * cells classes (in the order of a hash of their id); every class is
-assigned. A class also visits each cell whose bounding plane is closer than SLACK times the largest distance of two
-linked vectors: with SLACK 1 no link can be missed, whatever the centroids, but nearly every cell is visited; a
-quarter found all 308,465 links of 51,282 random vectors with near copies (recall 1.0, README). Cells are cut into blocks of about BLOCK rows
+assigned. A class also visits each cell of a higher number whose bounding plane is closer than SLACK times the largest
+distance of two linked vectors. With SLACK 1 no link can be missed, whatever the centroids: two linked vectors are
+together no farther from the plane between their homes than from each other, so the one at home in the lower cell visits the
+other's home, and they meet there and nowhere else. Cells are cut into blocks of about BLOCK rows
 and each pair of blocks is one product, so memory does not depend on a cell's size; blocks give link counts and spanning
 forests, never all pairs.
 
@@ -24,9 +25,10 @@ from pyspark.sql import functions as F
 from .common import staged, table
 from .components import components, forest
 
-THRESHOLD, SLACK = 0.93, 0.25
+THRESHOLD, SLACK = 0.93, 1.0
 CELL_ROWS, MOST_CELLS, SAMPLE_PER_CELL, BLOCK = 4000, 4096, 40, 1024
 LLOYD_ROUNDS = 8
+ROWS_AT_ONCE = 8192  # of the rows that a batch becomes
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -59,21 +61,20 @@ def valid(vector) -> F.Column:
 
 
 def visits(rows: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(home of each row, row and cell of its visits to others)."""
+    """(home of each row, row and cell of its visits to higher cells)."""
     near = rows @ centres.T
     home = near.argmax(axis=1)
     apart = np.sqrt(np.maximum(2 - 2 * np.clip(centres @ centres.T, -1, 1), 0))[home]
     close = near.max(axis=1, keepdims=True) - near <= reach * apart + 1e-9
-    close[np.arange(len(rows)), home] = False
+    close &= np.arange(len(centres)) > home[:, None]
     return (home, *np.nonzero(close))
 
 
-CELLS = "label string, rep long, size long, v array<double>, cell int, home int, goes array<int>"
+CELLS = "label string, rep long, size long, v array<double>, cell int, home int"
 
 
 def assigned(classes: DataFrame, centres: np.ndarray, reach: float) -> DataFrame:
-    """A row for each class and cell it lives in or visits; goes: all cells that it visits. Vectors of another length
-    than the centroids share the cell -1."""
+    """A row for each class and cell it lives in or visits. Vectors of another length than the centroids share the cell -1."""
     shared = classes.sparkSession.sparkContext.broadcast(centres)  # at most MOST_CELLS rows
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,16 +82,16 @@ def assigned(classes: DataFrame, centres: np.ndarray, reach: float) -> DataFrame
             for start in range(0, whole.num_rows, 2048):
                 batch = whole.slice(start, 2048)
                 fits = np.asarray(batch.column("v").value_lengths()) == shared.value.shape[1]
-                home, goes = np.full(batch.num_rows, -1), [[] for _ in range(batch.num_rows)]
+                home, row, cell = np.full(batch.num_rows, -1), np.zeros(0, np.int64), np.zeros(0, np.int64)
                 at = np.flatnonzero(fits)
                 if len(at):
                     home[at], row, cell = visits(unit(matrix(batch.column("v").take(pa.array(at)))), shared.value, reach)
-                    for r, c in zip(at[row].tolist(), cell.tolist()):
-                        goes[r].append(c)
-                row = np.repeat(np.arange(batch.num_rows), [1 + len(g) for g in goes])
-                cells = [c for h, g in zip(home.tolist(), goes) for c in (h, *g)]
-                taken = batch.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([taken.column("label"), taken.column("rep"), taken.column("size"), taken.column("v").cast(pa.list_(pa.float64())), pa.array(cells, pa.int32()), pa.array(home[row], pa.int32()), pa.array([goes[r] for r in row.tolist()], pa.list_(pa.int32()))], names=["label", "rep", "size", "v", "cell", "home", "goes"])
+                    row = at[row]
+                row, cell = np.concatenate([np.arange(batch.num_rows), row]), np.concatenate([home, cell])
+                for k in range(0, len(row), ROWS_AT_ONCE):
+                    part = row[k : k + ROWS_AT_ONCE]
+                    taken = batch.take(pa.array(part))
+                    yield pa.RecordBatch.from_arrays([taken.column("label"), taken.column("rep"), taken.column("size"), taken.column("v").cast(pa.list_(pa.float64())), pa.array(cell[k : k + ROWS_AT_ONCE], pa.int32()), pa.array(home[part], pa.int32())], names=["label", "rep", "size", "v", "cell", "home"])
 
     return classes.select("label", "rep", "size", "v").mapInArrow(assign, CELLS)
 
@@ -102,26 +103,19 @@ def compare(pairs: pa.Table, threshold: float) -> pa.Table:
     for dim in np.unique(sizes):
         own = pairs.take(pa.array(np.flatnonzero(sizes == dim)))
         side = own.column("side").to_numpy()
-        rep, size, home = (own.column(c).to_numpy() for c in ("rep", "size", "home"))
-        goes = own.column("goes").combine_chunks()
-        went, to = np.repeat(np.arange(len(rep)), np.asarray(goes.value_lengths())), goes.flatten().to_numpy()
-        cell = int(own.column("cell")[0].as_py())
+        rep, size = (own.column(c).to_numpy() for c in ("rep", "size"))
         rows = unit(matrix(own.column("v").combine_chunks()))
         alone = bool(own.column("alone")[0].as_py())
         left = np.flatnonzero(side == 0)
         right = left if alone else np.flatnonzero(side == 1)
-        wanted = set(zip(went.tolist(), to.tolist())) if (home[right] != cell).any() else set()
         links = np.zeros(len(rep), np.int64)
         x, y = [], []
         for at in range(0, len(left), 256):
             some = left[at : at + 256]
             i, j = np.nonzero(rows[some] @ rows[right].T >= threshold)
             i, j = some[i], right[j]
-            keep = i < j if alone else np.ones(len(i), bool)
-            far = np.flatnonzero(keep & (home[j] != cell))  # met in the other's home as well: counted in the smaller cell
-            for f in far.tolist():
-                keep[f] = cell < home[j[f]] or (int(i[f]), int(home[j[f]])) not in wanted
-            i, j = i[keep], j[keep]
+            if alone:
+                i, j = i[i < j], j[i < j]
             np.add.at(links, i, size[j])
             np.add.at(links, j, size[i])
             member, root = forest(np.concatenate([rep[i], *x]), np.concatenate([rep[j], *y]))
@@ -160,7 +154,7 @@ def near_duplicates(rows: DataFrame, id_column: str = "vec_id", vector_column: s
     lower = F.filter(F.sequence(F.lit(0), F.col("b")), lambda i: i < F.col("b"))
     as_right = F.transform(lower, lambda i: F.struct(i.alias("i"), F.col("b").alias("j"), F.lit(1).alias("side"), F.lit(False).alias("alone")))
     as_guest = F.transform(F.sequence(F.lit(0), F.col("nh") - 1), lambda i: F.struct(i.alias("i"), (F.col("nh") + F.col("b")).alias("j"), F.lit(1).alias("side"), F.lit(False).alias("alone")))
-    laid = sized.withColumn("p", F.explode(F.when(at_home, F.concat(as_left, as_right)).otherwise(as_guest))).select("label", "cell", "p.i", "p.j", "p.side", "p.alone", "rep", "size", "v", "home", "goes").repartition("label", "cell", "i", "j")  # else all blocks of a cell meet in one task
+    laid = sized.withColumn("p", F.explode(F.when(at_home, F.concat(as_left, as_right)).otherwise(as_guest))).select("label", "cell", "p.i", "p.j", "p.side", "p.alone", "rep", "size", "v").repartition("label", "cell", "i", "j")  # else all blocks of a cell meet in one task
     found = staged(laid.groupBy("label", "cell", "i", "j").applyInArrow(lambda t: compare(t, threshold), "rep long, links long, other long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = staged(components(found.filter("rep <> other").select("rep", "other")))
