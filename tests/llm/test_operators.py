@@ -136,6 +136,23 @@ def test_site_tree_removes_what_a_host_repeats(spark, tmp_path):
     assert {r["text"] for r in html_text.extract(everything).collect()} == {"all the same"}
 
 
+def test_importance_decides_inside_and_outside_of_articles(spark):
+    rng = random.Random(2)
+    own = [words(rng, 30) for _ in range(80)]
+    page = {
+        "in.org": lambda t: f"<article><div class=c1><p>Boilerplate of the host</p></div><div class=c2><p>{t}</p></div></article>",
+        "out.org": lambda t: f"<body><div class=t><article><a>Read this too</a></article></div><div class=c2><p>{t}</p></div></body>",
+        "copies.org": lambda t: f"<main><p>{own[0]}</p></main><div class=c3>{t[:20]}</div>",
+        "few.org": lambda t: f"<article><p>{t}</p></article>outside",
+    }
+    rows = [(h, i, f"http://{h}/", page[h](own[i])) for h in page for i in range(20 if h != "few.org" else 3)]
+    df = spark.createDataFrame([(k, u, x) for k, (_, _, u, x) in enumerate(rows)], "page_id long, url string, html string")
+    found = {rows[r["page_id"]][:2]: r["text"] for r in html_text.extract(df).collect()}
+    plain = [" ".join(t.split()) for t in own]
+    want = {"in.org": lambda i: plain[i], "out.org": lambda i: plain[i], "copies.org": lambda i: plain[0] + "\n\n" + " ".join(own[i][:20].split()), "few.org": lambda i: plain[i]}
+    assert found == {(h, i): want[h](i) for h, i, _, _ in rows}
+
+
 def test_pages_of_the_tables(spark, odd):
     found = {r["page_id"]: r for r in queries.QUERIES["op1_html_text"](spark, SF).collect()}
     for page_id, raw in duckdb.sql(f"SELECT page_id, html FROM '{SF}/pages.parquet'").fetchall():

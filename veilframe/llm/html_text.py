@@ -7,8 +7,10 @@ as in the site style tree of the literature, with a damping factor GAMMA for eve
 below LEAST on a host with at least PAGES pages are removed.
 
 Elements that name themselves as menus, headers, footers, sidebars, notices, adverts, forms or comments (tag, role, class,
-id) go on every host. The article element (or main) is never removed for low importance: copies of one article
-would otherwise make it look like a template. If nothing is left, importance is not used on that page.
+id) go on every host. The article element (or main) itself is never removed for low importance; what lies below it is, unless
+that is all of it and no longer text stays outside: copies of one article would otherwise make it look like a template. Text
+outside of an article stays by its importance if the host has at least PAGES pages; on others only the article counts. If
+nothing is left, importance is not used on that page.
 
 Statistics are counts by (host, element, value) that every task adds up first; a host's tree is as large as its templates.
 Null html gives an empty text; pages without a host only know the rules that need no tree. Repeated rows are pages
@@ -33,6 +35,7 @@ from .common import sliced, staged, table
 GAMMA, LEAST, PAGES = 0.9, 0.4, 8
 BROADCAST_ROWS = 50_000  # up to so many low elements go to all tasks; beyond, pages are joined with them
 FLUSH = 200_000
+ROOT = 0  # path of the element around a page; among the low elements it tells that the host was judged
 
 # HTML's vocabulary, and the names that pages give to what is not their article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -87,7 +90,7 @@ def is_chrome(tag: str, given: dict[str, str], in_article: bool) -> bool:
 def walk(page: str, on_text, on_close, on_block, low: frozenset[int] = frozenset()) -> bool:
     """Goes through a page once. on_text(element, raw text), on_close(element), on_block() between blocks. Returns whether
     there is an article element (or main) outside of what is dropped."""
-    stack = [Element("", 0, 0, 0, False, False, False)]
+    stack = [Element("", ROOT, ROOT, 0, False, False, False)]
     seen_article = False
 
     def close(to: int) -> None:
@@ -135,7 +138,7 @@ def walk(page: str, on_text, on_close, on_block, low: frozenset[int] = frozenset
         dropped = top.dropped or is_chrome(tag, given, top.article)
         article = top.article or (not dropped and (tag in ("article", "main") or given.get("role", "").lower() == "main"))
         seen_article |= article
-        inner = Element(tag, path, top.path, top.depth + 1, dropped, top.low or path in low, article)
+        inner = Element(tag, path, top.path, top.depth + 1, dropped, (top.low or path in low) and top.article == article, article)
         if not top.children or top.children[-1] != path:
             top.children.append(path)
         if tag in RAW:
@@ -152,29 +155,31 @@ def walk(page: str, on_text, on_close, on_block, low: frozenset[int] = frozenset
 
 
 def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
+    """low: the elements of low importance of the host, and ROOT if its tree was judged."""
     if not page:
         return ""
-    kept: dict[str, list[str]] = {"article": [], "high": [], "all": []}
-    parts: dict[str, list[str]] = {k: [] for k in kept}
+    blocks: list[list[tuple[Element, str]]] = [[]]
 
     def on_text(element: Element, raw: str) -> None:
-        if element.dropped:
-            return
-        parts["all"].append(raw)
-        if not element.low:
-            parts["high"].append(raw)
-        if element.article:
-            parts["article"].append(raw)
+        if not element.dropped:
+            blocks[-1].append((element, raw))
 
     def on_block() -> None:
-        for kind, own in parts.items():
-            if own:
-                if text := " ".join(html.unescape("".join(own)).split()):
-                    kept[kind].append(text)
-                own.clear()
+        if blocks[-1]:
+            blocks.append([])
+
+    def text_of(wanted) -> str:
+        texts = (" ".join(html.unescape("".join(raw for e, raw in own if wanted(e))).split()) for own in blocks)
+        return "\n\n".join(x for x in texts if x)
 
     seen = walk(page, on_text, lambda _: None, on_block, low)
-    return "\n\n".join(kept["article"] if seen else kept["high"] or kept["all"])
+    article = text_of(lambda e: e.article) if seen else ""
+    if article and ROOT not in low:
+        return article
+    high = text_of(lambda e: not e.low)
+    if article and not any(e.article and not e.low and raw.strip() for own in blocks for e, raw in own) and len(article) > len(high):
+        return text_of(lambda e: e.article or not e.low)
+    return high or text_of(lambda e: True)
 
 
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
@@ -244,7 +249,7 @@ def entropy_of_tree(rows: list[dict]) -> dict[int, float]:
 
 
 def low_elements(pages: DataFrame) -> DataFrame:
-    """host, path: elements of low importance."""
+    """host, path: elements of low importance, and ROOT for each host with at least PAGES pages."""
     counts = count_elements(pages).groupBy("host", "path", "parent", "depth", "kind", "value").agg(F.sum("n").alias("n"))
     of = lambda kind, x: F.coalesce(F.sum(F.when(F.col("kind") == kind, x)), F.lit(0))
     own = F.col("n") * F.log(F.col("n").cast("double"))
@@ -256,7 +261,7 @@ def low_elements(pages: DataFrame) -> DataFrame:
     def judge(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
         importance = entropy_of_tree(rows)
-        low = [r["path"] for r in rows if r["pages"] >= PAGES and importance[r["path"]] < LEAST]
+        low = [r["path"] for r in rows if r["pages"] >= PAGES and (r["path"] == ROOT or importance[r["path"]] < LEAST)]
         return pa.table({"host": pa.array([rows[0]["host"]] * len(low), pa.string()), "path": pa.array(low, pa.int64())})
 
     return nodes.groupBy("host").applyInArrow(judge, "host string, path long")
