@@ -153,6 +153,15 @@ def test_importance_decides_inside_and_outside_of_articles(spark):
     assert found == {(h, i): want[h](i) for h, i, _, _ in rows}
 
 
+def test_names_of_wrappers_drop_no_article():
+    text = html_text.main_text
+    assert text("<div class='content has-sidebar'><article><p>One</p><div class='share-buttons'>no</div></article><div class=sidebar>no</div></div>") == "One"
+    assert text("<div id='page' class='no-comments'><p>Most of the text</p><div class=comments>no</div></div><div>rest</div>") == "Most of the text\n\nrest"
+    assert text("<main>One</main><ol class='comment-list'><li><article>much longer than the text itself</article></ol>") == "One"
+    assert text("<div>The text without any article element</div><div class='related-posts'><article>Two</article></div>") == "The text without any article element\n\nTwo"
+    assert text("<div class=widget><article>One</article></div>") == "One" and text("<div class=ad>a</div><div class=alert>b</div>") == "a\n\nb"
+
+
 def test_pages_of_the_tables(spark, odd):
     found = {r["page_id"]: r for r in queries.QUERIES["op1_html_text"](spark, SF).collect()}
     for page_id, raw in duckdb.sql(f"SELECT page_id, html FROM '{SF}/pages.parquet'").fetchall():

@@ -7,7 +7,9 @@ as in the site style tree of the literature, with a damping factor GAMMA for eve
 below LEAST on a host with at least PAGES pages are removed.
 
 Elements that name themselves as menus, headers, footers, sidebars, notices, adverts, forms or comments (tag, role, class,
-id) go on every host. The article element (or main) itself is never removed for low importance; what lies below it is, unless
+id) go on every host. A class or id of several words (has-sidebar) may tell of the page instead: such a branch stays if an
+article (or main) or most of the page's text is in it and no article stands outside of such branches. If nothing is left,
+the same holds for names of one word, and then names don't count. The article element (or main) itself is never removed for low importance; what lies below it is, unless
 that is all of it and no longer text stays outside: copies of one article would otherwise make it look like a template. Text
 outside of an article stays by its importance if the host has at least PAGES pages; on others only the article counts. If
 nothing is left, importance is not used on that page.
@@ -53,12 +55,21 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|
 WORDS = re.compile(r"[a-z]+")
 
 
+class Branch:
+    """What is in an element that is named like something else than the article."""
+
+    __slots__ = ("outer", "kind", "article", "size")
+
+    def __init__(self, outer, kind):
+        self.outer, self.kind, self.article, self.size = outer, kind, False, 0
+
+
 class Element:
-    __slots__ = ("tag", "path", "parent", "depth", "dropped", "low", "article", "children", "texts")
+    __slots__ = ("tag", "path", "parent", "depth", "dropped", "low", "article", "branch", "children", "texts")
 
-    def __init__(self, tag, path, parent, depth, dropped, low, article):
+    def __init__(self, tag, path, parent, depth, dropped, low, article, branch):
         self.tag, self.path, self.parent, self.depth = tag, path, parent, depth
-        self.dropped, self.low, self.article = dropped, low, article
+        self.dropped, self.low, self.article, self.branch = dropped, low, article, branch
         self.children, self.texts = [], []
 
 
@@ -69,29 +80,38 @@ def attributes(raw: str) -> dict[str, str]:
     return found
 
 
-def is_chrome(tag: str, given: dict[str, str], in_article: bool) -> bool:
-    """Does an element say itself that it is not part of the article?"""
+CLEAR, COMPOUND, NAMED, CHROME = range(4)
+
+
+def is_chrome(tag: str, given: dict[str, str], in_article: bool) -> int:
+    """Does an element say itself that it is not part of the article? By a class or id of several words, one of one word, or
+    without doubt."""
     if tag in DROPPED:
-        return True
+        return CHROME
     if tag in ("html", "body", "article", "main"):
-        return False
+        return CLEAR
     if tag == "header" and not in_article:
-        return True
+        return CHROME
     if not given:
-        return False
+        return CLEAR
     if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "display:none" in given.get("style", "").replace(" ", "").lower():
-        return True
+        return CHROME
     if given.get("role", "").lower() in ROLES:
-        return True
-    words = set(WORDS.findall(f"{given.get('class', '')} {given.get('id', '')}".lower()))
-    return bool(words & NAMES) or (not in_article and bool(words & HEADERS) and tag in ("div", "section"))
+        return CHROME
+    telling = NAMES | HEADERS if not in_article and tag in ("div", "section") else NAMES
+    kind = CLEAR
+    for name in f"{given.get('class', '')} {given.get('id', '')}".lower().split():
+        words = WORDS.findall(name)
+        if not telling.isdisjoint(words):
+            kind = max(kind, COMPOUND if len(words) > 1 else NAMED)
+    return kind
 
 
-def walk(page: str, on_text, on_close, on_block, low: frozenset[int] = frozenset()) -> bool:
+def walk(page: str, on_text, on_close, on_block, low: frozenset[int] = frozenset()) -> tuple[bool, list[Branch]]:
     """Goes through a page once. on_text(element, raw text), on_close(element), on_block() between blocks. Returns whether
-    there is an article element (or main) outside of what is dropped."""
-    stack = [Element("", ROOT, ROOT, 0, False, False, False)]
-    seen_article = False
+    there is an article element (or main) outside of what is dropped and of all branches, and the branches."""
+    stack = [Element("", ROOT, ROOT, 0, False, False, False, None)]
+    seen_article, branches = False, []
 
     def close(to: int) -> None:
         while len(stack) > to:
@@ -135,10 +155,18 @@ def walk(page: str, on_text, on_close, on_block, low: frozenset[int] = frozenset
         given = attributes(raw) if raw.strip() else {}
         kind = tag + "." + given["class"] if given.get("class") else tag
         path = ((top.path * 1_000_003) ^ zlib.crc32(kind.encode("utf-8", "replace")) * 0x9E3779B1) & 0x7FFFFFFFFFFFFFFF
-        dropped = top.dropped or is_chrome(tag, given, top.article)
+        kind = CHROME if top.dropped else is_chrome(tag, given, top.article)
+        dropped, branch = kind == CHROME, top.branch
+        if kind in (COMPOUND, NAMED):
+            branch = Branch(branch, kind)
+            branches.append(branch)
         article = top.article or (not dropped and (tag in ("article", "main") or given.get("role", "").lower() == "main"))
-        seen_article |= article
-        inner = Element(tag, path, top.path, top.depth + 1, dropped, (top.low or path in low) and top.article == article, article)
+        if article and not top.article:
+            seen_article |= branch is None
+            around = branch
+            while around is not None:
+                around.article, around = True, around.outer
+        inner = Element(tag, path, top.path, top.depth + 1, dropped, (top.low or path in low) and top.article == article, article, branch)
         if not top.children or top.children[-1] != path:
             top.children.append(path)
         if tag in RAW:
@@ -151,7 +179,7 @@ def walk(page: str, on_text, on_close, on_block, low: frozenset[int] = frozenset
             stack.append(inner)
     on_block()
     close(0)
-    return seen_article
+    return seen_article, branches
 
 
 def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
@@ -168,13 +196,40 @@ def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
         if blocks[-1]:
             blocks.append([])
 
+    seen, branches = walk(page, on_text, lambda _: None, on_block, low)
+    if not branches:
+        return chosen(blocks, low, seen)
+    total = 0
+    for own in blocks:
+        for e, raw in own:
+            size = len(raw.strip())
+            total += size
+            if e.branch is not None:
+                e.branch.size += size
+    for branch in reversed(branches):
+        if branch.outer is not None:
+            branch.outer.size += branch.size
+    for most in (COMPOUND, NAMED):
+        some = [] if seen and most == COMPOUND else [x for x in branches if x.kind <= most]
+        articles = any(x.article for x in some)
+        stay: set[Branch | None] = {None}
+        for x in some:  # outer ones come first
+            if x.outer in stay and (x.article if articles else 2 * x.size > total):
+                stay.add(x)
+        if text := chosen([[x for x in own if x[0].branch in stay] for own in blocks], low, seen):
+            return text
+    return chosen(blocks, low, seen)
+
+
+def chosen(blocks: list[list[tuple[Element, str]]], low: frozenset[int], seen: bool) -> str:
+    """The text of what counts. seen: an article decides, even if it is shorter than what is outside of it."""
+
     def text_of(wanted) -> str:
         texts = (" ".join(html.unescape("".join(raw for e, raw in own if wanted(e))).split()) for own in blocks)
         return "\n\n".join(x for x in texts if x)
 
-    seen = walk(page, on_text, lambda _: None, on_block, low)
-    article = text_of(lambda e: e.article) if seen else ""
-    if article and ROOT not in low:
+    article = text_of(lambda e: e.article)
+    if article and ROOT not in low and (seen or 2 * len(article) > len(text_of(lambda e: True))):
         return article
     high = text_of(lambda e: not e.low)
     if article and not any(e.article and not e.low and raw.strip() for own in blocks for e, raw in own) and len(article) > len(high):
