@@ -622,6 +622,14 @@ def test_pipeline_stages(spark, odd):
     check_packing(packed, [(r["doc_id"], r["text"]) for r in clean.collect()])
 
 
+def test_one_of_each_group_by_rows(spark):
+    rng = random.Random(4)
+    a, b, c, d, e, f = (words(rng, 60) for _ in range(6))
+    rows = [(None, a), (None, b), (1, c), (1, d), (2, c), (None, d), (3, e), (3, e), (None, f), (4, f), (5, ""), (5, None), (None, "")]
+    got = ngram_join.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(None, a), (None, b), (1, c), (1, d), (3, e), (4, f), (5, ""), (5, None), (None, "")]))
+
+
 def test_pipeline_on_odd_rows(spark, odd):
     docs = spark.read.parquet(f"{odd}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:

@@ -345,8 +345,11 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs without near copies: the document with the smallest id of each group stays, with all its columns. Rows that
-    repeat an id that stays are one row afterwards; rows with a null id stay only if no id of their group is known."""
-    groups = jaccard_groups(docs.select("doc_id", "text"), n, percent)
-    stay = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """docs without near copies: the document with the smallest id of each group stays, with all its columns; one with a
+    null id only if no id of its group is known. Rows that repeat both id and text are one row afterwards; different texts with
+    one id are documents of their own."""
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))  # groups are made by row: ids may be null or repeated
+    groups = jaccard_groups(keyed.select(F.col("__key").alias("doc_id"), "text"), n, percent).select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    rows = keyed.select("__key", F.col("doc_id").cast("long").alias("id")).distinct().join(groups, "__key")
+    stay = rows.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "__key")).alias("least")).select("least.__key").distinct()
+    return keyed.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
