@@ -2,7 +2,7 @@
 
 1. quality: the byte-level network, trained on the labels of the documents that it gets, drops what it rejects.
 2. near_duplicates: of each group at a Jaccard similarity of 0.8 or more on five-word shingles the smallest doc_id stays.
-3. repeated_passages: strings of PASSAGE bytes that begin at two places or more go, at all their places; documents of which only
+3. repeated_passages: strings of PASSAGE bytes or WORDS words that begin at two places or more go, at all their places; documents of which only
    white space is left go.
 4. packing: what is left is packed into sequences of at most 2048 tokens, a row for each piece.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from veilframe.llm import ngram_join, packing, quality, suffixes
 from veilframe.llm.common import staged, table
 
-PASSAGE = 200  # bytes: a passage of over 50 words is longer
+PASSAGE, WORDS = 200, 51  # bytes, and the words of a passage that may be shorter than that
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffixes.without_repeats(docs, PASSAGE).filter(F.trim("text") != "")
+    return suffixes.without_repeats(docs, PASSAGE, WORDS).filter(F.trim("text") != "")
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

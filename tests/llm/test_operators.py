@@ -630,6 +630,17 @@ def test_one_of_each_group_by_rows(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(None, a), (None, b), (1, c), (1, d), (3, e), (4, f), (5, ""), (5, None), (None, "")]))
 
 
+def test_repeated_passages_of_short_words(spark):
+    rng = random.Random(13)
+    own = lambda: " ".join(f"{rng.randrange(10**9):09d}" for _ in range(20))
+    digits = " ".join(f"{rng.randrange(100):02d}" for _ in range(52)).split(" ")
+    over, under = " ".join(digits[:51]), "é" + " ".join(digits[1:50])
+    texts = [own() + " " + over + " " + own(), over, "x\t" + over + "\n" + own(), under + " " + own(), own() + " " + under, " ".join(digits[:2]), None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.without_repeated_passages(spark, df, SF).collect()}
+    assert got == {i: t.replace(over, "") for i, t in enumerate(texts) if t and t != over}
+
+
 def test_pipeline_on_odd_rows(spark, odd):
     docs = spark.read.parquet(f"{odd}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:

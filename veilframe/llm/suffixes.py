@@ -291,17 +291,59 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(removed, "key", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
 
 
-def without_repeats(docs: DataFrame, length: int) -> DataFrame:
-    """docs with the repeated strings taken out of text; a character of which only part would stay goes as a whole. All other columns stay,
-    n_chars follows the text."""
+def short_passages(docs: DataFrame, length: int, words: int) -> DataFrame:
+    """key, spans: passages of so many words that stand at two places or more and have fewer bytes than length. Such words are
+    short, so that few places of most texts are looked at."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        white = np.isin(np.arange(256), [32, *range(9, 14)])
+        first, second = RangeHash(21), RangeHash(22)
         for batch in sliced(batches, "text"):
-            texts = [kept_bytes(t.encode("utf-8"), s).decode("utf-8", "ignore") for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.string())], names=["__key", "__kept"])
+            bounds, data = text_bytes(batch.column("text"))
+            inside = np.concatenate([~white[data], [False]])
+            begins, stops = inside.copy(), np.zeros(len(inside), bool)
+            begins[1:] &= ~inside[:-1]
+            begins[bounds[:-1]] |= inside[bounds[:-1]]
+            stops[1:] = inside[:-1] & ~inside[1:]
+            stops[bounds[1:]] |= inside[bounds[1:] - 1] & (bounds[1:] > bounds[:-1])
+            begin, stop = np.flatnonzero(begins), np.flatnonzero(stops)
+            owner = np.searchsorted(bounds, begin, side="right") - 1
+            begin, stop = begin[: len(begin) - words + 1], stop[words - 1 :]
+            near = (owner[: len(begin)] == owner[words - 1 :]) & (stop - begin < length) if len(begin) else np.zeros(0, bool)
+            begin, stop, owner = begin[near], stop[near], owner[: len(near)][near]
+            names = [mixed(h.of(h.sums(data), begin, stop)).view(np.int64) for h in (first, second)] if len(begin) else [np.zeros(0, np.int64)] * 2
+            at = bounds[owner]
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(owner)), *map(pa.array, names), pa.array(begin - at, pa.int32()), pa.array(stop - at, pa.int32())], names=["key", "h1", "h2", "begin", "stop"])
+
+    places = staged(docs.select(doc_key().alias("key"), "text").mapInArrow(find, "key long, h1 long, h2 long, begin int, stop int"))
+    twice = places.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
+    return places.join(twice, ["h1", "h2"]).groupBy("key").agg(F.flatten(F.collect_set(F.array("begin", "stop"))).alias("spans"))
+
+
+def merged(spans: list[int]) -> list[int]:
+    """Spans (from, to, ...) in order, those that meet as one."""
+    out: list[int] = []
+    for begin, stop in sorted(zip(spans[::2], spans[1::2])):
+        if out and begin <= out[-1]:
+            out[-1] = max(out[-1], stop)
+        else:
+            out += [begin, stop]
+    return out
+
+
+def without_repeats(docs: DataFrame, length: int, words: int) -> DataFrame:
+    """docs with the repeated strings of so many bytes, and the repeated passages of so many words, taken out of text; a character of
+    which only part would stay goes as a whole. All other columns stay, n_chars follows the text."""
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else kept_bytes(t.encode("utf-8"), merged(s)).decode("utf-8", "ignore") for t, s in zip(texts.to_pylist(), spans.to_pylist())], pa.string())
 
-    changed = repeats(docs.select("doc_id", "text"), length).mapInArrow(cut, "__key long, __kept string").dropDuplicates(["__key"])
-    joined = docs.withColumn("__key", doc_key()).join(changed, "__key", "left").withColumn("text", F.coalesce("__kept", "text"))
+    narrow = docs.select("doc_id", "text")
+    both = repeats(narrow, length).select("key", F.col("spans").cast("array<int>").alias("spans")).unionByName(short_passages(narrow, length, words))
+    changed = both.groupBy(F.col("key").alias("__key")).agg(F.flatten(F.collect_set("spans")).alias("__spans"))
+    kept = cut(F.when(F.col("__spans").isNotNull(), F.col("text")), F.col("__spans"))
+    joined = docs.withColumn("__key", doc_key()).join(changed, "__key", "left").withColumn("text", F.coalesce(kept, "text"))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        joined = joined.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return joined.select(*docs.columns)
