@@ -309,7 +309,7 @@ def public_jobs(spark, sf_dir):
 @query("""SELECT event_id, greatest(least(user_id, 40), 5) AS clamped, 10 + floor(user_id / 100.0 * 70)::INTEGER AS progress, CASE WHEN event_id < 1024 THEN event_id || ' B' ELSE printf('%.1f KB', event_id / 1024.0) END AS size,
  CASE WHEN regexp_matches(lower(trim(event_type)), '^[\\p{L}\\p{N}._\\-@]+$') THEN lower(trim(event_type)) END AS user_name, '/' AS target FROM events WHERE event_id < 1048576""")
 def display_values(spark, sf_dir):
-    events = table(spark, sf_dir, "events").filter("event_id < 1048576")
+    events = table(spark, sf_dir, "events")
     return events.select("event_id", scalars.clamp(F.col("user_id"), 5, 40).alias("clamped"), scalars.progress(F.col("user_id"), F.lit(100)).alias("progress"), scalars.human_bytes(F.col("event_id")).alias("size"), scalars.user_name(F.col("event_type")).alias("user_name"), scalars.local_target(F.concat(F.lit("//"), "event_type")).alias("target"))
 
 
