@@ -236,6 +236,17 @@ def test_perfect_hash(codec):
     assert codec.hash.size == len(codec.tokens)
 
 
+def test_a_full_cache_keeps_what_a_batch_needs(codec, monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN_LIMIT", 10)
+    monkeypatch.setattr(bpe, "LONG", 2000)
+    rng = random.Random(6)
+    texts = [words(rng, 30), words(rng, 2000), words(rng, 300), None, words(rng, 2000), words(rng, 30)]
+    own = bpe.Codec(codec.ranks, public_tokenizers.PATTERN)
+    assert len(texts[2]) <= 2000 < len(texts[1])
+    got = [b"".join(own.decode(part) for part in parts).decode() for parts in own.encode_all(texts)]
+    assert got == [t or "" for t in texts]
+
+
 def test_heap_merges_like_the_plain_loop(codec):
     rng = random.Random(3)
 

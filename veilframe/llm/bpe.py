@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import RangeHash, mixed, sliced, table
 
 KNOWN_LIMIT = 300_000  # pre-tokens that a worker remembers
+LONG = 1 << 20  # characters: longer texts are encoded in parts
 PIECES_AT_ONCE = 200_000  # of one long text
 
 
@@ -157,7 +158,7 @@ class Codec:
     def learn(self, pieces: Iterable[str]) -> dict[str, tuple[int, ...]]:
         """Ids of all these pre-tokens, with what is remembered."""
         if len(self.known) > KNOWN_LIMIT:
-            self.known.clear()
+            self.known = {}  # a batch may still hold the old one
         known = self.known
         new = [x for x in set(pieces) if x not in known]
         coded = [x.encode("utf-8") for x in new]
@@ -171,6 +172,13 @@ class Codec:
         while pieces := [m.group() for m in islice(found, PIECES_AT_ONCE)]:
             yield self.join(pieces, self.learn(pieces))
 
+    def encode_all(self, texts: list[str | None]) -> Iterator[Iterable[np.ndarray]]:
+        """Ids of each text, in parts; what the texts up to LONG hold is learned at once."""
+        short = [self.pattern.findall(x) if x and len(x) <= LONG else [] for x in texts]
+        known = self.learn(chain.from_iterable(short))
+        for text, pieces in zip(texts, short):
+            yield self.encode(text) if text and not pieces else (self.join(pieces, known),)
+
     @staticmethod
     def join(pieces: list[str], known: dict[str, tuple[int, ...]]) -> np.ndarray:
         return np.fromiter(chain.from_iterable(map(known.__getitem__, pieces)), np.uint32)
@@ -199,13 +207,10 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str = public_tok
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(raw.value, pattern)
         for batch in sliced(batches, "text", 2 << 20):
-            texts = batch.column("text").to_pylist()
-            short = [own.pattern.findall(x) if x and len(x) <= 1 << 20 else [] for x in texts]
-            known = own.learn(chain.from_iterable(short))
             counts, ids_sha, decoded_sha, ids = [], [], [], []
-            for text, pieces in zip(texts, short):
+            for parts in own.encode_all(batch.column("text").to_pylist()):
                 first, second, n, kept = hashlib.sha256(), hashlib.sha256(), 0, []
-                for part in own.encode(text) if text and not pieces else (own.join(pieces, known),):
+                for part in parts:
                     first.update(part.astype("<u4").tobytes())
                     second.update(own.decode(part))
                     n += len(part)
