@@ -18,6 +18,7 @@ import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -610,6 +611,13 @@ def test_archives_are_rebuilt_exactly(spark, odd):
             list(warc.parse_records(broken))
 
 
+def test_the_query_reads_reconstructed_records(spark, odd, monkeypatch):
+    whole = warc.reconstruct
+    monkeypatch.setattr(warc, "reconstruct", lambda *tables: whole(*tables).withColumn("record", F.expr("substr(record, 1, length(record) - 2)")))
+    with pytest.raises(Exception, match="malformed"):
+        warc.op10_warc(spark, odd).collect()
+
+
 # the pipeline
 
 

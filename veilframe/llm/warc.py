@@ -102,38 +102,6 @@ def parse_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = stop + length + 4
 
 
-READ_SCHEMA = "page_id long, head_digest string, record_type string, refers_to long, told_bytes long"
-
-
-def read_heads(heads: DataFrame) -> DataFrame:
-    """What the stored headers say."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fields = [parse_head(x) for x in batch.column("head").to_pylist()]
-            number = lambda name: pa.array([int(x[name]) if x.get(name, "null") != "null" else None for x in fields], pa.int64())
-            yield pa.RecordBatch.from_arrays([number("x-page"), pa.array([x["warc-payload-digest"].partition(":")[2] for x in fields], pa.string()), pa.array([x["warc-type"] for x in fields], pa.string()), number("x-refers-to-page"), number("http-length")], names=[x.split()[0] for x in READ_SCHEMA.split(", ")])
-
-    return heads.select("head").mapInArrow(read, READ_SCHEMA)
-
-
-def verified_store(store: DataFrame) -> DataFrame:
-    """digest, stored_bytes, recomputed digest of each stored payload."""
-    return store.select("payload_digest", F.octet_length("payload").cast("long").alias("stored_bytes"), F.sha2("payload", 256).alias("recomputed"))
-
-
-def read_archive(heads: DataFrame, store: DataFrame) -> DataFrame:
-    """A row for each record, checked against its payload; fails if a payload is missing or damaged."""
-    read = read_heads(heads)
-    held = verified_store(store)
-    sound = (F.col("recomputed") == F.col("head_digest")) & (F.col("stored_bytes") == F.col("told_bytes"))
-    return read.join(held, F.col("head_digest") == F.col("payload_digest"), "left").select(
-        "page_id", F.col("stored_bytes").alias("payload_bytes"),
-        F.when(sound, F.col("recomputed")).otherwise(F.raise_error(F.concat(F.lit("payload missing or damaged: "), F.col("head_digest")))).alias("payload_digest"),
-        "record_type", "refers_to",
-    )
-
-
 def reconstruct(heads: DataFrame, store: DataFrame) -> DataFrame:
     """page_id, record, payload: every record's exact bytes and its full payload, through the join by digest."""
     eol = F.lit(b"\r\n\r\n")
@@ -142,6 +110,38 @@ def reconstruct(heads: DataFrame, store: DataFrame) -> DataFrame:
     return joined.select("payload_digest", F.concat("head", F.when(revisit, F.lit(b"")).otherwise(F.col("payload")), eol).alias("record"), "payload")
 
 
+READ_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+
+
+def read_archive(heads: DataFrame, store: DataFrame) -> DataFrame:
+    """A row for each record as it is reconstructed and parsed, with the length and digest of its payload; fails if a record is
+    malformed or its payload missing or damaged."""
+
+    def checked(record: bytes | None, payload: bytes | None) -> tuple:
+        try:
+            ((fields, held),) = parse_records(record or b"")
+        except ValueError as e:
+            raise ValueError(f"record malformed, its payload missing or damaged: {e}") from e
+        revisit = fields["warc-type"] == "revisit"
+        full = payload if revisit else held
+        digest = hashlib.sha256(full or b"").hexdigest()
+        told = fields["warc-payload-digest"].partition(":")[2]
+        if full is None or revisit and held or digest != told or len(full) != int(fields["http-length"]):
+            raise ValueError(f"payload missing or damaged: {told}")
+        number = lambda name: int(fields[name]) if fields.get(name, "null") != "null" else None
+        return number("x-page"), len(full), digest, fields["warc-type"], number("x-refers-to-page")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "record"):
+            rows = [checked(r.as_py(), p.as_py()) for r, p in zip(batch.column("record"), batch.column("payload"))]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in READ_SCHEMA.split(", ")])
+
+    # A response holds its payload itself.
+    own = F.when(F.contains(F.col("record"), F.lit(b"WARC-Type: revisit\r\n")), F.col("payload")).alias("payload")
+    return reconstruct(heads, store).select("record", own).mapInArrow(read, READ_SCHEMA)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared_dir(spark)
     return read_archive(*write_archive(table(spark, sf_dir, "pages")))
