@@ -24,6 +24,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tests.conftest import SF, canonical
 from veilframe.llm import bpe, html_text, matroska, ngram_join, packing, quality, queries, suffixes, token_count, vectors, warc
+from veilframe.llm import components as component_module
 from veilframe.llm.common import staged
 from veilframe.llm.components import components, forest
 
@@ -335,7 +336,9 @@ def test_recall_at_the_threshold(spark):
     assert np.mean(met) >= 0.9
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [2, 1000])
+def test_components(spark, monkeypatch, hot):
+    monkeypatch.setattr(component_module, "HOT", hot)
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, i) for i in range(1001, 1400)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(200)] + [(5, 5), (-3, 2000)]
     found = {r["id"]: r["component"] for r in components(spark.createDataFrame([*edges, (None, 1)], "a long, b long").repartition(7)).collect()}
@@ -454,12 +457,21 @@ def test_shortest_pack_first(histogram):
 # 7: suffixes
 
 
-def brute_spans(texts, length):
+def brute_spans(texts, length, words=None):
     raw = [(t or "").encode() for _, t in texts]
     count = collections.Counter(b[p : p + length] for b in raw for p in range(len(b) - length + 1))
-    out = []
+    runs = []
     for b in raw:
+        at = [m.span() for m in regex.finditer(rb"[^\x20\x09-\x0D]+", b)]
+        runs.append([(x[0], y[1]) for x, y in zip(at, at[words - 1 :])] if words else [])
+    again = collections.Counter(b[x:y] for b, own in zip(raw, runs) for x, y in own)
+    out = []
+    for b, own in zip(raw, runs):
         gone = np.zeros(len(b) + 1, int)
+        for x, y in own:
+            if again[b[x:y]] > 1:
+                gone[x] += 1
+                gone[y] -= 1
         for p in range(len(b) - length + 1):
             if count[b[p : p + length]] > 1:
                 gone[p] += 1
@@ -473,6 +485,21 @@ def test_suffixes(spark, odd):
         texts = texts_of(folder)
         want = sorted(str((i, len(b), int(m.sum()), int((np.diff(np.r_[0, m.astype(int)]) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~m])).hexdigest())) for (i, _), (b, m) in zip(texts, brute_spans(texts, 400)))
         assert sorted(map(str, rows_of(spark, "op7_suffixes", folder, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))) == want
+        left = sorted(str((i, bytes(np.frombuffer(b, np.uint8)[~m]).decode("utf-8", "ignore"))) for (i, _), (b, m) in zip(texts, brute_spans(texts, 200, 51)))
+        assert sorted(map(str, rows_of(spark, "op7_suffixes", folder, "doc_id", "text"))) == left
+
+
+def test_longer_strings_from_shorter_ones(spark):
+    """With small buckets and slices and over many partitions; texts of few letters, whose hashes have structure."""
+    rng = random.Random(12)
+    thue = "".join("ab"[bin(i).count("1") & 1] for i in range(4096))
+    texts = [(i, "".join(rng.choice("ab") for _ in range(rng.randrange(600)))) for i in range(40)] + [(50, thue), (51, thue.translate({97: 98, 98: 97})), (52, thue[100:1500]), (None, thue[3000:]), (53, None), (54, "")]
+    texts += [(60 + i, texts[i][1] + texts[i + 1][1][:420]) for i in range(20)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(7)
+    got = suffixes.removed(df, length=90, passage=30).collect()
+    want = sorted(str((i, int(m.sum()), int((np.diff(np.r_[0, m.astype(int)]) == 1).sum()))) for (i, _), (b, m) in zip(texts, brute_spans(texts, 90)))
+    assert sorted(str((r["doc_id"], r["n_removed"], r["n_spans"])) for r in got) == want
+    assert suffixes.removed(df, length=90, passage=30).filter("n_bytes <> octet_length(text)").count() == sum(bool(m.any()) for _, m in brute_spans(texts, 30))
 
 
 @pytest.mark.parametrize("length", [40, 100, 400])
@@ -558,9 +585,10 @@ def near_copies():
     return out
 
 
-@pytest.mark.parametrize("n, percent", [(3, 90), (5, 80), (1, 50)])
-def test_jaccard(spark, odd, n, percent, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 4)
+@pytest.mark.parametrize("n, percent, rows, hot", [(3, 90, 4, 1000), (5, 80, 4, 3), (1, 50, 2, 1000)])
+def test_jaccard(spark, odd, n, percent, rows, hot, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(component_module, "HOT", hot)
     for texts in (texts_of(odd), near_copies()):
         df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
         assert sorted(str(tuple(r)) for r in ngram_join.jaccard_groups(df, n, percent).collect()) == brute_groups(texts, n, percent)
@@ -636,7 +664,7 @@ def test_pipeline_stages(spark, odd):
     clean = staged(corpus_pipeline.without_repeated_passages(spark, one, big))
     texts = [(r["doc_id"], r["text"]) for r in one.collect()]
     left = {i: bytes(np.frombuffer(b, np.uint8)[~m]).decode("utf-8", "ignore") for (i, _), (b, m) in zip(texts, brute_spans(texts, corpus_pipeline.PASSAGE))}
-    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in clean.collect()} == {i: (t, len(t)) for i, t in left.items() if t.strip(" ")}
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in clean.collect()} == {i: (t, len(t)) for i, t in left.items() if t.strip(" \t\n\x0b\f\r")}
     packed = [tuple(r) for r in corpus_pipeline.packed_sequences(spark, clean, big).select(*COLUMNS6).collect()]
     check_packing(packed, [(r["doc_id"], r["text"]) for r in clean.collect()])
 

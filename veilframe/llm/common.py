@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SLICE_BYTES = 2 << 20  # text handled at once in a worker
 
 
@@ -22,30 +23,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, and only where it is unset one made here."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, where all is one machine, may
+    leave it unset; it gets a folder made here."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             found = known.get()
-        else:
+        elif spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local["):
             found = tempfile.mkdtemp(prefix="veilframe-")
             atexit.register(shutil.rmtree, found, ignore_errors=True)
             spark.sparkContext.setCheckpointDir(found)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return found.rstrip("/")
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends here and survives lost executors."""
-    return df.sparkSession.read.schema(df.schema).parquet(staged_path(df))
+    """df written to the shared folder and read again: lineage ends here and survives lost executors. dropped() takes it back."""
+    path = staged_path(df)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
 def staged_path(df: DataFrame) -> str:
-    path = f"{shared_dir(df.sparkSession)}/veilframe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """Writes df to a new place in the shared folder. The shuffles of the write go as soon as it is done: nothing reads them again."""
+    spark = df.sparkSession
+    path, before = f"{shared_dir(spark)}/veilframe-{uuid.uuid4().hex}", spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLES_GO)
+        else:
+            spark.conf.set(SHUFFLES_GO, before)
     return path
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Removes staged tables that nothing reads any more."""
+    for x in tables:
+        drop_path(x.sparkSession, x.staged_at)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Removes a staged table that nothing reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -98,34 +120,57 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class RangeHash:
-    """Polynomial hashes of byte ranges modulo 2**64 from prefix sums, with a random odd value for each byte value. All
-    share one base and the tables of its powers."""
+    """Polynomial hashes of byte ranges modulo 2**64 from prefix sums, with a random odd value for each byte value. Hashes of one
+    base share the tables of its powers."""
 
-    _base = 0x5851F42D4C957F2D
-    _powers = _inverses = np.ones(1, np.uint64)
+    _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, base: int = 0x5851F42D4C957F2D):
         rng = np.random.Generator(np.random.PCG64(seed))
         self.values = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.base = base
 
-    @classmethod
-    def _grow(cls, n: int) -> None:
-        if len(cls._powers) < n:
+    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers of the base and of its inverse, n of each at least."""
+        known = self._tables.get(self.base)
+        if known is None or len(known[0]) < n:
             n = -(-n // 65536) * 65536
-            for name, by in (("_powers", cls._base), ("_inverses", pow(cls._base, -1, 2**64))):
+            known = []
+            for by in (self.base, pow(self.base, -1, 2**64)):
                 steps = np.full(n, by, np.uint64)
                 steps[0] = 1
-                setattr(cls, name, np.multiply.accumulate(steps))
+                known.append(np.multiply.accumulate(steps))
+            self._tables[self.base] = tuple(known)
+        return self._tables[self.base]
+
+    def symbols(self, data: np.ndarray) -> np.ndarray:
+        return self.values[data]
 
     def sums(self, data: np.ndarray) -> np.ndarray:
-        self._grow(len(data) + 1)
         out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.values[data] * self._powers[: len(data)], out=out[1:])
+        np.cumsum(self.symbols(data) * self._powers(len(data) + 1)[0][: len(data)], out=out[1:])
         return out
 
     def of(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Raw hashes; use mixed() before taking bits of them. Ranges of other lengths should be told apart by the caller."""
-        return (sums[ends] - sums[starts]) * self._inverses[starts]
+        return (sums[ends] - sums[starts]) * self._powers(len(sums))[1][starts]
+
+
+class WindowHash(RangeHash):
+    """The same over mixed windows of eight bytes, with another base: independent of RangeHash, and strings of few letters
+    that clash there by their structure don't here. Ranges have eight bytes or more."""
+
+    def __init__(self, seed: int):
+        super().__init__(seed, 0xDA942042E4DD58B5)
+
+    def symbols(self, data: np.ndarray) -> np.ndarray:
+        window = data.astype(np.uint64)
+        for width in (1, 2, 4):  # bytes beyond the end count as zeros; of() uses no such window
+            window[:-width] |= window[width:] << np.uint64(8 * width)
+        return mixed(window ^ self.values[0])
+
+    def of(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return super().of(sums, starts, ends - 7)
 
 
 def packed(values: np.ndarray) -> bytes:

@@ -16,6 +16,16 @@ from pyspark.sql import functions as F
 from .common import drop_path, staged_path
 
 ROUNDS = 60
+HOT = 1000  # a key with more than one in so many rows, and more rows than that, is hot
+
+
+def joined(rows: DataFrame, facts: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """rows joined with facts, which have one row for each key and tell in `size` how many of the `total` rows have it. The facts on hot
+    keys, fewer than HOT, are broadcast, so that no key's rows have to meet in one task."""
+    limit = max(HOT, total // HOT)
+    hot = F.broadcast(facts.filter(F.col(size) > limit))
+    others = rows.join(F.broadcast(facts.filter(F.col(size) > limit).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(others.join(facts.filter(F.col(size) <= limit), keys))
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,14 +74,17 @@ def components(edges: DataFrame) -> DataFrame:
         ups = seen.groupBy("id").agg(F.sum("up").alias("up"), F.max("root").alias("root"))
         if ups.filter((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("root") > 0))).isEmpty():
             break
+        n = now.count()
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        after = staged_path(contracted(small))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
+        large = joined(both, least, ["u"], "degree", 2 * n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        starred = staged_path(contracted(large))
         drop_path(spark, path)
-        path = after
+        large = read(starred)
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        small = joined(large, least, ["u"], "degree", n).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        path = staged_path(contracted(small))
+        drop_path(spark, starred)
     else:
         raise RuntimeError("components did not settle")
     done = read(path)

@@ -6,7 +6,9 @@ lone ones leave. Of the others, sets of similar size that reach the threshold di
 incidence matrix are dealt to more than d bundles by a hash, some bundles have the same n-grams in both, and equal bundles
 give candidate groups. Inside a group blocks of documents are multiplied as sparse document by n-gram matrices,
 one block of columns after the other; overlap counts add up, and pairs whose overlap stays below the bound that their
-sizes give are discarded. Blocks return spanning forests, so no list of all pairs exists anywhere.
+sizes give are discarded. Blocks return spanning forests, so no list of all pairs exists anywhere. In a group of several blocks the
+first block is multiplied with all others; what that links is cut into blocks of its own, which need no products with each
+other, only with what is left.
 
 A document's words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z. With fewer words than n the whole sequence is the only
 n-gram; without words (or text) the set is empty and links with nothing. N-grams are compared by 64-bit hashes, sets by
@@ -20,11 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import RangeHash, mixed, packed, sliced, staged, table, text_bytes
-from .components import components, forest
+from .common import RangeHash, dropped, mixed, packed, sliced, staged, table, text_bytes
+from .components import components, forest, joined
 
 ENTRIES_PER_BUCKET = 250_000
 BLOCK_ROWS, BLOCK_NGRAMS, COLUMNS = 512, 1 << 19, 2048
@@ -295,19 +297,60 @@ def compare(group: pa.Table, percent: int) -> pa.Table:
 
 
 def with_sets(rows: DataFrame, n: int) -> DataFrame:
-    """cid, m1, m2, text -> cid, grams (packed), where the set is the one that is marked."""
+    """cid, m1, m2, text -> cid, k (size), grams (packed), where the set is the one that is marked."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             bounds, data = text_bytes(batch.column("text"))
             owner, grams = ngram_sets(data, bounds, n)
-            _, m1, m2 = marks(owner, grams, batch.num_rows)
+            size, m1, m2 = marks(owner, grams, batch.num_rows)
             edges = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             coded = [packed(grams[a:b]) for a, b in zip(edges, edges[1:])]
-            out = pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(coded, pa.binary())], names=["cid", "grams"])
+            out = pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(size), pa.array(coded, pa.binary())], names=["cid", "k", "grams"])
             yield out.filter(pa.array((m1 == batch.column("m1").to_numpy()) & (m2 == batch.column("m2").to_numpy())))
 
-    return rows.select("cid", "m1", "m2", "text").mapInArrow(build, "cid long, grams binary")
+    return rows.select("cid", "m1", "m2", "text").mapInArrow(build, "cid long, k long, grams binary")
+
+
+def products(sets: DataFrame, laid: DataFrame, percent: int) -> DataFrame:
+    """cid, comp, i, j, side, alone -> u, v: the links of all block pairs."""
+    pairs = sets.select("cid", "grams").join(laid, "cid").repartition("comp", "i", "j")  # else the join's partitions stay, and all blocks of a set meet in one task
+    return staged(pairs.groupBy("comp", "i", "j").applyInArrow(lambda t: compare(t, percent), "u long, v long"))
+
+
+def linked_in_groups(sets: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
+    """id, component: sets (by cid) that links connect, inside of candidate groups."""
+    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("all") / BLOCK_NGRAMS), F.lit(1)).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("cid"), n.cast("long")).cast("int")
+    pair = lambda i, j, side, alone: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).cast("int").alias("side"), alone.alias("alone"))
+    narrow = staged(sets.select("cid", "k").join(candidates.select(F.col("id").alias("cid"), F.col("component").alias("comp")), "cid"))
+    total = narrow.count()
+    sizes = narrow.groupBy("comp").agg(F.count("*").alias("rows"), F.sum("k").alias("all"))
+    placed = staged(joined(narrow, sizes, ["comp"], "rows", total).select("cid", "comp", "k", blocks.alias("blocks")).withColumn("b", own(F.col("blocks"))))
+    dropped(narrow)
+    zero, no = F.lit(0), F.lit(False)
+    first = F.when(F.col("b") == 0, F.transform(F.sequence(zero, F.col("blocks") - 1), lambda j: pair(zero, j, 0, j == 0))).otherwise(F.array(pair(zero, F.col("b"), 1, no)))
+    links = products(sets, placed.select("cid", "comp", F.explode(first).alias("p")).select("cid", "comp", "p.*"), percent)
+    groups = staged(components(links))
+    dropped(links)
+    open_ = placed.filter("blocks > 1")
+    if not open_.isEmpty():
+        parts = open_.join(groups.select(F.col("id").alias("cid"), F.col("component").alias("part")), "cid", "left").select("cid", "comp", "k", F.coalesce("part", F.lit(-1)).alias("part"))
+        parts = staged(parts)
+        # Groups of at least BLOCK_ROWS linked sets keep their number; the others, and sets without links, are -1.
+        labelled = staged(joined(parts, parts.groupBy("comp", "part").agg(F.count("*").alias("size")), ["comp", "part"], "size", total).select("cid", "comp", "k", F.when(F.col("size") >= BLOCK_ROWS, F.col("part")).otherwise(-1).alias("part")))
+        cut = labelled.groupBy("comp", "part").agg(F.count("*").alias("rows"), F.sum("k").alias("all")).select("comp", "part", "rows", blocks.alias("blocks"))
+        of_group = Window.partitionBy("comp").orderBy("part")
+        cut = cut.withColumn("from", F.sum("blocks").over(of_group).cast("int") - F.col("blocks")).withColumn("end", F.sum("blocks").over(Window.partitionBy("comp")).cast("int"))
+        members = joined(labelled, cut, ["comp", "part"], "rows", total).withColumn("b", F.col("from") + own(F.col("blocks")))
+        others = F.filter(F.sequence(zero, F.col("end") - 1), lambda j: (F.col("part") < 0) | (j < F.col("from")) | (j >= F.col("from") + F.col("blocks")))
+        rest = F.transform(others, lambda j: F.when(F.col("b") <= j, pair(F.col("b"), j, 0, j == F.col("b"))).otherwise(pair(j, F.col("b"), 1, no)))
+        more = products(sets, members.select("cid", "comp", F.explode(rest).alias("p")).select("cid", "comp", "p.*"), percent)
+        before = groups
+        groups = staged(components(more.unionByName(before.select(F.col("id").alias("u"), F.col("component").alias("v")))))
+        dropped(parts, labelled, more, before)
+    dropped(placed)
+    return groups
 
 
 def jaccard_groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -315,28 +358,23 @@ def jaccard_groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     grams = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6  # roughly: words of six bytes
     first = staged(counted(docs, n, percent, int(grams * 1.75 * (100 - percent) / 100 // ENTRIES_PER_BUCKET + 8)))
-    rows = first.filter("packed is null").select("doc_id", "slot", "n", "m1", "m2", "chosen")
     lone = F.col("chosen") - F.coalesce("shared", F.lit(0))
-    hopeful = rows.filter("n > 0").join(shared_counts(first), "slot", "left").withColumn("hope", lone <= F.floor(F.col("n") * (100 - percent) / 100))
-    classes = staged(hopeful.groupBy("n", "m1", "m2").agg(F.min("doc_id").alias("least"), F.min("slot").alias("cid"), F.max("hope").alias("hope")))
+    rows = first.filter("packed is null").join(shared_counts(first), "slot", "left")
+    rows = staged(rows.select("doc_id", "slot", "n", "m1", "m2", ((F.col("n") > 0) & (lone <= F.floor(F.col("n") * (100 - percent) / 100))).alias("hope")))
+    dropped(first)
+    key = ["n", "m1", "m2"]
+    classes = staged(rows.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("least"), F.min("slot").alias("cid"), F.max("hope").alias("hope"), F.count("*").alias("copies")))
     sets = staged(with_sets(docs.join(classes.filter("hope"), F.col("doc_id").eqNullSafe(F.col("least"))), n))
-    length = F.octet_length("grams") / 8
-    inside = sets.agg(F.sum(length)).first()[0] or 0
+    inside = sets.agg(F.sum("k")).first()[0] or 0
     candidates = staged(components(bundle_edges(sets, percent, int(inside * 6 * (100 - percent) / (100 + percent) // ENTRIES_PER_BUCKET + 8))))
-    members = sets.join(candidates.select(F.col("id").alias("cid"), F.col("component").alias("comp")), "cid")
-    sizes = sets.select("cid", length.alias("k")).join(candidates.select(F.col("id").alias("cid"), F.col("component").alias("comp")), "cid").groupBy("comp").agg(F.count("*").alias("rows"), F.sum("k").alias("all"))
-    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("all") / BLOCK_NGRAMS)).cast("int")
-    members = members.join(sizes.select("comp", blocks.alias("blocks")), "comp")
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks").cast("long")).cast("int")
-    to_right = F.transform(F.sequence("b", F.col("blocks") - 1), lambda j: F.struct(F.col("b").alias("i"), j.alias("j"), F.lit(0).alias("side"), (j == F.col("b")).alias("alone")))
-    to_left = F.transform(F.filter(F.sequence(F.lit(0), F.col("b")), lambda i: i < F.col("b")), lambda i: F.struct(i.alias("i"), F.col("b").alias("j"), F.lit(1).alias("side"), F.lit(False).alias("alone")))
-    laid = members.withColumn("b", own).withColumn("p", F.explode(F.concat(to_right, to_left))).select("comp", "p.i", "p.j", "p.side", "p.alone", "cid", "grams").repartition("comp", "i", "j")  # else the join's partitions stay, and all blocks of a group meet in one task
-    links = staged(laid.groupBy("comp", "i", "j").applyInArrow(lambda t: compare(t, percent), "u long, v long"))
-    groups = staged(components(links).withColumnRenamed("id", "cid"))
-    least = groups.join(classes.select("cid", "least"), "cid").groupBy("component").agg(F.min("least").alias("component_id"))
-    named = classes.join(groups.join(least, "component").select("cid", "component_id"), "cid", "left").select(F.col("n").alias("n_"), F.col("m1").alias("a_"), F.col("m2").alias("b_"), F.coalesce("component_id", "least").alias("component_id"))
-    rows = rows.select("doc_id", "n", "m1", "m2")
-    out = rows.join(named, (F.col("n") == F.col("n_")) & (F.col("m1") == F.col("a_")) & (F.col("m2") == F.col("b_")), "left")
+    groups = linked_in_groups(sets, candidates, percent)
+    dropped(sets, candidates)
+    of_group = groups.withColumnRenamed("id", "cid").join(classes.select("cid", "least"), "cid")
+    least = of_group.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
+    found = joined(of_group.select("cid", "component"), least, ["component"], "size", groups.count()).select("cid", "component_id")
+    named = staged(classes.join(found, "cid", "left").select(*key, "copies", F.coalesce("component_id", "least").alias("component_id")))
+    dropped(classes, groups)
+    out = joined(rows.filter("n > 0"), named, key, "copies", rows.count()).unionByName(rows.filter("n = 0"), allowMissingColumns=True)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -347,9 +385,9 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs without near copies: the document with the smallest id of each group stays, with all its columns; one with a
     null id only if no id of its group is known. Rows that repeat both id and text are one row afterwards; different texts with
-    one id are documents of their own."""
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))  # groups are made by row: ids may be null or repeated
+    one id are documents of their own. If the keys of two different rows clash, a near copy may stay, but no row goes."""
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text")).withColumn("__check", F.xxhash64(F.lit(1), "doc_id", "text"))  # ids may be null or repeated
     groups = jaccard_groups(keyed.select(F.col("__key").alias("doc_id"), "text"), n, percent).select(F.col("doc_id").alias("__key"), "component_id").distinct()
     rows = keyed.select("__key", F.col("doc_id").cast("long").alias("id")).distinct().join(groups, "__key")
-    stay = rows.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "__key")).alias("least")).select("least.__key").distinct()
-    return keyed.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    stay = staged(rows.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "__key")).alias("least")).select("least.__key").distinct())
+    return keyed.join(stay, "__key", "left_semi").dropDuplicates(["__key", "__check"]).select(*docs.columns)

@@ -10,29 +10,37 @@ Only equality to depth L (LENGTH bytes) matters, so suffixes are sorted to that
    one order of names and adjacent equal ones mark the repeated strings.
 
 In the classical algorithm tuples have three letters and names are ranks, refined by recursion until all differ; here one
-step of w bytes replaces the recursion, and names are hash values of 64 bits in step 1 (only a filter) and 96 bits in
-step 2. Sorted names travel as packed arrays, and a string that a slice of text holds several times travels once.
+step of w bytes replaces the recursion, and names are hash values of 64 bits in step 1 (only a filter) and 96 bits, from two
+independent hashes, in step 2. Sorted names travel as packed arrays, and a string that a slice of text holds several times travels
+once. Step 2 runs in PASSES, each over a part of the names, so that only that part is on disk at a time.
 
-Texts are UTF-8 bytes; null counts as empty. Strings never cross documents. Repeated rows repeat all their strings.
+A string of LENGTH bytes can only repeat inside of longer repeats of shorter strings, so the same steps first run to the depth of PASSAGE
+bytes, and strings of LENGTH bytes are looked for in what they have left.
+
+Texts are UTF-8 bytes; null counts as empty. Strings never cross documents. Repeated rows repeat all their strings. Very long texts
+are whole: a slice holds one of them then, and memory grows with the longest text.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .common import RangeHash, mixed, packed, sliced, staged, table, text_bytes
+from .common import RangeHash, WindowHash, dropped, mixed, packed, sliced, staged, table, text_bytes
 
 LENGTH = 400
-NAMES_PER_BUCKET = 200_000
+PASSAGE, WORDS = 200, 51  # what goes as a repeated passage: so many bytes, or so many words in fewer bytes
+NAMES_PER_BUCKET, PASSES = 200_000, 2
 SLICE, NAMED_SLICE = 2 << 20, 1 << 20
-_first, _second = RangeHash(21), RangeHash(22)
+_first, _second = RangeHash(21), WindowHash(22)
 SAMPLE = np.dtype([("name", "<u8"), ("at", "<u4")])
 ALREADY = np.uint32(1 << 31)  # in `at` and in check words: this slice has it more than once
 NAME = np.dtype([("name", "<u8"), ("check", "<u4")])
@@ -59,7 +67,7 @@ def difference_cover(length: int) -> tuple[int, np.ndarray]:
 
 
 def doc_key() -> F.Column:
-    """Equal for repeated rows; a clash of different documents only adds candidates."""
+    """Equal for repeated rows; of different documents that clash each looks at the places of both."""
     return F.xxhash64("doc_id", "text")
 
 
@@ -156,52 +164,69 @@ def sample_survivors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     return met.groupBy("uid").applyInArrow(ranges, "key long, ranges array<int>")
 
 
-def starts_of(ranges: list[np.ndarray], bounds: np.ndarray) -> np.ndarray:
+def starts_of(ranges: list[np.ndarray], bounds: np.ndarray, length: int) -> np.ndarray:
     """Places in the slice of all strings to name."""
     wanted = np.zeros(int(bounds[-1] - bounds[0]), bool)
-    for at, own in zip((bounds[:-1] - bounds[0]).tolist(), ranges):
+    for at, end, own in zip((bounds[:-1] - bounds[0]).tolist(), (bounds[1:] - bounds[0]).tolist(), ranges):
         for low, high in np.asarray(own).reshape(-1, 2).tolist():
-            wanted[at + low : at + high + 1] = True
+            wanted[at + low : max(min(at + high, end - length) + 1, 0)] = True
     return np.flatnonzero(wanted) + int(bounds[0])
 
 
-def named(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    out = np.empty(len(starts), NAME)
-    out["name"] = mixed(_first.of(_first.sums(data), starts, starts + length))
-    out["check"] = (mixed(_second.of(_second.sums(data), starts, starts + length)) >> np.uint64(33)).astype(np.uint32)
-    return out
-
-
-def ordered_names(group: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(data, bounds, starts in order of names, whether a new name begins, whether names repeat here, names)."""
+def ordered_names(group: pa.Table, length: int, low: int = 0, high: int = 1 << 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(data, bounds, starts in order of names, whether a new name begins, whether names repeat here, names), for names
+    from low to below high."""
     bounds, data = text_bytes(group.column("text").combine_chunks())
-    starts = starts_of(group.column("ranges").to_pylist(), bounds)
-    names = named(data, starts, length)
-    order = np.argsort(names["name"], kind="stable")
-    names = names[order]
+    starts = starts_of(group.column("ranges").to_pylist(), bounds, length)
+    name = mixed(_first.of(_first.sums(data), starts, starts + length))
+    if (low, high) != (0, 1 << 64):
+        own = (name >= np.uint64(low)) & (name <= np.uint64(high - 1))
+        starts, name = starts[own], name[own]
+    order = np.argsort(name, kind="stable")
+    starts = starts[order]
+    names = np.empty(len(starts), NAME)
+    names["name"] = name[order]
+    if len(starts):
+        names["check"] = (mixed(_second.of(_second.sums(data), starts, starts + length)) >> np.uint64(33)).astype(np.uint32)
     if ((names["name"][1:] == names["name"][:-1]) & (names["check"][1:] != names["check"][:-1])).any():
         again = np.lexsort((names["check"], names["name"]))
-        order, names = order[again], names[again]
+        starts, names = starts[again], names[again]
     new, many = runs(names)
-    return data, bounds, starts[order], new, many, names
+    return data, bounds, starts, new, many, names
 
 
-def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """key, text, spans (from, to, ... of bytes to remove) for the documents with repeated strings, a row for each key."""
+def repeats(docs: DataFrame, length: int = PASSAGE) -> DataFrame:
+    """doc_id, text, spans (from, to, ... of bytes to remove) for the documents with repeated strings of so many bytes."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     v, cover = difference_cover(length)
-    buckets = int(size * len(cover) // v // NAMES_PER_BUCKET + 8)
     docs = docs.select("doc_id", "text", doc_key().alias("key"))
-    survivors = staged(sample_survivors(docs, length, buckets))
+    survivors = staged(sample_survivors(docs, length, int(size * len(cover) // v // NAMES_PER_BUCKET + 8)))
     wanted = survivors.groupBy("key").agg(F.flatten(F.collect_set("ranges")).alias("ranges"))
+    found = marked(docs.join(wanted, "key"), length, length - v + 1)
+    dropped(survivors)
+    return found
+
+
+def longer(found: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The result of repeats() for a larger length, from that for a smaller one."""
+    at = F.transform(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), lambda i: F.array(F.get("spans", i), F.get("spans", i + 1) - length))
+    ranges = F.flatten(F.filter(at, lambda x: x[1] >= x[0]))
+    return marked(found.select("doc_id", "text", ranges.alias("ranges")).filter(F.size("ranges") > 0), length, length)
+
+
+def marked(candidates: DataFrame, length: int, w: int) -> DataFrame:
+    """doc_id, text, ranges (places where strings to name begin) -> doc_id, text, spans. Documents with an equal tuple of w bytes are
+    likely to meet in a slice."""
 
     def cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = length - v + 1
         for batch in sliced(batches, "text", SLICE):
             bounds, data = text_bytes(batch.column("text"))
             sums = _first.sums(data)
-            least = [int(mixed(_first.of(sums, at := starts_of([own], np.array([b, e])), at + w)).min() >> np.uint64(1)) for b, e, own in zip(bounds[:-1], bounds[1:], batch.column("ranges").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("text"), batch.column("ranges"), pa.array(least, pa.int64())], names=["key", "text", "ranges", "cluster"])
+            least = []
+            for b, e, own in zip(bounds[:-1], bounds[1:], batch.column("ranges").to_pylist()):
+                at = starts_of([own], np.array([b, e]), length)
+                least.append(int(mixed(_first.of(sums, at, at + w)).min(initial=2**64 - 1) >> np.uint64(1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], names=[*batch.schema.names, "cluster"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
@@ -211,18 +236,13 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     # Likely copies come near each other, so that most repeated strings meet inside a slice and travel once. This is only a
     # matter of cost, so a partition with a large group of copies may be split anywhere.
-    found = docs.join(wanted, "key").select("key", F.col("text").alias("text"), "ranges").mapInArrow(cluster, "key long, text string, ranges array<int>, cluster long")
-    near = found.hint("rebalance", "cluster").sortWithinPartitions("cluster").select("key", "text", "ranges")
-    held = staged(near.mapInArrow(cut, "key long, text string, ranges array<int>, slice long"))
+    held_schema = "doc_id long, text string, ranges array<int>"
+    near = candidates.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("ranges").cast("array<int>").alias("ranges")).mapInArrow(cluster, f"{held_schema}, cluster long")
+    near = near.hint("rebalance", "cluster").sortWithinPartitions("cluster").select("doc_id", "text", "ranges")
+    held = staged(near.mapInArrow(cut, f"{held_schema}, slice long"))
     places = F.aggregate(F.transform("ranges", lambda x, i: F.when(i % 2 == 0, 1 - x).otherwise(x).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
-    buckets = int((held.agg(F.sum(places)).first()[0] or 0) // NAMES_PER_BUCKET + 8)
-
-    def emit(group: pa.Table) -> pa.Table:
-        _, _, _, new, many, names = ordered_names(group, length)
-        entries = names[new]
-        entries["check"] |= np.where(many[new], ALREADY, np.uint32(0))
-        rows = list(by_bucket(entries["name"], entries, buckets))
-        return pa.table({"bucket": pa.array([k for k, _ in rows], pa.int32()), "slice": pa.array([group.column("slice")[0].as_py()] * len(rows), pa.int64()), "packed": pa.array([packed(x) for _, x in rows], pa.binary())})
+    each = int((held.agg(F.sum(places)).first()[0] or 0) // NAMES_PER_BUCKET // PASSES + 8)
+    buckets = each * PASSES
 
     def merge(group: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x, NAME) for x in group.column("packed").to_pylist()]
@@ -239,6 +259,19 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         bits = [np.packbits(met[a:b]).tobytes() for a, b in zip(edges, edges[1:])]
         return pa.table({"slice": group.column("slice"), "bucket": group.column("bucket"), "n": pa.array([len(x) for x in parts], pa.int32()), "bits": pa.array(bits, pa.binary())})
 
+    def masks_of(number: int) -> DataFrame:
+        low, high = (-(-(k * each << 64) // buckets) for k in (number, number + 1))
+
+        def emit(group: pa.Table) -> pa.Table:
+            _, _, _, new, many, names = ordered_names(group, length, low, high)
+            entries = names[new]
+            entries["check"] |= np.where(many[new], ALREADY, np.uint32(0))
+            rows = list(by_bucket(entries["name"], entries, buckets))
+            return pa.table({"bucket": pa.array([k for k, _ in rows], pa.int32()), "slice": pa.array([group.column("slice")[0].as_py()] * len(rows), pa.int64()), "packed": pa.array([packed(x) for _, x in rows], pa.binary())})
+
+        names = held.groupBy("slice").applyInArrow(emit, "bucket int, slice long, packed binary")
+        return staged(names.groupBy("bucket").applyInArrow(merge, "slice long, bucket int, n int, bits binary"))
+
     def mark(group: pa.Table, masks: pa.Table) -> pa.Table:
         data, bounds, starts, new, _, _ = ordered_names(group, length)
         rows = sorted(zip(masks.column("bucket").to_pylist(), masks.column("n").to_pylist(), masks.column("bits").to_pylist()))
@@ -248,19 +281,20 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         np.add.at(change, hit, 1)
         np.subtract.at(change, hit + length, 1)
         gone = np.cumsum(change[:-1]) > 0
-        keys, texts, spans = [], [], []
+        rows_, spans = [], []
         for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
             steps = np.flatnonzero(np.diff(np.concatenate([[False], gone[a:b], [False]]).astype(np.int8)))
             if len(steps):
-                keys.append(i)
+                rows_.append(i)
                 spans.append(steps.astype(np.int32))
-        at = pa.array(keys, pa.int64())
-        return pa.table({"key": group.column("key").combine_chunks().take(at), "text": group.column("text").combine_chunks().take(at), "spans": pa.array(spans, pa.list_(pa.int32()))})
+        at = pa.array(rows_, pa.int64())
+        return pa.table({"doc_id": group.column("doc_id").combine_chunks().take(at), "text": group.column("text").combine_chunks().take(at), "spans": pa.array(spans, pa.list_(pa.int32()))})
 
-    names = held.groupBy("slice").applyInArrow(emit, "bucket int, slice long, packed binary")
-    masks = names.groupBy("bucket").applyInArrow(merge, "slice long, bucket int, n int, bits binary")
-    marked = held.groupBy("slice").cogroup(masks.groupBy("slice")).applyInArrow(mark, "key long, text string, spans array<int>")
-    return marked
+    masks = [masks_of(k) for k in range(PASSES)]
+    together = reduce(DataFrame.unionByName, masks)
+    out = staged(held.groupBy("slice").cogroup(together.groupBy("slice")).applyInArrow(mark, "doc_id long, text string, spans array<int>"))
+    dropped(held, *masks)
+    return out
 
 
 def kept_bytes(text: bytes, spans: list[int]) -> bytes:
@@ -272,32 +306,29 @@ def kept_bytes(text: bytes, spans: list[int]) -> bytes:
     return b"".join(out)
 
 
-def digests(marked: DataFrame) -> DataFrame:
-    """key, text, spans -> key, n_removed, n_spans, kept_sha256."""
+def whole() -> F.Column:
+    return F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256)
+
+
+def digests(found: DataFrame) -> DataFrame:
+    """doc_id, text, spans -> doc_id, whole (digest of the text), n_removed, n_spans, kept_sha256, once for repeated rows."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             spans = batch.column("spans").to_pylist()
-            shas = [hashlib.sha256(kept_bytes(t.encode("utf-8"), s)).hexdigest() for t, s in zip(batch.column("text").to_pylist(), spans)]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([sum(s[1::2]) - sum(s[::2]) for s in spans], pa.int64()), pa.array([len(s) // 2 for s in spans], pa.int64()), pa.array(shas, pa.string())], names=["key", "n_removed", "n_spans", "kept_sha256"])
+            texts = [t.encode("utf-8") for t in batch.column("text").to_pylist()]
+            sha = lambda rows: pa.array([hashlib.sha256(x).hexdigest() for x in rows], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sha(texts), pa.array([sum(s[1::2]) - sum(s[::2]) for s in spans], pa.int64()), pa.array([len(s) // 2 for s in spans], pa.int64()), sha(map(kept_bytes, texts, spans))], names=["doc_id", "whole", "n_removed", "n_spans", "kept_sha256"])
 
-    return marked.mapInArrow(digest, "key long, n_removed long, n_spans long, kept_sha256 string")
-
-
-def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    removed = digests(repeats(docs)).dropDuplicates(["key"])
-    rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), doc_key().alias("key"), F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256).alias("whole"))
-    return rows.join(removed, "key", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+    return found.mapInArrow(digest, "doc_id long, whole string, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc_id", "whole"])
 
 
 def short_passages(docs: DataFrame, length: int, words: int) -> DataFrame:
-    """key, spans: passages of so many words that stand at two places or more and have fewer bytes than length. Such words are
+    """doc_id, whole, spans: passages of so many words that stand at two places or more and have fewer bytes than length. Such words are
     short, so that few places of most texts are looked at."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         white = np.isin(np.arange(256), [32, *range(9, 14)])
-        first, second = RangeHash(21), RangeHash(22)
         for batch in sliced(batches, "text"):
             bounds, data = text_bytes(batch.column("text"))
             inside = np.concatenate([~white[data], [False]])
@@ -305,19 +336,23 @@ def short_passages(docs: DataFrame, length: int, words: int) -> DataFrame:
             begins[1:] &= ~inside[:-1]
             begins[bounds[:-1]] |= inside[bounds[:-1]]
             stops[1:] = inside[:-1] & ~inside[1:]
-            stops[bounds[1:]] |= inside[bounds[1:] - 1] & (bounds[1:] > bounds[:-1])
+            full = bounds[1:][bounds[1:] > bounds[:-1]]  # ends of documents that hold anything
+            stops[full] |= inside[full - 1]
             begin, stop = np.flatnonzero(begins), np.flatnonzero(stops)
             owner = np.searchsorted(bounds, begin, side="right") - 1
             begin, stop = begin[: len(begin) - words + 1], stop[words - 1 :]
             near = (owner[: len(begin)] == owner[words - 1 :]) & (stop - begin < length) if len(begin) else np.zeros(0, bool)
             begin, stop, owner = begin[near], stop[near], owner[: len(near)][near]
-            names = [mixed(h.of(h.sums(data), begin, stop)).view(np.int64) for h in (first, second)] if len(begin) else [np.zeros(0, np.int64)] * 2
+            names = [mixed(h.of(h.sums(data), begin, stop)).view(np.int64) for h in (_first, _second)] if len(begin) else [np.zeros(0, np.int64)] * 2
             at = bounds[owner]
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(owner)), *map(pa.array, names), pa.array(begin - at, pa.int32()), pa.array(stop - at, pa.int32())], names=["key", "h1", "h2", "begin", "stop"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner)), batch.column("whole").take(pa.array(owner)), *map(pa.array, names), pa.array(begin - at, pa.int32()), pa.array(stop - at, pa.int32())], names=["doc_id", "whole", "h1", "h2", "begin", "stop"])
 
-    places = staged(docs.select(doc_key().alias("key"), "text").mapInArrow(find, "key long, h1 long, h2 long, begin int, stop int"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("whole"), "text")
+    places = staged(rows.mapInArrow(find, "doc_id long, whole string, h1 long, h2 long, begin int, stop int"))
     twice = places.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
-    return places.join(twice, ["h1", "h2"]).groupBy("key").agg(F.flatten(F.collect_set(F.array("begin", "stop"))).alias("spans"))
+    out = staged(places.join(twice, ["h1", "h2"]).groupBy("doc_id", "whole").agg(F.flatten(F.collect_set(F.array("begin", "stop"))).alias("spans")))
+    dropped(places)
+    return out
 
 
 def merged(spans: list[int]) -> list[int]:
@@ -331,19 +366,44 @@ def merged(spans: list[int]) -> list[int]:
     return out
 
 
-def without_repeats(docs: DataFrame, length: int, words: int) -> DataFrame:
-    """docs with the repeated strings of so many bytes, and the repeated passages of so many words, taken out of text; a character of
-    which only part would stay goes as a whole. All other columns stay, n_chars follows the text."""
+@F.arrow_udf(StringType())
+def cut_text(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """Texts without these bytes; a character of which only part would stay goes as a whole."""
+    return pa.array([None if t is None else kept_bytes(t.encode("utf-8"), merged(s)).decode("utf-8", "ignore") for t, s in zip(texts.to_pylist(), spans.to_pylist())], pa.string())
+
 
-    @F.arrow_udf("string")
-    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else kept_bytes(t.encode("utf-8"), merged(s)).decode("utf-8", "ignore") for t, s in zip(texts.to_pylist(), spans.to_pylist())], pa.string())
+def with_kept_text(docs: DataFrame, found: DataFrame, length: int, words: int) -> DataFrame:
+    """docs with __kept: the text without the spans found by repeats() for this length and without repeated passages of so many
+    words, null where nothing goes; and __whole, the digest of the text."""
+    both = found.select("doc_id", whole().alias("whole"), "spans").unionByName(short_passages(docs, length, words))
+    changed = both.groupBy(F.col("doc_id").alias("__id"), F.col("whole").alias("__of")).agg(F.flatten(F.collect_set("spans")).alias("__spans"))
+    rows = docs.withColumn("__whole", whole())
+    joined = rows.join(changed, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__whole") == F.col("__of")), "left")
+    kept = cut_text(F.when(F.col("__spans").isNotNull(), F.col("text")), F.col("__spans"))
+    return joined.withColumn("__kept", kept).drop("__id", "__of", "__spans")
 
-    narrow = docs.select("doc_id", "text")
-    both = repeats(narrow, length).select("key", F.col("spans").cast("array<int>").alias("spans")).unionByName(short_passages(narrow, length, words))
-    changed = both.groupBy(F.col("key").alias("__key")).agg(F.flatten(F.collect_set("spans")).alias("__spans"))
-    kept = cut(F.when(F.col("__spans").isNotNull(), F.col("text")), F.col("__spans"))
-    joined = docs.withColumn("__key", doc_key()).join(changed, "__key", "left").withColumn("text", F.coalesce(kept, "text"))
+
+def without_repeats(docs: DataFrame, length: int = PASSAGE, words: int = WORDS) -> DataFrame:
+    """docs with the repeated strings of so many bytes, and the repeated passages of so many words, taken out of text.
+    All other columns stay, n_chars follows the text."""
+    rows = with_kept_text(docs, repeats(docs.select("doc_id", "text"), length), length, words)
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return joined.select(*docs.columns)
+        rows = rows.withColumn("n_chars", F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("__kept").cast(docs.schema["n_chars"].dataType)))
+    return rows.withColumn("text", F.coalesce("__kept", "text")).select(*docs.columns)
+
+
+def removed(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, words: int = WORDS) -> DataFrame:
+    """doc_id, text -> doc_id, n_bytes, n_removed, n_spans, kept_sha256 for strings of `length` bytes; and text, what is left when
+    repeated passages (`passage` bytes, or so many words in fewer bytes) are taken out."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = repeats(docs, passage)
+    long = longer(found, length)
+    gone = digests(long).select(F.col("doc_id").alias("__id"), F.col("whole").alias("__of"), "n_removed", "n_spans", "kept_sha256")
+    rows = with_kept_text(docs, found, passage, words)
+    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__whole") == F.col("__of")), "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return rows.select("doc_id", count(F.octet_length("text")).alias("n_bytes"), count("n_removed").alias("n_removed"), count("n_spans").alias("n_spans"), F.coalesce("kept_sha256", "__whole").alias("kept_sha256"), F.coalesce("__kept", "text", F.lit("")).alias("text"))
+
+
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed(table(spark, sf_dir, "documents"))
