@@ -5,6 +5,9 @@
 3. repeated_passages: strings of PASSAGE bytes or WORDS words that begin at two places or more go, at all their places; documents of which only
    white space is left go.
 4. packing: what is left is packed into sequences of at most 2048 tokens, a row for each piece.
+
+A null text is scored as an empty one in stage 1, links with nothing in stage 2, goes in stage 3 and has one token (the mark of its
+end) in stage 4. Nulls in other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -14,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm import ngram_join, packing, quality, suffixes
-from veilframe.llm.common import staged, table
+from veilframe.llm.common import dropped, staged, table
 
-PASSAGE, WORDS = 200, 51  # bytes, and the words of a passage that may be shorter than that
+PASSAGE, WORDS = suffixes.PASSAGE, suffixes.WORDS
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +31,7 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffixes.without_repeats(docs, PASSAGE, WORDS).filter(F.trim("text") != "")
+    return suffixes.without_repeats(docs, PASSAGE, WORDS).filter(F.col("text").rlike(r"\S"))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir))
+        if before is not None:
+            dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
