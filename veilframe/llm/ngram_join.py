@@ -2,7 +2,7 @@
 
 Documents with equal sets are one class. A partner of a set lacks few of its n-grams, so a set with more n-grams that no other
 document has can have none: a fixed share of all n-grams, chosen by hash, is counted over all documents, and sets with too many
-lone ones leave. Of the others, sets of similar size that reach the threshold differ in at most d n-grams; when the columns of the
+lone ones leave. All n-grams of the others are counted, for each set once, and again sets leave, PEELED times. Of those that stay, sets of similar size that reach the threshold differ in at most d n-grams; when the columns of the
 incidence matrix are dealt to more than d bundles by a hash, some bundles have the same n-grams in both, and equal bundles
 give candidate groups. Inside a group blocks of documents are multiplied as sparse document by n-gram matrices,
 one block of columns after the other; overlap counts add up, and pairs whose overlap stays below the bound that their
@@ -29,6 +29,7 @@ from .common import RangeHash, dropped, mixed, packed, sliced, staged, table, te
 from .components import components, forest, joined
 
 ENTRIES_PER_BUCKET = 250_000
+PEELED = 1  # rounds in which sets with too many lone n-grams leave
 BLOCK_ROWS, BLOCK_NGRAMS, COLUMNS = 512, 1 << 19, 2048
 
 _lower = np.arange(256, dtype=np.uint8)
@@ -146,64 +147,103 @@ def by_range(names: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
         yield k, slice(edges[k], edges[k + 1])
 
 
+HEAD = {"slot": pa.int64(), "doc_id": pa.int64(), "n": pa.int64(), "m1": pa.int64(), "m2": pa.int64(), "chosen": pa.int64(), "packed": pa.binary()}
+HEAD_SCHEMA = "slot long, doc_id long, n long, m1 long, m2 long, chosen long, packed binary"
+
+
+def entries_of(owner: np.ndarray, grams: np.ndarray, doc_id: pa.Array, size: np.ndarray, m1: np.ndarray, m2: np.ndarray, share: int, number: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """What a slice of sets sends: a row for each set, its n-grams by buckets (that share, of 64, which is counted), and how many
+    of them others in the slice have."""
+    base, rows = number << 16, len(size)
+    slots = base + np.arange(rows)
+    keep = (grams >> np.uint64(8)) % np.uint64(64) < np.uint64(share)
+    owner, grams = owner[keep], grams[keep]
+    chosen = np.bincount(owner, minlength=rows)
+    yield pa.RecordBatch.from_arrays([pa.array(-1 - slots % buckets, pa.int32()), pa.array(slots), doc_id, pa.array(size), pa.array(m1), pa.array(m2), pa.array(chosen, pa.int64()), pa.nulls(rows, pa.binary())], names=["bucket", *HEAD])
+    order = np.argsort(grams, kind="stable")
+    owner, grams = owner[order], grams[order]
+    new = np.ones(len(grams), bool)
+    new[1:] = grams[1:] != grams[:-1]
+    many = ~new
+    many[:-1] |= ~new[1:]
+    own = owner.copy()
+    own[many] = SEVERAL
+    own, grams = own[new], grams[new]
+    entries = np.empty(len(grams), ENTRY)
+    entries["low"], entries["high"], entries["doc"] = grams & np.uint64(0xFFFFFFFF), grams >> np.uint64(32) & np.uint64(0xFFFF), own
+    cut = [(k, packed(entries[at])) for k, at in by_range(grams, buckets)]
+    if many.any():
+        cut.append((-1 - number % buckets, packed(tally(owner[many]))))
+    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in cut], pa.int32()), pa.array([base] * len(cut), pa.int64()), *[pa.nulls(len(cut), pa.int64())] * 5, pa.array([x for _, x in cut], pa.binary())], names=["bucket", *HEAD])
+
+
+def met(rows: DataFrame) -> DataFrame:
+    """The rows of entries_of(): those for sets as they are, and rows with slot and packed that tell how many n-grams of the sets of a slice others
+    have as well."""
+
+    def meet(group: pa.Table) -> pa.Table:
+        if group.column("bucket")[0].as_py() < 0:
+            return group.drop_columns(["bucket"])
+        parts = [np.frombuffer(x.as_py(), ENTRY) for x in group.column("packed")]
+        entries = np.concatenate(parts)
+        gram = entries["high"].astype(np.uint64) << np.uint64(32) | entries["low"]
+        order = np.argsort(gram, kind="stable")
+        equal = gram[order][1:] == gram[order][:-1]
+        found = np.zeros(len(entries), bool)
+        found[order[1:][equal]] = True
+        found[order[:-1][equal]] = True
+        found &= entries["doc"] != SEVERAL
+        edges = np.cumsum([0] + [len(x) for x in parts])
+        told = [(k, packed(tally(entries["doc"][a:b][found[a:b]]))) for k, (a, b) in enumerate(zip(edges, edges[1:])) if found[a:b].any()]
+        none = pa.nulls(len(told), pa.int64())
+        return pa.table({c: none for c in HEAD} | {"slot": group.column("slot").combine_chunks().take(pa.array([k for k, _ in told], pa.int64())), "packed": pa.array([x for _, x in told], pa.binary())})
+
+    return rows.groupBy("bucket").applyInArrow(meet, HEAD_SCHEMA)
+
+
 def counted(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
     """A row for each document: slot, doc_id, n (set size), m1, m2 (marks of the set), chosen (how many of its n-grams are
     counted); and rows with slot and packed: how many of these other documents of a slice have as well."""
-    names_ = ["bucket", "slot", "doc_id", "n", "m1", "m2", "chosen", "packed"]
     share = min(64, 112 * (100 - percent) // 100)  # of 64: over twice as many as a partner may lack, less for small sets
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
+        number = TaskContext.get().partitionId() << 24
         for whole in sliced(batches, "text"):
             for begin in range(0, whole.num_rows, MOST_ROWS):
                 batch = whole.slice(begin, MOST_ROWS)
                 bounds, data = text_bytes(batch.column("text"))
                 owner, grams = ngram_sets(data, bounds, n)
-                rows = batch.num_rows
-                size, m1, m2 = marks(owner, grams, rows)
-                base = (part << 24 | number) << 16
+                yield from entries_of(owner, grams, batch.column("doc_id"), *marks(owner, grams, batch.num_rows), share, number, buckets)
                 number += 1
-                slots = base + np.arange(rows)
-                keep = (grams >> np.uint64(8)) % np.uint64(64) < np.uint64(share)
-                owner, grams = owner[keep], grams[keep]
-                chosen = np.bincount(owner, minlength=rows)
-                yield pa.RecordBatch.from_arrays([pa.array(-1 - slots % buckets, pa.int32()), pa.array(slots), batch.column("doc_id"), pa.array(size), pa.array(m1), pa.array(m2), pa.array(chosen, pa.int64()), pa.nulls(rows, pa.binary())], names=names_)
-                order = np.argsort(grams, kind="stable")
-                owner, grams = owner[order], grams[order]
-                new = np.ones(len(grams), bool)
-                new[1:] = grams[1:] != grams[:-1]
-                many = ~new
-                many[:-1] |= ~new[1:]
-                own = owner.copy()
-                own[many] = SEVERAL
-                own, grams = own[new], grams[new]
-                entries = np.empty(len(grams), ENTRY)
-                entries["low"], entries["high"], entries["doc"] = grams & np.uint64(0xFFFFFFFF), grams >> np.uint64(32) & np.uint64(0xFFFF), own
-                cut = [(k, packed(entries[at])) for k, at in by_range(grams, buckets)]
-                if many.any():
-                    cut.append((-1 - number % buckets, packed(tally(owner[many]))))
-                none = pa.nulls(len(cut), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in cut], pa.int32()), pa.array([base] * len(cut), pa.int64()), none, none, none, none, none, pa.array([x for _, x in cut], pa.binary())], names=names_)
 
-    def meet(group: pa.Table) -> pa.Table:
-        if group.column("bucket")[0].as_py() < 0:
-            return group.drop_columns(["bucket"])
-        parts = [np.frombuffer(x.as_py(), ENTRY) for x in group.column("packed")]
-        entries = np.concatenate(parts)
-        gram = entries["high"].astype(np.uint64) << np.uint64(32) | entries["low"]
-        order = np.argsort(gram, kind="stable")
-        equal = gram[order][1:] == gram[order][:-1]
-        met = np.zeros(len(entries), bool)
-        met[order[1:][equal]] = True
-        met[order[:-1][equal]] = True
-        met &= entries["doc"] != SEVERAL
-        edges = np.cumsum([0] + [len(x) for x in parts])
-        found = [(k, packed(tally(entries["doc"][a:b][met[a:b]]))) for k, (a, b) in enumerate(zip(edges, edges[1:])) if met[a:b].any()]
-        none = pa.nulls(len(found), pa.int64())
-        return pa.table({"slot": group.column("slot").combine_chunks().take(pa.array([k for k, _ in found], pa.int64())), "doc_id": none, "n": none, "m1": none, "m2": none, "chosen": none, "packed": pa.array([x for _, x in found], pa.binary())})
+    return met(docs.mapInArrow(emit, f"bucket int, {HEAD_SCHEMA}"))
+
+
+def lone_share(percent: int) -> F.Column:
+    """Whether a set can have a partner, by the number of its n-grams that no other one has."""
+    return (F.col("n") > 0) & (F.col("chosen") - F.coalesce("shared", F.lit(0)) <= F.floor(F.col("n") * (100 - percent) / 100))
 
-    rows = docs.mapInArrow(emit, "bucket int, slot long, doc_id long, n long, m1 long, m2 long, chosen long, packed binary")
-    return rows.groupBy("bucket").applyInArrow(meet, "slot long, doc_id long, n long, m1 long, m2 long, chosen long, packed binary")
+
+def with_partners(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """The sets (cid, k, grams) without those of whose n-grams too many are in no other of these sets. Unlike the first count
+    this one takes all n-grams, and copies of a set count once."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 24
+        for whole in sliced(batches, "grams"):
+            for begin in range(0, whole.num_rows, MOST_ROWS):
+                batch = whole.slice(begin, MOST_ROWS)
+                each = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("grams")]
+                size = np.array([len(x) for x in each], np.int64)
+                none = np.zeros(len(each), np.int64)
+                yield from entries_of(np.repeat(np.arange(len(each)), size), np.concatenate(each), batch.column("cid"), size, none, none, 64, number, buckets)
+                number += 1
+
+    first = staged(met(sets.select("cid", "grams").mapInArrow(emit, f"bucket int, {HEAD_SCHEMA}")))
+    rows = first.filter("packed is null").join(shared_counts(first), "slot", "left").filter(lone_share(percent))
+    out = staged(sets.join(rows.select(F.col("doc_id").alias("cid")), "cid", "left_semi"))
+    dropped(first)
+    return out
 
 
 def tally(docs: np.ndarray) -> np.ndarray:
@@ -358,13 +398,16 @@ def jaccard_groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     grams = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6  # roughly: words of six bytes
     first = staged(counted(docs, n, percent, int(grams * 1.75 * (100 - percent) / 100 // ENTRIES_PER_BUCKET + 8)))
-    lone = F.col("chosen") - F.coalesce("shared", F.lit(0))
     rows = first.filter("packed is null").join(shared_counts(first), "slot", "left")
-    rows = staged(rows.select("doc_id", "slot", "n", "m1", "m2", ((F.col("n") > 0) & (lone <= F.floor(F.col("n") * (100 - percent) / 100))).alias("hope")))
+    rows = staged(rows.select("doc_id", "slot", "n", "m1", "m2", lone_share(percent).alias("hope")))
     dropped(first)
     key = ["n", "m1", "m2"]
     classes = staged(rows.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("least"), F.min("slot").alias("cid"), F.max("hope").alias("hope"), F.count("*").alias("copies")))
     sets = staged(with_sets(docs.join(classes.filter("hope"), F.col("doc_id").eqNullSafe(F.col("least"))), n))
+    for _ in range(PEELED):
+        before, inside = sets, sets.agg(F.sum("k")).first()[0] or 0
+        sets = with_partners(sets, percent, int(inside // ENTRIES_PER_BUCKET + 8))
+        dropped(before)
     inside = sets.agg(F.sum("k")).first()[0] or 0
     candidates = staged(components(bundle_edges(sets, percent, int(inside * 6 * (100 - percent) / (100 + percent) // ENTRIES_PER_BUCKET + 8))))
     groups = linked_in_groups(sets, candidates, percent)
