@@ -1,4 +1,5 @@
 import io
+import random
 import stat
 import tarfile
 import zipfile
@@ -199,13 +200,53 @@ def test_job_history(spark):
     assert jobs.search(df, "QUEUED").count() == 1 and jobs.search(df, "zzz").count() == 0
     assert jobs.figures(df).first().asDict() == {"jobs": 3, "done": 1, "failed": 0, "replacements": 8}
     assert [r["n"] for r in df.orderBy("job_id").select(scalars.file_names(F.col("filenames")).alias("n")).collect()] == [["x"], [], []]
-    up = jobs.upsert(df, df.filter("job_id = 'b'").select("job_id", F.lit("Queued").alias("status")))
-    assert {(r["job_id"], r["status"], r["total_replacements"]) for r in up.collect()} == {("a", "Queued", 3), ("b", "Queued", None), ("c", "Processing", None)}
+    changes = spark.createDataFrame([("b", "Queued", None), ("d", "Queued", "e"), ("d", "Done", None)], "job_id string, status string, error string").coalesce(1)
+    up = jobs.upsert(df, changes)
+    assert {(r["job_id"], r["status"], r["error"], r["filenames"], r["total_replacements"]) for r in up.collect()} == {("a", "Queued", None, '["x"]', 3), ("b", "Queued", None, "[]", 0), ("c", "Processing", "kept", None, None), ("d", "Done", None, "[]", 0)}
+    with pytest.raises(Exception, match="no such role: root"):
+        jobs.with_user(spark.createDataFrame([], jobs.USERS), spark.createDataFrame([("x", "root")], "username string, role string")).collect()
     assert scalars.upload_label(2048) == "2 GB" and scalars.upload_label(100) == "100 MB"
     shown = spark.createDataFrame([(0.0,), (-1.0,), (1280.0,), (3.5e12,), (1e16,)], "v double").select(scalars.human_bytes(F.col("v")).alias("s"))
     assert [r["s"] for r in shown.collect()] == ["0 B", "0 B", "1.2 KB", "3.2 TB", "9094.9 TB"]
 
 
+def test_unique_names_of_columns_are_those_of_lists(spark):
+    rng = random.Random(5)
+    rows = [(k, f"f{rng.randrange(3)}", rng.choice(["a", "a", "a_1", "a_2", "a_1_1", "b_1", "b"]) + rng.choice([".txt", ".txt", ""])) for k in range(400)] + [(400 + k, "g", n) for k, n in enumerate(["a.txt", "a.txt", "a_1.txt", "a.txt", "a_1.txt", ".env", ".env"])]
+    df = spark.createDataFrame(rows, "k int, folder string, name string").repartition(5)
+    found = {r["k"]: r["unique_name"] for r in paths.with_unique_names(df, "folder", "name", "k").collect()}
+    for folder in {r[1] for r in rows}:
+        own = [r for r in rows if r[1] == folder]
+        assert [found[r[0]] for r in own] == paths.unique_names([r[2] for r in own])
+
+
+def test_broken_packages_are_rows_with_an_error(spark):
+    def package(**parts):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as target:
+            for name, data in parts.items():
+                target.writestr(name.replace("__", "/"), data)
+        return out.getvalue()
+
+    word = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:p><w:r><w:t>TESTSECRET</w:t></w:r></w:p></w:document>'
+    sheet = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row><c t="s"><v>7</v></c></row></sheetData></worksheet>'
+    book = '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="S" r:id="r1"/></sheets></workbook>'
+    links = '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>'
+    good = package(**{"word__document.xml": word})
+    encrypted = bytearray(good)
+    for mark, at in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):
+        encrypted[encrypted.index(mark) + at] |= 1
+    files = {
+        "good.docx": good, "crc.docx": good.replace(b"TESTSECRET", b"TESTSECRXT"), "cut.docx": good[: len(good) // 2], "encrypted.docx": bytes(encrypted),
+        "norels.xlsx": package(**{"xl__workbook.xml": book}), "index.xlsx": package(**{"xl__workbook.xml": book, "xl___rels__workbook.xml.rels": links, "xl__worksheets__sheet1.xml": sheet}),
+        "empty.xlsx": b"", "noroot.docx": package(**{"word__document.xml": ""}),
+    }
+    done = {r["path"]: r for r in sanitized(spark.createDataFrame([(k, bytearray(v)) for k, v in files.items()], "path string, content binary"), SECRET).collect()}
+    assert done["good.docx"]["error"] is None and done["good.docx"]["total"] == 1
+    for name in set(files) - {"good.docx"}:
+        assert done[name]["error"] and done[name]["content"] is None, name
+
+
 def test_drop_folder(spark, tmp_path):
     from veilframe.streaming.drop_folder import mask_dropped
 

@@ -95,3 +95,11 @@ def test_kind_counts_and_plan(spark):
     assert done.select(hits_by_kind(F.col("hits"), DEFAULT_RULES).alias("k")).first()["k"] == {"Non-ASCII Character": 1, "Custom Rule 6": 1, "Custom Rule 7": 2}
     plan = done.filter("total > 0")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_filters_on_other_columns_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([(1, "TESTSECRET"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    done = masked(spark.read.parquet(str(tmp_path / "t")), "text", DEFAULT_RULES)
+    plan = done.filter("doc_id = 2 and total >= 0")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,2)]" in plan
+    assert done.filter("total > 0").count() <= 1 and done.filter("doc_id = 2").first()["masked"] is None and len(plan) < 500_000

@@ -87,29 +87,33 @@ def masked(df: DataFrame, column: str, rules: list[str], native: bool | None = N
 
 
 def _native(df: DataFrame, column: str, rules: list[str]) -> DataFrame:
-    """One projection for each rule: a check for the text that a match needs, a count, and a replacement where it is not 0."""
-    text, counts = "__text", ["__n0"]
+    """One projection for each rule: a check for the text that a match needs, a count, and a replacement where it is not 0.
+    Masking only writes X, so needed text without an x that is not there at first is never there."""
+    text, low, counts = "__text", "__low", ["__n0"]
     df = df.withColumn(counts[0], F.regexp_count(F.col(column), F.lit(OUTSIDE)).cast("long"))
     df = df.withColumn(text, F.when(F.col(counts[0]) > 0, F.regexp_replace(F.col(column), OUTSIDE, "X")).otherwise(F.col(column)))
+    df = df.withColumn(low, F.lower(text))
     for index, rule in enumerate(rules, 1):
         pattern, width, needed, n = translated(rule), fixed_width(rule), required_text(rule), f"__n{index}"
         now = F.col(text)
-        found = F.regexp_count(now, F.lit(pattern)).cast("long")
-        if needed:
-            found = F.when(F.contains(F.lower(now), F.lit(needed)), found).when(now.isNotNull(), F.lit(0).cast("long"))
-        df = df.withColumn(n, found)
+        possible = F.contains(F.lower(now) if "x" in needed else F.col(low), F.lit(needed)) if needed else now.isNotNull()
         if width:
+            df = df.withColumn(n, F.when(possible, F.regexp_count(now, F.lit(pattern)).cast("long")).when(now.isNotNull(), F.lit(0).cast("long")))
             changed = F.regexp_replace(now, pattern, "X" * width)
         else:
-            crosses = F.transform(F.regexp_extract_all(now, F.lit(pattern), F.lit(0)), lambda m: F.repeat(F.lit("X"), F.length(m)))
+            matches = f"__m{index}"
+            df = df.withColumn(matches, F.when(possible, F.regexp_extract_all(now, F.lit(pattern), F.lit(0))).when(now.isNotNull(), F.array().cast("array<string>")))
+            df = df.withColumn(n, F.when(now.isNotNull(), F.size(matches).cast("long")))
+            crosses = F.transform(matches, lambda m: F.repeat(F.lit("X"), F.length(m)))
             changed = F.concat_ws("", F.flatten(F.transform(F.arrays_zip(F.split(now, pattern, -1).alias("a"), F.concat(crosses, F.array(F.lit(""))).alias("b")), lambda x: F.array(x["a"], x["b"]))))
-        df = df.withColumn(text, F.when(F.col(n) > 0, changed).otherwise(now))
+        df = df.withColumn(text, F.when(F.col(n) > 0, changed).otherwise(now)).drop(*([] if width else [matches]))
         counts.append(n)
-    # A condition that always holds, but that the optimizer must not push: a filter on the results would otherwise be
-    # rewritten in terms of the column, and the expression doubles with every rule.
-    wall = F.monotonically_increasing_id() >= 0
-    hits = F.when(F.col(column).isNotNull() & wall, F.array(*counts))
-    return df.select("*", F.when(wall, F.col(text)).alias("masked"), hits.alias("hits")).drop(text, *counts)
+    # The results pass through a generator of one row: filters on other columns go below it, to the scan, but one on the
+    # results does not. It would be rewritten in terms of the column, and the expression doubles with every rule.
+    hits = F.when(F.col(column).isNotNull(), F.array(*counts))
+    done = F.struct(F.col(text).alias("masked"), hits.alias("hits"))
+    own = [c for c in df.columns if c not in (text, low, *counts)]
+    return df.select(*own, F.explode(F.array(done)).alias("__done")).select(*own, "__done.masked", "__done.hits")
 
 
 def _in_python(df: DataFrame, column: str, rules: list[str]) -> DataFrame:

@@ -4,8 +4,9 @@ being unpacked, and an expression for columns."""
 from __future__ import annotations
 
 import re
+import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .masking import mask_text
@@ -168,10 +169,33 @@ def download_name_column(name):
     return F.concat(F.substring(name, F.lit(1), cut), F.lit("_SANITIZED"), F.substring(name, cut + 1, F.length(end)))
 
 
+def _checkpoints(spark: SparkSession) -> None:
+    """A local session that names no checkpoint folder gets one made here."""
+    context = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined():
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="veilframe-"))
+
+
 def with_unique_names(df: DataFrame, folder: str, name: str, order: str) -> DataFrame:
-    """Adds unique_name: repeated names of a folder get _1, _2, ... in the given order. Names that collide with such a number
-    themselves are beyond this (unique_names() walks them one by one)."""
-    place = F.row_number().over(Window.partitionBy(folder, name).orderBy(order)) - 1
+    """Adds unique_name: names of a folder that are taken already get _1, _2, ... in the given order, as unique_names() does it. A
+    repeated name begins with its place among its likes; where the result is taken by an earlier row it moves on, and those behind it
+    do too. Such rounds, on what is written to the session's checkpoint folder, end when no name is taken twice."""
+    alike = Window.partitionBy(folder, name).orderBy(order)
     end = suffix_column(F.col(name))
-    numbered = F.concat(F.substring(F.col(name), F.lit(1), F.length(name) - F.length(end)), F.lit("_"), place.cast("string"), end)
-    return df.withColumn("unique_name", F.when(place == 0, F.col(name)).otherwise(numbered))
+    numbered = F.concat(F.substring(F.col(name), F.lit(1), F.length(name) - F.length(end)), F.lit("_"), F.col("__number").cast("string"), end)
+    now = F.when(F.col("__number") == 0, F.col(name)).otherwise(numbered)
+    late = F.row_number().over(Window.partitionBy(folder, "__now").orderBy(order)) > 1
+    out = df.withColumn("__place", (F.row_number().over(alike) - 1).cast("long")).withColumn("__number", F.col("__place"))
+    # Only a name that looks like a numbered one can be in another's way.
+    looks = F.regexp_extract(name, r"^(.*)_[0-9]+(\.[^.]*)?$", 0) != ""
+    if not df.filter(looks).limit(1).isEmpty():
+        _checkpoints(df.sparkSession)
+        while True:
+            out = out.withColumn("__now", now).withColumn("__late", late).checkpoint()
+            if out.filter("__late").limit(1).isEmpty():
+                break
+            least = F.col("__number") + F.col("__late").cast("long") - F.col("__place")
+            out = out.withColumn("__number", F.col("__place") + F.max(least).over(alike)).drop("__now", "__late")
+    return out.withColumn("unique_name", now).drop("__place", "__number", "__now", "__late")

@@ -73,6 +73,12 @@ def union_box(boxes):
     return F.when(F.size(there) > 0, F.array(side(0, F.array_min), side(1, F.array_min), side(2, F.array_max), side(3, F.array_max)))
 
 
+def box_around(box):
+    """union_box() as an aggregate over the boxes of a group."""
+    side = lambda i, pick: pick(box[i])
+    return F.when(F.count(box) > 0, F.array(side(0, F.min), side(1, F.min), side(2, F.max), side(3, F.max)))
+
+
 def paired_paths(names, relative):
     """array<struct<name, path>> by position; the names stand for the paths if their numbers differ."""
     own = F.when(F.size(names) == F.size(relative), relative).otherwise(names)

@@ -18,7 +18,10 @@ JOBS = T.StructType([
 USERS = T.StructType([T.StructField(c, T.StringType()) for c in ("username", "role")] + [T.StructField("enabled", T.IntegerType())] + [T.StructField(c, T.TimestampType()) for c in ("created_at", "updated_at", "last_login")])
 #: Fields that an update may set.
 UPDATABLE = ["status", "completed_at", "filenames", "total_replacements", "duration", "output_path", "report_path", "error", "source_ip", "token", "created_by"]
+ROLES = ["analyst", "admin"]
 UNFINISHED = ["Queued", "Processing"]
+#: Values of columns that a new row doesn't name; all others are null.
+DEFAULTS = {"filenames": "[]", "total_replacements": 0, "duration": 0.0, "created_by": ""}
 
 
 def latest(jobs: DataFrame, limit: int | str | None = 100, at: str = "created_at", key: str = "job_id") -> DataFrame:
@@ -48,17 +51,20 @@ def after_restart(jobs: DataFrame, now, status: str = "status", unfinished: list
     """Unfinished jobs have failed; an error that is told already stays."""
     stopped = F.col(status).isin(*(unfinished or UNFINISHED))
     changes = {status: F.when(stopped, "Failed").otherwise(F.col(status))}
-    for column, value in (("updated_at", now), ("error", F.coalesce("error", F.lit("Interrupted by a restart")) if "error" in jobs.columns else None), ("completed_at", F.coalesce("completed_at", now) if "completed_at" in jobs.columns else None)):
+    for column, value in (("updated_at", now), ("error", F.coalesce("error", F.lit("Interrupted by application restart")) if "error" in jobs.columns else None), ("completed_at", now)):
         if column in jobs.columns:
             changes[column] = F.when(stopped, value).otherwise(F.col(column))
     return jobs.withColumns(changes)
 
 
-def upsert(jobs: DataFrame, changes: DataFrame, key: str = "job_id") -> DataFrame:
-    """Rows of changes in place of those with the same key; columns that changes lack get null."""
+def upsert(jobs: DataFrame, changes: DataFrame, key: str = "job_id", order: str | None = None, defaults: dict[str, object] = DEFAULTS) -> DataFrame:
+    """Rows of changes in place of those with the same key. Columns that changes lack get their default, or null. Of changes with one key
+    the last counts, by the column `order` or else by their place in changes."""
+    ordered = changes.withColumn("__order", F.col(order) if order else F.monotonically_increasing_id())
+    changes = ordered.groupBy(key).agg(F.max_by(F.struct(*changes.columns), "__order").alias("c")).select("c.*")
     for field in jobs.schema.fields:
         if field.name not in changes.columns:
-            changes = changes.withColumn(field.name, F.lit(None).cast(field.dataType))
+            changes = changes.withColumn(field.name, F.lit(defaults.get(field.name)).cast(field.dataType))
     return jobs.join(changes.select(key), key, "left_anti").select(*jobs.columns).unionByName(changes.select(*jobs.columns))
 
 
@@ -76,20 +82,38 @@ def expired_files(files: DataFrame, now, days: int = 1) -> DataFrame:
     return files.filter(F.col("modificationTime") < now - F.make_dt_interval(F.lit(days)))
 
 
-def public(jobs: DataFrame, links: bool = True) -> DataFrame:
+def public(jobs: DataFrame, links: bool = True, more: list = ()) -> DataFrame:
     """What a history shows of jobs: no tokens or paths, but whether there is something to load, and where."""
     there = {"download": F.coalesce(F.col("output_path") != "", F.lit(False)), "report": F.coalesce(F.col("report_path") != "", F.lit(False))}
     columns = ["job_id", "status", "created_at", "completed_at", F.coalesce("created_by", F.lit("")).alias("created_by"), file_names(F.col("filenames")).alias("filenames"), F.coalesce("total_replacements", F.lit(0)).cast("long").alias("total_replacements"), F.coalesce("duration", F.lit(0.0)).alias("duration"), "error", there["download"].alias("download_available"), there["report"].alias("report_available")]
     if links:
         given = F.coalesce(F.col("token"), F.lit("")) != ""
         columns += [F.when(given & there["download"], F.concat(F.lit("/download/"), "job_id", F.lit("?token="), "token")).alias("download"), F.when(given & there["report"], F.concat(F.lit("/download/report/"), "job_id", F.lit("?token="), "token")).alias("report_download")]
-    return jobs.select(*columns)
+    return jobs.select(*columns, *more)
 
 
 def may_download(jobs: DataFrame, job_id: str, token: str) -> DataFrame:
     return jobs.filter((F.col("job_id") == job_id) & (F.col("token") == token) & (F.col("status") == "Done"))
 
 
+def status(jobs: DataFrame) -> DataFrame:
+    """What a status page tells of jobs that are no longer in memory: finished ones are at 100 percent."""
+    kind = F.when(F.regexp_extract(F.coalesce("output_path", F.lit("")), r"([^/\\]*)$", 1).startswith("Sanitized_Package_"), "package").otherwise("file")
+    done = F.when(F.col("status").isin("Done", "Failed"), 100)
+    return public(jobs, more=[done.alias("progress"), kind.alias("output_type")]).drop("created_at", "completed_at", "filenames", "download_available", "report_available")
+
+
+def with_user(table: DataFrame, changes: DataFrame) -> DataFrame:
+    """Users with rows added or replaced: enabled unless it is told otherwise. A role that is none fails the query."""
+    known = F.when(F.col("role").isin(*ROLES), F.col("role")).otherwise(F.raise_error(F.concat(F.lit("no such role: "), F.coalesce("role", F.lit("null")))).cast("string"))
+    return upsert(table, changes.withColumn("role", known), "username", defaults={"enabled": 1})
+
+
+def with_columns_of(table: DataFrame, schema: T.StructType, defaults: dict[str, object] = DEFAULTS) -> DataFrame:
+    """An older table in the present schema: columns that it lacks have their default, or null."""
+    return table.select(*(F.col(f.name) if f.name in table.columns else F.lit(defaults.get(f.name)).cast(f.dataType).alias(f.name) for f in schema.fields))
+
+
 def users(table: DataFrame) -> DataFrame:
     return table.orderBy("username")
 

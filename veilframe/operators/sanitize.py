@@ -22,7 +22,7 @@ from ..sources.office import mask_docx, mask_xlsx
 
 #: (audited file, kind, count, location, whether the masked unit is blank)
 Hit = tuple[str, str, int, str, bool]
-MOST_COMPONENTS = 50
+MOST_COMPONENTS = 50  # of a path; beyond it the file has an error, as limits on archives give one
 _line = re.compile(LINE)
 
 
@@ -100,11 +100,11 @@ def _renamed(paths: list[str], rules: list[str], file: str, hits: list[Hit]) ->
     return [names[p] for p in paths]
 
 
-def mask_upload(path: str, content: bytes, rules: list[str], limits: Limits = Limits()) -> tuple[str, bytes, list[Hit]]:
+def mask_upload(path: str, content: bytes, rules: list[str], limits: Limits = Limits(), most_components: int = MOST_COMPONENTS) -> tuple[str, bytes, list[Hit]]:
     """(masked relative path, masked bytes, hits) of one input file."""
     safe, _, counts = masked_path(path, rules)
-    if safe.count("/") >= MOST_COMPONENTS:
-        raise ValueError(f"a path has over {MOST_COMPONENTS} components")
+    if safe.count("/") >= most_components:
+        raise ValueError(f"a path has over {most_components} components")
     hits: list[Hit] = [(safe, f"Path: {kind}", n, "Path", False) for kind, n in counts.items()]
     name = posixpath.basename(path.replace("\\", "/"))
     if is_archive(name):
@@ -120,14 +120,14 @@ SANITIZED = "path string, safe_path string, content binary, total long, error st
 _HIT = pa.struct([("file", pa.string()), ("match_type", pa.string()), ("n", pa.int64()), ("location", pa.string()), ("blank", pa.bool_()), ("ordinal", pa.int64())])
 
 
-def sanitized(files: DataFrame, rules: list[str], limits: Limits = Limits()) -> DataFrame:
+def sanitized(files: DataFrame, rules: list[str], limits: Limits = Limits(), most_components: int = MOST_COMPONENTS) -> DataFrame:
     """path, content -> SANITIZED: a row for each file, with an error in place of content where masking isn't safe."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 try:
-                    safe, out, hits = mask_upload(path or "", content.as_py() or b"", rules, limits)
+                    safe, out, hits = mask_upload(path or "", content.as_py() or b"", rules, limits, most_components)
                     error = None
                 except ValueError as problem:
                     safe, out, hits, error = masked_path(path, rules)[0], None, [], str(problem)

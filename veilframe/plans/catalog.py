@@ -261,6 +261,40 @@ def upsert_latest(spark, sf_dir):
     return jobs.upsert(orders, orders.filter("o_orderkey % 7 = 0").select("o_orderkey", F.lit("Queued").alias("o_orderstatus")), "o_orderkey")
 
 
+@query("""SELECT o_orderkey::VARCHAR AS job_id, CASE WHEN o_orderkey % 7 = 0 THEN 'Queued' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 7 = 0 THEN 'second' END AS token, CASE WHEN o_orderkey % 7 = 0 THEN '[]' ELSE '["a"]' END AS filenames, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_custkey END AS total_replacements,
+ CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_totalprice END AS duration, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE o_orderpriority END AS created_by FROM orders""")
+def upsert_defaults(spark, sf_dir):
+    """New rows have the defaults of the history; of two with one key the last stays."""
+    orders = table(spark, sf_dir, "orders")
+    kept = orders.select(F.col("o_orderkey").cast("string").alias("job_id"), F.col("o_orderstatus").alias("status"), F.lit(None).cast("string").alias("token"), F.lit('["a"]').alias("filenames"), F.col("o_custkey").cast("long").alias("total_replacements"), F.col("o_totalprice").cast("double").alias("duration"), F.col("o_orderpriority").alias("created_by"))
+    new = orders.filter("o_orderkey % 7 = 0").select(F.col("o_orderkey").cast("string").alias("job_id"), F.lit("Queued").alias("status"))
+    changes = new.withColumns({"token": F.lit("first"), "turn": F.lit(1)}).unionByName(new.withColumns({"token": F.lit("second"), "turn": F.lit(2)}))
+    return jobs.upsert(kept, changes, order="turn")
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN o_orderstatus IN ('O', 'P') THEN coalesce(CASE WHEN o_custkey % 3 = 0 THEN 'told' END, 'Interrupted by application restart') WHEN o_custkey % 3 = 0 THEN 'told' END AS error, CASE WHEN o_orderstatus IN ('O', 'P') THEN TIMESTAMP '2024-01-31 00:00:00' END AS completed_at FROM orders""")
+def restart_errors(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.when(F.col("o_custkey") % 3 == 0, "told").alias("error"), F.lit(None).cast("timestamp_ntz").alias("completed_at"))
+    return jobs.after_restart(orders, F.lit(NOW).cast("timestamp_ntz"), "o_orderstatus", ["O", "P"]).select("o_orderkey", "error", "completed_at")
+
+
+@query("""SELECT o_orderkey::VARCHAR AS job_id, o_orderstatus AS status, CASE WHEN o_orderstatus IN ('Done', 'Failed') THEN 100 END AS progress, CASE WHEN o_custkey % 2 = 0 THEN 'package' ELSE 'file' END AS output_type, o_totalprice::DOUBLE AS duration, o_custkey::BIGINT AS total_replacements
+ FROM (SELECT * REPLACE (CASE o_orderstatus WHEN 'F' THEN 'Done' WHEN 'P' THEN 'Failed' ELSE 'Queued' END AS o_orderstatus) FROM orders)""")
+def job_status(spark, sf_dir):
+    state = F.when(F.col("o_orderstatus") == "F", "Done").when(F.col("o_orderstatus") == "P", "Failed").otherwise("Queued")
+    history = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("job_id"), state.alias("status"), F.when(F.col("o_custkey") % 2 == 0, "/out/Sanitized_Package_1.zip").otherwise("/out/Sanitized_Package_1/a.txt").alias("output_path"), F.col("o_totalprice").cast("double").alias("duration"), F.col("o_custkey").cast("long").alias("total_replacements"))
+    return jobs.status(jobs.with_columns_of(history, jobs.JOBS)).select("job_id", "status", "progress", "output_type", "duration", "total_replacements")
+
+
+@query("""SELECT c_name AS username, CASE WHEN c_custkey % 5 = 0 THEN 'admin' WHEN c_acctbal > 0 THEN 'analyst' ELSE 'admin' END AS role, CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE (c_acctbal > 0)::INTEGER END AS enabled FROM customer""")
+def user_changes(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer")
+    role = F.when(F.col("c_acctbal") > 0, "analyst").otherwise("admin")
+    known = jobs.with_columns_of(customers.select(F.col("c_name").alias("username"), role.alias("role"), (F.col("c_acctbal") > 0).cast("int").alias("enabled")), jobs.USERS)
+    changed = jobs.with_user(known, customers.filter("c_custkey % 5 = 0").select(F.col("c_name").alias("username"), F.lit("admin").alias("role")))
+    return changed.select("username", "role", "enabled")
+
+
 @query("SELECT o_orderkey, CASE WHEN o_custkey = 370 THEN 'Done' ELSE o_orderstatus END AS status FROM orders")
 def update_jobs(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status"))
@@ -306,8 +340,8 @@ def public_jobs(spark, sf_dir):
     return jobs.public(orders).select("job_id", "download_available", "download", "duration")
 
 
-@query("""SELECT event_id, greatest(least(user_id, 40), 5) AS clamped, 10 + floor(user_id / 100.0 * 70)::INTEGER AS progress, CASE WHEN event_id < 1024 THEN event_id || ' B' ELSE printf('%.1f KB', event_id / 1024.0) END AS size,
- CASE WHEN regexp_matches(lower(trim(event_type)), '^[\\p{L}\\p{N}._\\-@]+$') THEN lower(trim(event_type)) END AS user_name, '/' AS target FROM events WHERE event_id < 1048576""")
+@query("""SELECT event_id, greatest(least(user_id, 40), 5) AS clamped, 10 + floor(user_id / 100.0 * 70)::INTEGER AS progress, CASE WHEN event_id < 1024 THEN event_id || ' B' WHEN event_id < 1024 ** 2 THEN printf('%.1f KB', event_id / 1024.0) WHEN event_id < 1024 ** 3 THEN printf('%.1f MB', event_id / 1024.0 ** 2) WHEN event_id < 1024 ** 4 THEN printf('%.1f GB', event_id / 1024.0 ** 3) ELSE printf('%.1f TB', event_id / 1024.0 ** 4) END AS size,
+ CASE WHEN regexp_matches(lower(trim(event_type)), '^[\\p{L}\\p{N}._\\-@]+$') THEN lower(trim(event_type)) END AS user_name, '/' AS target FROM events""")
 def display_values(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     return events.select("event_id", scalars.clamp(F.col("user_id"), 5, 40).alias("clamped"), scalars.progress(F.col("user_id"), F.lit(100)).alias("progress"), scalars.human_bytes(F.col("event_id")).alias("size"), scalars.user_name(F.col("event_type")).alias("user_name"), scalars.local_target(F.concat(F.lit("//"), "event_type")).alias("target"))
@@ -341,8 +375,7 @@ def run_redistribution(spark, sf_dir):
 @query("SELECT user_id, min(value) AS x0, min(event_id)::DOUBLE AS y0, max(value) AS x1, max(event_id)::DOUBLE AS y1 FROM events GROUP BY user_id")
 def union_boxes(spark, sf_dir):
     box = F.array("value", F.col("event_id").cast("double"), "value", F.col("event_id").cast("double"))
-    u = scalars.union_box(F.collect_list(box))
-    boxes = table(spark, sf_dir, "events").groupBy("user_id").agg(u.alias("u"))
+    boxes = table(spark, sf_dir, "events").groupBy("user_id").agg(scalars.box_around(box).alias("u"))
     return boxes.select("user_id", *(F.col("u")[i].alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))))
 
 
@@ -369,7 +402,7 @@ def upload_pairs(spark, sf_dir):
     ordered = F.array_sort(F.collect_list(F.struct("turn", "role")))
     grouped = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(ordered.alias("o"))
     names, paths_ = F.transform("o", lambda x: x["role"]), F.transform("o", lambda x: x["turn"].cast("string"))
-    own = F.when(F.col("conv_id") % 2 == 0, paths_).otherwise(F.slice(paths_, 2, 1_000_000))
+    own = F.when(F.col("conv_id") % 2 == 0, paths_).otherwise(F.slice(paths_, F.lit(2), F.size(paths_)))
     return grouped.select("conv_id", F.posexplode(scalars.paired_paths(names, own)).alias("place", "p")).select("conv_id", "place", "p.name", "p.path")
 
 

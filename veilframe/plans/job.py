@@ -9,10 +9,10 @@ import time
 import uuid
 from datetime import datetime
 
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import is_single_file, suffix_column
+from ..functions.paths import is_single_file, with_unique_names
 from ..functions.rules import DEFAULT_RULES, active_rules, read_rules
 from ..operators.audit import audit, file_totals, report
 from ..operators.sanitize import checked, hit_rows, sanitized
@@ -21,10 +21,10 @@ from ..sources.files import package, report_workbook, scan, write_direct
 
 def unique_paths(done):
     """Outputs that would have the same path get _1, _2, ... in the order of their original paths."""
-    place = F.row_number().over(Window.partitionBy("safe_path").orderBy("path")) - 1
-    end = suffix_column(F.element_at(F.split("safe_path", "/"), -1))
-    numbered = F.concat(F.substring("safe_path", F.lit(1), F.length("safe_path") - F.length(end)), F.lit("_"), place.cast("string"), end)
-    return done.withColumn("safe_path", F.when(place == 0, F.col("safe_path")).otherwise(numbered))
+    folder = F.regexp_extract("safe_path", "^(.*/)?", 0)
+    split = done.select("path", folder.alias("folder"), F.expr("substr(safe_path, length(regexp_extract(safe_path, '^(.*/)?', 0)) + 1)").alias("name"))
+    named = with_unique_names(split, "folder", "name", "path").select("path", F.concat("folder", "unique_name").alias("__unique"))
+    return done.join(named, "path").withColumn("safe_path", F.col("__unique")).drop("__unique")
 
 
 def run_job(spark: SparkSession, source: str, output: str, rules: list[str] | None = None) -> dict:
@@ -36,7 +36,8 @@ def run_job(spark: SparkSession, source: str, output: str, rules: list[str] | No
     files = scan(spark, folder)
     if folder != source:
         files = files.filter(F.col("path") == os.path.basename(source))
-    done = unique_paths(sanitized(files, rules)).persist()
+    masked = sanitized(files, rules).persist()
+    done = unique_paths(masked).persist()
     try:
         failed = done.filter("error is not null").select("path", "error").orderBy("path").first()
         if failed:
@@ -58,6 +59,7 @@ def run_job(spark: SparkSession, source: str, output: str, rules: list[str] | No
         total = done.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     finally:
         done.unpersist()
+        masked.unpersist()
     return {"job_id": job_id, "status": "Done", "error": None, "total_replacements": total, "output_path": out, "report_path": report_path, "duration": time.time() - begun}
 
 

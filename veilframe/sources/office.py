@@ -10,6 +10,8 @@ import io
 import posixpath
 import re
 import zipfile
+import zlib
+from functools import wraps
 from xml.dom import minidom
 from xml.parsers.expat import ExpatError
 
@@ -23,6 +25,19 @@ WORD_TEXT = {"t", "instrText", "delText", "delInstrText"}
 Hit = tuple[str, str, int]
 
 
+def refuses_broken(mask):
+    """Turns what a broken package raises, whatever part of it is broken, into ValueError."""
+
+    @wraps(mask)
+    def masked(content: bytes, rules: list[str]) -> tuple[bytes, list[Hit]]:
+        try:
+            return mask(content, rules)
+        except (zipfile.BadZipFile, zlib.error, EOFError, LookupError, RuntimeError, AttributeError) as error:
+            raise ValueError(f"broken or encrypted Office package: {type(error).__name__}: {error}") from error
+
+    return masked
+
+
 def _open(content: bytes) -> zipfile.ZipFile:
     try:
         return zipfile.ZipFile(io.BytesIO(content))
@@ -120,6 +135,7 @@ def _mask_links(document: minidom.Document, rules: list[str]) -> list[Hit]:
     return hits
 
 
+@refuses_broken
 def mask_docx(content: bytes, rules: list[str]) -> tuple[bytes, list[Hit]]:
     with _open(content) as source:
         names = source.namelist()
@@ -175,6 +191,7 @@ def _string_nodes(item) -> list:
     return [t for t in item.getElementsByTagNameNS(SHEET, "t") if t.parentNode.localName != "rPh"]
 
 
+@refuses_broken
 def mask_xlsx(content: bytes, rules: list[str]) -> tuple[bytes, list[Hit]]:
     """Masks string cells and formulas of all worksheets. Numbers, dates, sheet names and comments stay."""
     with _open(content) as source:
