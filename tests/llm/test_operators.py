@@ -138,7 +138,9 @@ def test_site_tree_removes_what_a_host_repeats(spark, tmp_path):
     assert {r["text"] for r in html_text.extract(everything).collect()} == {"all the same"}
 
 
-def test_importance_decides_inside_and_outside_of_articles(spark):
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_importance_decides_inside_and_outside_of_articles(spark, monkeypatch, most):
+    monkeypatch.setattr(html_text, "BROADCAST_ROWS", most)  # beyond it, pages are joined with the low elements
     rng = random.Random(2)
     own = [words(rng, 30) for _ in range(80)]
     page = {
@@ -320,6 +322,23 @@ def test_links_across_cells_are_exact(spark, monkeypatch):
     assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == [(i, len(links[i]), component[i], component[i] == i) for i in range(600)]
 
 
+def test_every_link_at_the_threshold_is_found(spark):
+    """The query's own parameters, with eight cells; random vectors of 64 dimensions have no other links."""
+    rng = np.random.default_rng(19)
+    base = rng.normal(size=(16100, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.normal(size=base.shape)
+    side -= (side * base).sum(axis=1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.931, 0.95, (len(base), 1))
+    both = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * side])
+    assert len(both) // vectors.CELL_ROWS >= 8
+    data = pa.table({"vec_id": np.arange(len(both)), "embedding": pa.array(list(both)), "label": np.zeros(len(both), np.int64)})
+    got = vectors.near_duplicates(spark.createDataFrame(data)).toArrow()
+    ids, n, component = (got.column(c).to_numpy() for c in ("vec_id", "n_links", "component_id"))
+    assert (n == 1).all() and (component == ids % len(base)).all()
+
+
 def test_recall_at_the_threshold(spark):
     rng = np.random.default_rng(9)
     base = rng.normal(size=(1500, 64))
@@ -330,7 +349,7 @@ def test_recall_at_the_threshold(spark):
     cosine = rng.uniform(0.931, 0.95, (len(base), 1))
     both = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * side])
     centres = vectors.spherical_kmeans(both[rng.permutation(len(both))], 40)
-    home, row, cell = vectors.visits(both, centres, vectors.SLACK * np.sqrt(2 - 2 * 0.93))
+    home, row, cell = vectors.visits(both, centres, vectors.distances(centres), vectors.SLACK * np.sqrt(2 - 2 * 0.93))
     goes = {*zip(row.tolist(), cell.tolist())} | {*enumerate(home.tolist())}
     met = [(i, int(home[i + 1500])) in goes or (i + 1500, int(home[i])) in goes for i in range(1500)]
     assert np.mean(met) >= 0.9
@@ -546,6 +565,17 @@ def test_token_counts(spark, odd, counter):
         assert sorted(map(str, rows_of(spark, "op8_token_counts", folder, "doc_id", "n_bytes", "n_tokens", "over_limit"))) == want
 
 
+@pytest.mark.parametrize("width", [0, 1, 32])
+def test_long_words(counter, monkeypatch, width):
+    """Words over many chunks, of several in one batch, with periods that keep maps from becoming constant."""
+    monkeypatch.setattr(token_count, "WIDTH", width)
+    rng = random.Random(width)
+    texts = ["a" * 5000, "ab" * 3000 + " x", "".join(rng.choice("thesingo") for _ in range(20000)), "aab" * 900 + " " + "xyz" * 700 + "!" * 600, "é" * 1000, "!?" * 2000, "short words " * 50]
+    texts += ["".join(rng.choice("aab") for _ in range(rng.randrange(3000))) for _ in range(10)]
+    assert counter.count(texts).tolist() == library_counts(texts)
+    assert counter.count([t for t in reversed(texts)]).tolist() == library_counts(texts)[::-1]
+
+
 def test_a_flushed_transducer_counts_the_same(counter, monkeypatch):
     texts = [t for _, t in texts_of(SF)[:60]]
     before = counter.count(texts)

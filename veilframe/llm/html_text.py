@@ -15,18 +15,19 @@ outside of an article stays by its importance if the host has at least PAGES pag
 nothing is left, importance is not used on that page.
 
 Statistics are counts by (host, element, value) that every task adds up first; a host's tree is as large as its templates.
-Null html gives an empty text; pages without a host only know the rules that need no tree. Repeated rows are pages
-of their own.
+A host with fewer than PAGES pages has no tree: what few pages share by chance would look like a template. Null html gives an empty
+text; pages without a host only know the rules that need no tree. Very long pages are read whole. Repeated rows are pages of their own.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -73,6 +74,14 @@ class Element:
         self.children, self.texts = [], []
 
 
+def mark(text: str) -> int:
+    """63 bits of a digest."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little") >> 1
+
+
+known_mark = lru_cache(1 << 14)(mark)  # for tags with their class, which pages repeat
+
+
 def attributes(raw: str) -> dict[str, str]:
     found: dict[str, str] = {}
     for name, a, b, c in ATTRIBUTE.findall(raw):
@@ -154,7 +163,7 @@ def walk(page: str, on_text, on_close, on_block, low: frozenset[int] = frozenset
         top = stack[-1]
         given = attributes(raw) if raw.strip() else {}
         kind = tag + "." + given["class"] if given.get("class") else tag
-        path = ((top.path * 1_000_003) ^ zlib.crc32(kind.encode("utf-8", "replace")) * 0x9E3779B1) & 0x7FFFFFFFFFFFFFFF
+        path = ((top.path * 1_000_003) ^ known_mark(kind)) & 0x7FFFFFFFFFFFFFFF
         kind = CHROME if top.dropped else is_chrome(tag, given, top.article)
         dropped, branch = kind == CHROME, top.branch
         if kind in (COMPOUND, NAMED):
@@ -267,9 +276,9 @@ def count_elements(pages: DataFrame) -> DataFrame:
                 def on_close(element: Element) -> None:
                     key = host, element.path, element.parent, element.depth
                     present.add(key)
-                    counts[(*key, STYLE, zlib.crc32(repr(element.children).encode()))] += 1
+                    counts[(*key, STYLE, mark(repr(element.children)))] += 1
                     if text := " ".join("".join(element.texts).split()):
-                        counts[(*key, TEXT, zlib.crc32(text.encode("utf-8", "replace")) << 31 | zlib.adler32(text.encode("utf-8", "replace")) >> 1)] += 1
+                        counts[(*key, TEXT, mark(text))] += 1
 
                 walk(page, on_text, on_close, lambda: None)
                 for key in present:

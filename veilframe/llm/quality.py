@@ -4,11 +4,11 @@ Filters of WIDTH bytes run over the whole document. Chunks of two BLOCKs that ov
 responses are rectified, and their mean and their maximum over the chunks feed one logistic unit. A byte's input symbol
 also says whether its word repeats one of the two words before it, which no filter of fixed width could see.
 
-The network is trained on the driver from a bounded sample: at most SAMPLE_ROWS labelled rows with texts of 1 to
-SAMPLE_BYTES bytes, half of each label where there are enough, in the order of a hash of the id. Rows with
+The network is trained on the driver from a bounded sample: at most SAMPLE_ROWS labelled rows with texts that aren't empty,
+whole, half of each label where there are enough, in the order of a hash of the id. Rows with
 crc32(doc_id as text) mod 3 = 1 are held out and never trained on. Scores see nothing but the text. Null and empty texts
 are scored as a document of one padding symbol. With no usable labels, or with one class only, every score is the constant
-1.0 or 0.0 of the class that there is (1.0 if there is none).
+1.0 or 0.0 of the class that there is (1.0 if there is none). Very long texts are scored whole, repeated rows each by itself.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from .common import RangeHash, sliced, table, text_bytes
 
 WIDTH, FILTERS, BLOCK = 5, 12, 256
 SYMBOLS = 512  # a byte, and whether its word is a repeated one
-SAMPLE_ROWS, SAMPLE_BYTES = 2400, 1 << 15
+SAMPLE_ROWS = 2400
 EPOCHS, BATCH, RATE, DECAY = 10, 32, 0.01, 1e-4
 _words = RangeHash(2)
 _is_space = np.zeros(256, bool)
@@ -114,9 +114,12 @@ class Network:
     def gradients(self, data: np.ndarray, bounds: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
         symbols, first = laid_out(data, bounds)
         blocks = int(first[-1])
-        response = self.responses(symbols, blocks)
-        place = response.argmax(axis=1)
-        peaks = np.take_along_axis(response, place[:, None], axis=1)[:, 0]
+        place, peaks = np.empty((blocks, FILTERS), np.int64), np.empty((blocks, FILTERS), np.float32)
+        for b in range(0, blocks, 256):
+            stop = min(b + 256, blocks)
+            response = self.responses(symbols[b * BLOCK : stop * BLOCK + WIDTH], stop - b)
+            place[b:stop] = response.argmax(axis=1)
+            peaks[b:stop] = np.take_along_axis(response, place[b:stop, None], axis=1)[:, 0]
         place += np.arange(blocks)[:, None] * BLOCK
         left, right, begin = self.chunks(first)
         from_right = peaks[right] > peaks[left]
@@ -174,8 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Networ
     if not chosen:
         return Network().fit([], np.zeros(0))
     few = F.broadcast(spark.createDataFrame([(r["id"], r["quality"]) for r in chosen], "id long, quality int"))  # at most 2 * rows
-    size = F.octet_length("text")
-    usable = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter((size > 0) & (size <= SAMPLE_BYTES)).join(few, "id").dropDuplicates(["id"])
+    usable = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter(F.octet_length("text") > 0).join(few, "id").dropDuplicates(["id"])
     sample = []
     per_class = [usable.filter(F.col("quality") == q).orderBy(order, "id").limit(rows // 2) for q in (0, 1)]
     for r in per_class[0].unionByName(per_class[1]).collect():

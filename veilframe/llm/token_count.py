@@ -7,10 +7,12 @@ built when a text first needs them (lazy determinisation). The last token of a p
 may follow the last token before it; two tokens may follow each other if BPE of both together gives just these two.
 
 The byte that ends a word leads back to the start state, so a chunk's state map is a constant behind the first word end in
-it. All chunks of a batch step together from the start state; a prefix scan then composes the maps and redoes the bytes
-before a chunk's first word end from the state that its predecessors lead to.
+it. All chunks of a batch step together from the start state. Maps of chunks inside of long words are worked out for the states
+that their predecessors can end in, usually one or two, and a prefix scan composes them in logarithmically many steps; the bytes before a
+chunk's first word end are then redone from the state that its predecessors lead to.
 
 Null text counts as empty: no bytes, no tokens. Special strings in a text count as one token, as by the library's default.
+Very long texts are counted whole. Repeated rows and ids are rows of their own.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ END = 256  # added to the byte that ends a word
 CHUNK = 128
 STATE_LIMIT = 60_000  # then the lazily built part starts anew
 PAIR_LIMIT = 500_000  # remembered answers on pairs of tokens
+WIDTH = 32  # states in which a chunk's predecessor can end; with more of them the word's chunks are settled one by one
 FEW = 4  # entries below a trie node, so that states keep answers in place of the token before
 # The code points with the Unicode property White_Space.
 WHITE_SPACE = frozenset([*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
@@ -199,31 +202,68 @@ class Transducer:
             states = states.astype(np.int64)
         ends = laid >= END
         first = np.where(ends.any(axis=0), ends.argmax(axis=0), CHUNK)  # a chunk's map is constant if it has a word end
-        # Scan: a chunk is settled when the state before it is known; chunks behind a constant map are so at once.
         into = np.zeros(chunks, np.int64)
         into[1:] = states[:-1]
-        waits = np.zeros(chunks, bool)
-        waits[1:] = first[:-1] == CHUNK
-        todo = np.flatnonzero(~waits & (into > 0))
-        waits[0] = False
-        while True:
-            moving, now = todo, into[todo]
-            for k in range(int(first[todo].max(initial=-1)) + 1):
-                live = first[moving] >= k
-                moving, now = moving[live], now[live]
-                if k == CHUNK or not len(moving):
-                    break
-                now, out[k, moving] = self.step(now, laid[k, moving])
-                now = now.astype(np.int64)
-                if k == CHUNK - 1:
-                    whole = first[moving] == CHUNK
-                    states[moving[whole]] = now[whole]
-            ready = np.flatnonzero(waits & ~np.r_[False, waits[:-1]])
-            if not len(ready):
-                return out.T.reshape(-1)[:n]
-            waits[ready] = False
-            into[ready] = states[ready - 1]
-            todo = ready
+        self.settle(laid, first == CHUNK, into)
+        moving = np.flatnonzero(into > 0)
+        now = into[moving]
+        for k in range(min(int(first[moving].max(initial=-1)) + 1, CHUNK)):
+            live = first[moving] >= k
+            moving, now = moving[live], now[live]
+            now, out[k, moving] = self.step(now, laid[k, moving])
+            now = now.astype(np.int64)
+        return out.T.reshape(-1)[:n]
+
+    def through(self, laid: np.ndarray, chunks: np.ndarray, states: np.ndarray) -> np.ndarray:
+        """The states behind whole chunks."""
+        for k in range(CHUNK):
+            states = self.step(states, laid[k, chunks])[0].astype(np.int64)
+        return states
+
+    def settle(self, laid: np.ndarray, is_open: np.ndarray, into: np.ndarray) -> None:
+        """Corrects the states before chunks that follow an open one, which has no word end. `into` comes with what the start
+        state leads to."""
+        opened = np.flatnonzero(is_open[:-1])
+        if not len(opened):
+            return
+        starts = np.r_[True, np.diff(opened) > 1]
+        place = np.arange(len(opened)) - np.maximum.accumulate(np.where(starts, np.arange(len(opened)), 0))
+        # Maps: {state before: state behind} of each open chunk, for what its predecessor can end in; the first of a run has one.
+        maps: list[dict[int, int]] = [{} for _ in opened]
+        new = [(i, int(into[c])) for i, c in enumerate(opened)]
+        wide = np.zeros(len(opened), bool)
+        while new:
+            at, before = np.array([i for i, _ in new]), np.array([s for _, s in new], np.int64)
+            behind = self.through(laid, opened[at], before).tolist()
+            following = []
+            for (i, s), e in zip(new, behind):
+                maps[i][s] = e
+            for (i, _), e in zip(new, behind):
+                if i + 1 < len(opened) and place[i + 1] and e not in maps[i + 1] and not wide[i + 1]:
+                    maps[i + 1][e] = -1
+                    following.append((i + 1, e))
+                    wide[i + 1] = len(maps[i + 1]) > WIDTH
+            new = following
+        run = np.cumsum(starts) - 1
+        slow = np.zeros(run[-1] + 1, bool)
+        slow[run[wide]] = True
+        fits = ~slow[run]
+        # Scan: after a step, composed[i] leads from the states before 2 * step chunks up to i to those behind i.
+        names = [{s: k for k, s in enumerate(own)} for own in maps]
+        behind = [names[i + 1] if i + 1 < len(opened) and place[i + 1] else {e: k for k, e in enumerate(dict.fromkeys(own.values()))} for i, own in enumerate(maps)]
+        composed = np.zeros((len(opened), max(len(own) for own in maps)), np.int64)
+        for i in np.flatnonzero(fits).tolist():
+            composed[i, : len(maps[i])] = [behind[i][e] for e in maps[i].values()]
+        step = 1
+        while step <= place.max():
+            later = np.flatnonzero(place >= step)
+            composed[later] = np.take_along_axis(composed[later], composed[later - step], axis=1)
+            step *= 2
+        ends = [list(own) for own in behind]
+        for i in np.flatnonzero(fits).tolist():
+            into[opened[i] + 1] = ends[i][composed[i, 0]]
+        for i in np.flatnonzero(~fits).tolist():
+            into[opened[i] + 1] = self.through(laid, opened[i : i + 1], into[opened[i] : opened[i] + 1])[0]
 
 
 class Counter:
@@ -289,6 +329,9 @@ class Counter:
         inside = np.repeat(kinds != SPACE, widths)
         if len(self.machine.states) > STATE_LIMIT:
             self.machine.reset()
+        for memo in (self.machine.pairs, self.machine.open):
+            if len(memo) > PAIR_LIMIT:
+                memo.clear()
         sums = np.zeros(len(raw) + 1, np.int64)
         emitted = np.zeros(len(raw), np.int8)
         if inside.any():
