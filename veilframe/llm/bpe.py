@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import RangeHash, mixed, sliced, table
 
-KNOWN_LIMIT = 300_000  # pre-tokens that a worker remembers
+KNOWN_LIMIT = 1_000_000  # pre-tokens that a worker remembers: about 250 bytes each
 LONG = 1 << 20  # characters: longer texts are encoded in parts
 PIECES_AT_ONCE = 200_000  # of one long text
 
