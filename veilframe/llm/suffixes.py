@@ -278,8 +278,8 @@ def marked(candidates: DataFrame, length: int, w: int) -> DataFrame:
         met = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for _, n, b in rows] or [np.zeros(0, np.uint8)]).astype(bool)
         hit = starts[met[np.cumsum(new) - 1]] if len(starts) else starts
         change = np.zeros(len(data) + 1, np.int64)
-        np.add.at(change, hit, 1)
-        np.subtract.at(change, hit + length, 1)
+        change[hit] += 1  # no place is there twice
+        change[hit + length] -= 1
         gone = np.cumsum(change[:-1]) > 0
         rows_, spans = [], []
         for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
@@ -343,8 +343,15 @@ def short_passages(docs: DataFrame, length: int, words: int) -> DataFrame:
             begin, stop = begin[: len(begin) - words + 1], stop[words - 1 :]
             near = (owner[: len(begin)] == owner[words - 1 :]) & (stop - begin < length) if len(begin) else np.zeros(0, bool)
             begin, stop, owner = begin[near], stop[near], owner[: len(near)][near]
-            names = [mixed(h.of(h.sums(data), begin, stop)).view(np.int64) for h in (_first, _second)] if len(begin) else [np.zeros(0, np.int64)] * 2
             at = bounds[owner]
+            # Only documents with such a passage are hashed, one after the other in `some`.
+            own, of = np.unique(owner, return_inverse=True)
+            inside = np.zeros(len(data) + 1, np.int8)
+            np.add.at(inside, bounds[own], 1)
+            np.subtract.at(inside, bounds[own + 1], 1)
+            some = data[np.cumsum(inside[:-1]).astype(bool)]
+            moved = np.concatenate([[0], np.cumsum(bounds[own + 1] - bounds[own])])[of] - at
+            names = [mixed(h.of(h.sums(some), begin + moved, stop + moved)).view(np.int64) if len(begin) else np.zeros(0, np.int64) for h in (_first, _second)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner)), batch.column("whole").take(pa.array(owner)), *map(pa.array, names), pa.array(begin - at, pa.int32()), pa.array(stop - at, pa.int32())], names=["doc_id", "whole", "h1", "h2", "begin", "stop"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("whole"), "text")
