@@ -2,7 +2,8 @@
 
 Whole pre-tokens that are vocabulary entries are found by a minimal perfect hash (hash, displace, compare);
 the others are merged by a heap over linked bytes. Null text counts as empty and has no ids. Ids are those of the
-tiktoken library for encode_ordinary: special strings in a text are ordinary text.
+tiktoken library for encode_ordinary: special strings in a text are ordinary text. Texts of more than LONG characters are encoded
+whole, PIECES_AT_ONCE pre-tokens at a time. Repeated rows and ids are encoded each by itself.
 """
 
 from __future__ import annotations

@@ -2,7 +2,8 @@
 
 The reader handles variable-length ids and sizes (unknown sizes too), SimpleBlock and BlockGroup, the lacing
 kinds none, Xiph, fixed and EBML, and cues. The writer stores 8-bit mono PCM without loss.
-Null text counts as empty; an empty text becomes 64 zero bytes. Broken media raise ValueError in the plain
+Null text counts as empty; an empty text becomes 64 zero bytes. Very long texts are stored whole, in as many clusters as they need.
+Repeated rows and ids are media of their own, with equal values. Broken media raise ValueError in the plain
 functions; packets() then gives no packets and puts the reason into the column error.
 """
 

@@ -4,7 +4,7 @@ Payload bytes are stored once for each SHA-256 digest; the exact record headers
 header + payload + two line ends, joined again by digest. Of equal payloads of at least MIN_REVISIT bytes the row with the
 smallest page_id is the response and the others are revisits of it; shorter ones are all responses. Null html counts as
 empty. Rows that repeat the smallest page_id are all responses; a null page_id is never the smallest.
-A null url gives a record without target URI.
+A null url gives a record without target URI. Very long pages are stored whole, as one row.
 """
 
 from __future__ import annotations
