@@ -149,6 +149,17 @@ def test_name_columns_follow_the_plain_forms(spark):
         assert row["s"] == paths.suffix(row["name"]) and row["a"] == paths.archive_suffix(row["name"]) and tuple(row["f"]) == paths.safe_name(row["name"]) and row["d"] == paths.download_name(row["name"]), row
 
 
+@pytest.mark.parametrize("rules", [[], [*SECRET, "csv"], [r"(a)\\1", r"x*"]])
+def test_masked_paths_of_columns_are_those_of_lists(spark, rules):
+    given = ["..\\\\a//./TESTSECRET.d/csv.tar.gz", "csv/csv.csv", "", None, "/", "é/ü.txt", "aa/aa.TGZ", "d. ./x", "csv/csv.csv", ".env", "a<b/c|d.csv"]
+    df = spark.createDataFrame(list(enumerate(given)), "masked int, path string")
+    rows = paths.with_masked_paths(df, "path", rules).collect()
+    assert sorted(r["masked"] for r in rows) == list(range(len(given)))
+    for row in rows:
+        name, total, counts = paths.masked_path(row["path"], rules)
+        assert row["masked_path"] == name and row["path_hits"] == counts and sum(row["path_hits"].values()) == total, row
+
+
 def test_jobs_over_folders(spark, tmp_path):
     source = tmp_path / "in"
     (source / "Case-A" / "sub").mkdir(parents=True)

@@ -5,11 +5,13 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections import Counter
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .masking import mask_text
+from .masking import hits_by_kind, mask_text, masked
 from .rules import FILENAME_FORMAT
 
 # Suffixes of archives, the compound ones in the order in which they are tried.
@@ -46,44 +48,50 @@ def archive_stem(name: str) -> str:
 
 def safe_name(name: str) -> tuple[str, int]:
     """(name without characters that file systems refuse, number of them)."""
-    masked, n = _bad.subn("X", name)
-    return masked.rstrip(" .") or "file", n
+    clean, n = _bad.subn("X", name)
+    return clean.rstrip(" .") or "file", n
 
 
-def split_suffix(name: str) -> tuple[str, str]:
-    found = archive_suffix(name) if is_archive(name) else suffix(name)
-    return (name[: len(name) - len(found)], name[len(name) - len(found) :]) if found else (name, "")
+def tail(name: str) -> str:
+    """What rules never see of the last name of a path: its suffix, of archives the compound one."""
+    return name[len(name) - len(archive_suffix(name)) :] if is_archive(name) else suffix(name)
 
 
-def masked_component(name: str, rules: list[str], keep_suffix: bool = True) -> tuple[str, int, dict[str, int]]:
-    """(masked name, total, counts by kind) of one component of a path; without rules only bad characters go."""
-    name, n = safe_name(name)
-    counts = {FILENAME_FORMAT: n} if n else {}
-    if rules:
-        body, end = split_suffix(name) if keep_suffix else (name, "")
-        body, hits, found = mask_text(body, rules)
-        n += hits
-        for kind, k in found.items():
-            counts[kind] = counts.get(kind, 0) + k
-        name = (body + end).rstrip(" .") or "file" + end
-    return name, n, counts
+class Piece(NamedTuple):
+    """A safe name of a path, cut in two; bad counts the characters that became X."""
+
+    stem: str
+    tail: str
+    bad: int
+
+
+def piece(component: str, keep_suffix: bool) -> Piece:
+    name, bad = safe_name(component)
+    end = tail(name) if keep_suffix else ""
+    return Piece(name[: len(name) - len(end)], end, bad)
 
 
 def components(path: str | None) -> list[str]:
     return [p for p in (path or "").replace("\\", "/").split("/") if p not in ("", ".", "..")] or ["file"]
 
 
+def _masked(pieces: list[Piece], rules: list[str]) -> tuple[str, int, dict[str, int]]:
+    """(path, total, counts by kind). Masking keeps lengths and writes X, so a stem stays a safe one."""
+    stems = [mask_text(p.stem, rules) if rules else (p.stem, 0, {}) for p in pieces]
+    kinds = Counter({FILENAME_FORMAT: sum(p.bad for p in pieces)})
+    for _, _, found in stems:
+        kinds.update(found)
+    return "/".join(stem[0] + p.tail for stem, p in zip(stems, pieces)), kinds.total(), dict(+kinds)
+
+
+def masked_component(name: str, rules: list[str], keep_suffix: bool = True) -> tuple[str, int, dict[str, int]]:
+    return _masked([piece(name, keep_suffix)], rules)
+
+
 def masked_path(path: str | None, rules: list[str]) -> tuple[str, int, dict[str, int]]:
-    """(masked relative path, total, counts by kind); only the last component keeps its suffix."""
-    parts, total, counts = components(path), 0, {}
-    out = []
-    for i, part in enumerate(parts):
-        name, n, found = masked_component(part, rules, i == len(parts) - 1)
-        out.append(name)
-        total += n
-        for kind, k in found.items():
-            counts[kind] = counts.get(kind, 0) + k
-    return "/".join(out), total, counts
+    """The plain form of with_masked_paths(), for paths inside of files that are being unpacked."""
+    *above, last = components(path)
+    return _masked([*(piece(p, False) for p in above), piece(last, True)], rules)
 
 
 def is_mac_junk(path: str) -> bool:
@@ -100,13 +108,13 @@ def member_path(name: str) -> str:
 
 
 def download_name(name: str) -> str:
-    body, end = split_suffix(name)
-    return f"{body}_SANITIZED{end}"
+    end = tail(name)
+    return name.removesuffix(end) + "_SANITIZED" + end
 
 
 def is_single_file(paths: list[str]) -> bool:
     """One file that was chosen by itself, not as part of a folder."""
-    return len(paths) == 1 and len([p for p in (paths[0] or "").replace("\\", "/").split("/") if p not in ("", ".", "..")]) <= 1
+    return [len(components(p)) for p in paths] == [1]
 
 
 def unique_names(names: list[str]) -> list[str]:
@@ -163,10 +171,32 @@ def safe_path_column(path):
     return F.array_join(F.transform(components_column(path), lambda p: safe_name_column(p)["name"]), "/")
 
 
+def tail_column(name):
+    end = archive_suffix_column(name)
+    return F.when(end.isin(ARCHIVES), F.right(name, F.length(end))).otherwise(suffix_column(name))
+
+
 def download_name_column(name):
-    end = F.when(archive_suffix_column(name).isin(ARCHIVES), archive_suffix_column(name)).otherwise(suffix_column(name))
-    cut = F.length(name) - F.length(end)
-    return F.concat(F.substring(name, F.lit(1), cut), F.lit("_SANITIZED"), F.substring(name, cut + 1, F.length(end)))
+    end = tail_column(name)
+    return F.concat(F.left(name, F.length(name) - F.length(end)), F.lit("_SANITIZED"), end)
+
+
+def with_masked_paths(df: DataFrame, path: str, rules: list[str]) -> DataFrame:
+    """Adds masked_path and path_hits (map<kind, count>). Every name becomes a safe one, then the rules mask it, in the last one without its suffix;
+    a path without names, or null, is "file". Each different path is masked once, its names as rows, so rules run where masked() runs
+    them; grouping brings together the names of one path, never more."""
+    given = F.coalesce(F.col(path), F.lit(""))
+    names = df.select(given.alias("__path")).distinct().withColumn("__names", components_column(F.col("__path")))
+    names = names.select("__path", F.size("__names").alias("__size"), F.posexplode("__names").alias("__at", "__name")).withColumn("__safe", safe_name_column(F.col("__name")))
+    end = F.when(F.col("__at") == F.col("__size") - 1, tail_column(F.col("__safe.name"))).otherwise("")
+    names = names.select("__path", "__at", F.col("__safe.n").alias("__bad"), F.col("__safe.name").alias("__whole"), end.alias("__tail"))
+    names = names.withColumn("__stem", F.expr("left(__whole, length(__whole) - length(__tail))")).drop("__whole")
+    done = masked(names, "__stem", rules) if rules else names.withColumns({"masked": F.col("__stem"), "hits": F.array(F.lit(0).cast("long"))})
+    inside = F.array_sort(F.collect_list(F.struct("__at", F.concat("masked", "__tail").alias("name"))))
+    hits = F.array(*(F.sum(F.col("hits")[k]) for k in range(len(rules) + 1)))
+    whole = done.groupBy("__path").agg(F.array_join(F.transform(inside, lambda x: x["name"]), "/").alias("masked_path"), F.sum("__bad").alias("__bad"), hits.alias("__hits"))
+    kinds = F.map_concat(F.map_filter(F.create_map(F.lit(FILENAME_FORMAT), F.col("__bad")), lambda _, n: n > 0), hits_by_kind(F.col("__hits"), rules))
+    return df.join(whole.select("__path", "masked_path", kinds.alias("path_hits")), given == F.col("__path")).drop("__path")
 
 
 def _checkpoints(spark: SparkSession) -> None:
