@@ -23,6 +23,7 @@ from ..sources.office import mask_docx, mask_xlsx
 #: (audited file, kind, count, location, whether the masked unit is blank)
 Hit = tuple[str, str, int, str, bool]
 MOST_COMPONENTS = 50  # of a path; beyond it the file has an error, as limits on archives give one
+BATCH_BYTES = 4 << 20  # masked files leave a task in batches of so many bytes, or one file
 _line = re.compile(LINE)
 
 
@@ -118,21 +119,32 @@ def mask_upload(path: str, content: bytes, rules: list[str], limits: Limits = Li
 
 SANITIZED = "path string, safe_path string, content binary, total long, error string, hits array<struct<file string, match_type string, n long, location string, blank boolean, ordinal long>>"
 _HIT = pa.struct([("file", pa.string()), ("match_type", pa.string()), ("n", pa.int64()), ("location", pa.string()), ("blank", pa.bool_()), ("ordinal", pa.int64())])
+_SANITIZED = pa.schema([("path", pa.string()), ("safe_path", pa.string()), ("content", pa.binary()), ("total", pa.int64()), ("error", pa.string()), ("hits", pa.list_(_HIT))])
 
 
 def sanitized(files: DataFrame, rules: list[str], limits: Limits = Limits(), most_components: int = MOST_COMPONENTS) -> DataFrame:
     """path, content -> SANITIZED: a row for each file, with an error in place of content where masking isn't safe."""
 
+    def one(path: str | None, content: bytes | None) -> dict:
+        try:
+            safe, out, hits = mask_upload(path or "", content or b"", rules, limits, most_components)
+            error = None
+        except ValueError as problem:
+            safe, out, hits, error = masked_path(path, rules)[0], None, [], str(problem)
+        rows = [dict(zip(("file", "match_type", "n", "location", "blank"), h), ordinal=i) for i, h in enumerate(hits)]
+        return {"path": path, "safe_path": safe, "content": out, "total": sum(h[2] for h in hits), "error": error, "hits": rows}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            done, size = [], 0
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                try:
-                    safe, out, hits = mask_upload(path or "", content.as_py() or b"", rules, limits, most_components)
-                    error = None
-                except ValueError as problem:
-                    safe, out, hits, error = masked_path(path, rules)[0], None, [], str(problem)
-                rows = [dict(zip(("file", "match_type", "n", "location", "blank"), h), ordinal=i) for i, h in enumerate(hits)]
-                yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([safe], pa.string()), pa.array([out], pa.binary()), pa.array([sum(h[2] for h in hits)], pa.int64()), pa.array([error], pa.string()), pa.array([rows], pa.list_(_HIT))], names=["path", "safe_path", "content", "total", "error", "hits"])
+                done.append(one(path, content.as_py()))
+                size += len(done[-1]["content"] or b"")
+                if size > BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(done, _SANITIZED)
+                    done, size = [], 0
+            if done:
+                yield pa.RecordBatch.from_pylist(done, _SANITIZED)
 
     return files.select("path", "content").mapInArrow(run, SANITIZED)
 

@@ -198,13 +198,13 @@ PATH_RULES = [r"\d+", "example", "html", r"host\w"]
 
 
 @query(f"""WITH p AS (SELECT page_id, list_filter(string_split(replace(url, '\\', '/'), '/'), lambda x: x NOT IN ('', '.', '..')) AS parts FROM pages),
-c AS (SELECT page_id, unnest(parts) AS part, unnest(range(len(parts))) AS at, len(parts) AS size FROM p),
-s AS (SELECT page_id, at, size, regexp_replace(regexp_replace(part, {quoted(paths.BAD_CHARACTER)}, 'X', 'g'), '[ .]+$', '') AS clean, len(regexp_extract_all(part, {quoted(paths.BAD_CHARACTER)}))::BIGINT AS bad FROM c),
-n AS (SELECT page_id, at, size, bad, CASE WHEN clean = '' THEN 'file' ELSE clean END AS name FROM s),
-e AS (SELECT *, CASE WHEN at < size - 1 THEN 0 WHEN {SQL_ARCHIVE} IN ({_in(paths.ARCHIVES)}) THEN length({SQL_ARCHIVE}) ELSE length({SUFFIX.format('name')}) END AS w FROM n),
-stems AS (SELECT page_id, at, bad, substr(name, 1, length(name) - w) AS stem, substr(name, length(name) - w + 1) AS tail FROM e),
-{sql_fold('stems', 'stem', PATH_RULES, 'page_id, at, bad, tail')}
-SELECT page_id, string_agg(t || tail, '/' ORDER BY at) AS masked_path, sum(bad + {sql_total(PATH_RULES)})::BIGINT AS n_masked FROM f{len(PATH_RULES)} GROUP BY page_id""")
+c AS (SELECT page_id, unnest(parts) AS part, unnest(range(len(parts))) AS place, len(parts) AS size FROM p),
+s AS (SELECT page_id, place, size, regexp_replace(regexp_replace(part, {quoted(paths.BAD_CHARACTER)}, 'X', 'g'), '[ .]+$', '') AS clean, len(regexp_extract_all(part, {quoted(paths.BAD_CHARACTER)}))::BIGINT AS bad FROM c),
+n AS (SELECT page_id, place, size, bad, CASE WHEN clean = '' THEN 'file' ELSE clean END AS name FROM s),
+e AS (SELECT *, CASE WHEN place < size - 1 THEN 0 WHEN {SQL_ARCHIVE} IN ({_in(paths.ARCHIVES)}) THEN length({SQL_ARCHIVE}) ELSE length({SUFFIX.format('name')}) END AS w FROM n),
+stems AS (SELECT page_id, place, bad, substr(name, 1, length(name) - w) AS stem, substr(name, length(name) - w + 1) AS tail FROM e),
+{sql_fold('stems', 'stem', PATH_RULES, 'page_id, place, bad, tail')}
+SELECT page_id, string_agg(t || tail, '/' ORDER BY place) AS masked_path, sum(bad + {sql_total(PATH_RULES)})::BIGINT AS n_masked FROM f{len(PATH_RULES)} GROUP BY page_id""")
 def masked_paths(spark, sf_dir):
     done = paths.with_masked_paths(table(spark, sf_dir, "pages").select("page_id", "url"), "url", PATH_RULES)
     return done.select("page_id", "masked_path", F.aggregate(F.map_values("path_hits"), F.lit(0).cast("long"), lambda a, n: a + n).alias("n_masked"))
