@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, matroska, merkle, ngram_join, packing, quality, suffixes, token_count, vectors, warc
+from . import bpe, html_text, matroska, merkle, ngram_join, packing, quality, suffixes, token_count, url_rules, vectors, warc
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_jaccard": ngram_join.op9_jaccard,
     "op10_warc": warc.op10_warc,
     "op11_merkle": merkle.op11_merkle,
+    "op12_url_rules": url_rules.op12_url_rules,
 }
 
 ORACLES = {
     "op10_warc": warc.ORACLE_OP10,
     "op11_merkle": merkle.ORACLE_OP11,
+    "op12_url_rules": url_rules.ORACLE_OP12,
 }
