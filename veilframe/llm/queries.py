@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, matroska, merkle, ngram_join, packing, quality, suffixes, token_count, url_rules, vectors, warc
+from . import bpe, html_text, matroska, merkle, ngram_join, packing, quality, spelling, suffixes, token_count, url_rules, vectors, warc
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
@@ -17,10 +17,12 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
     "op11_merkle": merkle.op11_merkle,
     "op12_url_rules": url_rules.op12_url_rules,
+    "op13_spelling": spelling.op13_spelling,
 }
 
 ORACLES = {
     "op10_warc": warc.ORACLE_OP10,
     "op11_merkle": merkle.ORACLE_OP11,
     "op12_url_rules": url_rules.ORACLE_OP12,
+    "op13_spelling": spelling.ORACLE_OP13,
 }
