@@ -583,6 +583,29 @@ def test_a_flushed_transducer_counts_the_same(counter, monkeypatch):
     assert (counter.count(texts) == before).all() and (counter.count(texts) == before).all()
 
 
+@pytest.mark.parametrize("piece", [1, 5, 64])
+def test_states_are_bounded_inside_a_word(counter, monkeypatch, piece):
+    """Pieces of one word follow each other; only what is in use stays when there are too many states."""
+    monkeypatch.setattr(token_count, "STATE_LIMIT", 1500)
+    monkeypatch.setattr(token_count, "PIECE", token_count.CHUNK * piece)
+    counter.machine.reset()
+    rng = random.Random(piece)
+    most, number = 0, counter.machine.number
+
+    def watched(state):
+        nonlocal most
+        most = max(most, len(counter.machine.states))
+        return number(state)
+
+    monkeypatch.setattr(counter.machine, "number", watched)
+    texts = ["".join(rng.choice("etaoinshrdlu") for _ in range(12_000)), "short words", "".join(rng.choice("abc ") for _ in range(3000)), "ab" * 4000 + "'s"]
+    assert counter.count(texts).tolist() == library_counts(texts)
+    assert 1500 <= most < 1500 + 2 * 64
+    monkeypatch.setattr(token_count, "STATE_LIMIT", 60_000)
+    monkeypatch.setattr(token_count, "PLACE_LIMIT", 3000)
+    assert counter.count(texts).tolist() == library_counts(texts)
+
+
 # 9: n-grams
 
 

@@ -7,9 +7,13 @@ built when a text first needs them (lazy determinisation). The last token of a p
 may follow the last token before it; two tokens may follow each other if BPE of both together gives just these two.
 
 The byte that ends a word leads back to the start state, so a chunk's state map is a constant behind the first word end in
-it. All chunks of a batch step together from the start state. Maps of chunks inside of long words are worked out for the states
+it. All chunks of a piece step together from the start state. Maps of chunks inside of long words are worked out for the states
 that their predecessors can end in, usually one or two, and a prefix scan composes them in logarithmically many steps; the bytes before a
-chunk's first word end are then redone from the state that its predecessors lead to.
+chunk's first word end are then redone from the state that its predecessors lead to. Pieces of long texts follow each other, each from
+the state in which the last one ended.
+
+Between steps only the states of the piece's chunks are in use. Beyond STATE_LIMIT states, or PLACE_LIMIT open places in them, all others
+are forgotten and built anew when needed, inside of a text and of a word as well.
 
 Null text counts as empty: no bytes, no tokens. Special strings in a text count as one token, as by the library's default.
 Very long texts are counted whole. Repeated rows and ids are rows of their own.
@@ -34,7 +38,8 @@ from .common import sliced, table
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 END = 256  # added to the byte that ends a word
 CHUNK = 128
-STATE_LIMIT = 60_000  # then the lazily built part starts anew
+PIECE = CHUNK << 13  # symbols whose chunks step together
+STATE_LIMIT, PLACE_LIMIT = 60_000, 1_000_000  # then the lazily built part starts anew, but for the states in use
 PAIR_LIMIT = 500_000  # remembered answers on pairs of tokens
 WIDTH = 32  # states in which a chunk's predecessor can end; with more of them the word's chunks are settled one by one
 FEW = 4  # entries below a trie node, so that states keep answers in place of the token before
@@ -50,6 +55,10 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+State = tuple[tuple[int, int, int], ...]
+START: State = ((0, -1, 0),)
+
+
 class Transducer:
     def __init__(self, model: dict):
         letters = byte_alphabet()
@@ -83,8 +92,7 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        start = ((0, -1, 0),)
-        self.states, self.ids = [start], {start: 0}
+        self.states, self.ids, self.places = [START], {START: 0}, 1
         self.next = np.full((1024, 256), -1, np.int32)
         self.emit = np.zeros((1024, 512), np.int8)
         self.ended = np.zeros((1024, 256), bool)
@@ -164,16 +172,34 @@ class Transducer:
         if symbol >= END:
             self.ended[state, symbol - END] = True
             return
-        following = (*((n, b, c - change) for n, b, c in moved), (0, token, 0))
-        at = self.ids.get(following)
+        self.next[state, symbol] = self.number((*((n, b, c - change) for n, b, c in moved), (0, token, 0)))
+
+    def number(self, state: State) -> int:
+        at = self.ids.get(state)
         if at is None:
-            at = self.ids[following] = len(self.states)
-            self.states.append(following)
+            at = self.ids[state] = len(self.states)
+            self.states.append(state)
+            self.places += len(state)
             if at == len(self.next):
                 self.next = np.concatenate([self.next, np.full_like(self.next, -1)])
                 self.emit = np.concatenate([self.emit, np.zeros_like(self.emit)])
                 self.ended = np.concatenate([self.ended, np.zeros_like(self.ended)])
-        self.next[state, symbol] = at
+        return at
+
+    def bounded(self, used: np.ndarray) -> np.ndarray:
+        """The numbers of the states in use, after all others are forgotten if there are too many."""
+        for memo in (self.pairs, self.open):
+            if len(memo) > PAIR_LIMIT:
+                memo.clear()
+        if len(self.states) <= STATE_LIMIT and self.places <= PLACE_LIMIT:
+            return used
+        known, at = np.unique(used, return_inverse=True)
+        kept = [self.states[i] for i in known.tolist()]
+        self.reset()
+        return self.numbers(kept)[at]
+
+    def numbers(self, states: list[State]) -> np.ndarray:
+        return np.array([self.number(s) for s in states], np.int64)
 
     def step(self, states: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(following states, changes of the count) of many places at once."""
@@ -190,6 +216,14 @@ class Transducer:
 
     def changes(self, symbols: np.ndarray) -> np.ndarray:
         """What every symbol of a sequence adds to the number of tokens; the sequence begins with a word."""
+        out, state = np.empty(len(symbols), np.int8), START
+        for begin in range(0, len(symbols), PIECE):
+            piece = symbols[begin : begin + PIECE]
+            out[begin : begin + len(piece)], state = self.piece(piece, state, begin + PIECE < len(symbols))
+        return out
+
+    def piece(self, symbols: np.ndarray, before: State, goes_on: bool) -> tuple[np.ndarray, State]:
+        """The same for a piece that begins in a state, and the state behind it if the sequence goes on."""
         n = len(symbols)
         chunks = -(-n // CHUNK)
         laid = np.full(chunks * CHUNK, END + 32, np.int32)
@@ -198,49 +232,49 @@ class Transducer:
         out = np.empty((CHUNK, chunks), np.int8)
         states = np.zeros(chunks, np.int64)
         for k in range(CHUNK):
-            states, out[k] = self.step(states, laid[k])
+            states, out[k] = self.step(self.bounded(states), laid[k])
             states = states.astype(np.int64)
         ends = laid >= END
         first = np.where(ends.any(axis=0), ends.argmax(axis=0), CHUNK)  # a chunk's map is constant if it has a word end
-        into = np.zeros(chunks, np.int64)
-        into[1:] = states[:-1]
+        # From here on states are held by what they are: their numbers change when others are forgotten.
+        into = [before, *(self.states[s] for s in states.tolist())]
         self.settle(laid, first == CHUNK, into)
-        moving = np.flatnonzero(into > 0)
-        now = into[moving]
+        moving = np.array([c for c in range(chunks) if into[c] != START], np.int64)
+        now = self.numbers([into[c] for c in moving.tolist()])
         for k in range(min(int(first[moving].max(initial=-1)) + 1, CHUNK)):
             live = first[moving] >= k
-            moving, now = moving[live], now[live]
+            moving, now = moving[live], self.bounded(now[live])
             now, out[k, moving] = self.step(now, laid[k, moving])
             now = now.astype(np.int64)
-        return out.T.reshape(-1)[:n]
+        return out.T.reshape(-1)[:n], into[chunks] if goes_on else START
 
-    def through(self, laid: np.ndarray, chunks: np.ndarray, states: np.ndarray) -> np.ndarray:
+    def through(self, laid: np.ndarray, chunks: np.ndarray, before: list[State]) -> list[State]:
         """The states behind whole chunks."""
+        states = self.numbers(before)
         for k in range(CHUNK):
-            states = self.step(states, laid[k, chunks])[0].astype(np.int64)
-        return states
+            states = self.step(self.bounded(states), laid[k, chunks])[0].astype(np.int64)
+        return [self.states[s] for s in states.tolist()]
 
-    def settle(self, laid: np.ndarray, is_open: np.ndarray, into: np.ndarray) -> None:
-        """Corrects the states before chunks that follow an open one, which has no word end. `into` comes with what the start
-        state leads to."""
-        opened = np.flatnonzero(is_open[:-1])
+    def settle(self, laid: np.ndarray, is_open: np.ndarray, into: list[State]) -> None:
+        """Corrects the states behind open chunks, which have no word end. `into` has the states before all chunks and behind the
+        last one; it comes with what the start state leads to."""
+        opened = np.flatnonzero(is_open)
         if not len(opened):
             return
         starts = np.r_[True, np.diff(opened) > 1]
         place = np.arange(len(opened)) - np.maximum.accumulate(np.where(starts, np.arange(len(opened)), 0))
         # Maps: {state before: state behind} of each open chunk, for what its predecessor can end in; the first of a run has one.
-        maps: list[dict[int, int]] = [{} for _ in opened]
-        new = [(i, int(into[c])) for i, c in enumerate(opened)]
+        maps: list[dict[State, State]] = [{} for _ in opened]
+        new = [(i, into[c]) for i, c in enumerate(opened.tolist())]
         wide = np.zeros(len(opened), bool)
         while new:
-            at, before = np.array([i for i, _ in new]), np.array([s for _, s in new], np.int64)
-            behind = self.through(laid, opened[at], before).tolist()
+            behind = self.through(laid, opened[[i for i, _ in new]], [s for _, s in new])
             following = []
             for (i, s), e in zip(new, behind):
                 maps[i][s] = e
             for (i, _), e in zip(new, behind):
                 if i + 1 < len(opened) and place[i + 1] and e not in maps[i + 1] and not wide[i + 1]:
-                    maps[i + 1][e] = -1
+                    maps[i + 1][e] = START
                     following.append((i + 1, e))
                     wide[i + 1] = len(maps[i + 1]) > WIDTH
             new = following
@@ -263,7 +297,7 @@ class Transducer:
         for i in np.flatnonzero(fits).tolist():
             into[opened[i] + 1] = ends[i][composed[i, 0]]
         for i in np.flatnonzero(~fits).tolist():
-            into[opened[i] + 1] = self.through(laid, opened[i : i + 1], into[opened[i] : opened[i] + 1])[0]
+            into[opened[i] + 1] = self.through(laid, opened[i : i + 1], [into[opened[i]]])[0]
 
 
 class Counter:
@@ -271,6 +305,7 @@ class Counter:
         self.machine = Transducer(spec["model"])
         specials = sorted((x["content"] for x in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
+        self.marks = {x[0] for x in specials}
         self.kinds = np.zeros(0x110000, np.uint8)
 
     def classes(self, points: np.ndarray) -> np.ndarray:
@@ -310,7 +345,7 @@ class Counter:
         extra = np.zeros(len(texts), np.int64)
         clean = []
         for i, text in enumerate(texts):
-            if self.special is not None and "<" in text:
+            if any(m in text for m in self.marks):
                 parts = self.special.split(text)
                 extra[i] = len(parts) - 1
                 clean.append(" ".join(map(self.normal, parts)))
@@ -327,11 +362,6 @@ class Counter:
         symbols = raw.astype(np.int32)
         symbols[last[ends]] += END
         inside = np.repeat(kinds != SPACE, widths)
-        if len(self.machine.states) > STATE_LIMIT:
-            self.machine.reset()
-        for memo in (self.machine.pairs, self.machine.open):
-            if len(memo) > PAIR_LIMIT:
-                memo.clear()
         sums = np.zeros(len(raw) + 1, np.int64)
         emitted = np.zeros(len(raw), np.int8)
         if inside.any():
