@@ -265,11 +265,17 @@ def shared_counts(first: DataFrame) -> DataFrame:
 PAIR = np.dtype([("name", "<u8"), ("cid", "<i8")])
 
 
+def local_bucket(part: int, number: int, buckets: int) -> int:
+    """Where the links go that a batch has inside of itself: one of as many buckets as bundles have, below 0."""
+    return -1 - (part * 7919 + number) % buckets
+
+
 def bundle_edges(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
     """Edges between sets with an equal bundle."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "grams"):
+        part = TaskContext.get().partitionId()
+        for number, batch in enumerate(sliced(batches, "grams")):
             each = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("grams")]
             size = np.array([len(x) for x in each], np.int64)
             doc, name = bundle_names(np.repeat(np.arange(len(each)), size), np.concatenate(each), size, percent)
@@ -281,7 +287,7 @@ def bundle_edges(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
             new[1:] = name[1:] != name[:-1]
             u, v = forest(cid[1:][~new[1:]], cid[:-1][~new[1:]])
             entries = entries[new]  # a bundle that a batch has several times travels once
-            cut = [(k, packed(entries[at])) for k, at in by_range(entries["name"], buckets)] + ([(-1, packed(np.concatenate([u, v])))] if len(u) else [])
+            cut = [(k, packed(entries[at])) for k, at in by_range(entries["name"], buckets)] + ([(local_bucket(part, number, buckets), packed(np.concatenate([u, v])))] if len(u) else [])
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in cut], pa.int32()), pa.array([x for _, x in cut], pa.binary())], names=["bucket", "packed"])
 
     def meet(group: pa.Table) -> pa.Table:
