@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .rules import NON_ASCII, category, fixed_width, required_text, translated
+from .rules import NON_ASCII, category, compiled, fixed_width, required_text, translated
 
 OUTSIDE = r"[^\x20-\x7E\n\r]"
 
@@ -37,7 +37,7 @@ _outside = re.compile(OUTSIDE)
 
 @lru_cache(4096)
 def _compiled(rule: str) -> tuple[re.Pattern, str]:
-    return re.compile(rule, re.IGNORECASE), required_text(rule)
+    return compiled(rule), required_text(rule)
 
 
 def _crosses(match: re.Match) -> str:

@@ -272,3 +272,62 @@ def required_text(rule: str) -> str:
     except re.error:
         pass
     return best
+
+
+def required_texts(rule: str) -> frozenset[str]:
+    """Lower-case ASCII strings of which every match contains one at least; none if none are known. They come from runs of literals, from
+    all branches of a choice, and from what is repeated once or more; the set whose shortest string is longest."""
+    try:
+        return _required(parser.parse(rule, re.IGNORECASE))
+    except re.error:
+        return frozenset()
+
+
+@lru_cache(16384)
+def compiled(rule: str) -> re.Pattern:
+    """The rule as a pattern. Where several look-arounds open it, a look at the first character goes before them: all hold at the
+    same place, so nothing changes but the time that they take at places where no match begins."""
+    pattern = re.compile(rule, re.IGNORECASE)
+    tree = parser.parse(rule, re.IGNORECASE)
+    opening = [op for op, _ in tree[:2]]
+    if tree.state.flags & ~(re.IGNORECASE | re.UNICODE) or len(opening) < 2 or any(op not in (sre.ASSERT, sre.ASSERT_NOT) for op in opening):
+        return pattern
+    first = _first_characters(tree)
+    return re.compile("(?=[" + "".join(f"\\x{c:02x}" for c in sorted(first)) + f"])(?:{rule})", re.IGNORECASE) if first else pattern
+
+
+def plain_literal(rule: str) -> tuple[str, bool, bool] | None:
+    """(lower-case literal, word border before it, word border behind it) of a rule that is nothing else; None for all others."""
+    try:
+        items = list(parser.parse(rule, re.IGNORECASE))
+    except re.error:
+        return None
+    border = (sre.AT, sre.AT_BOUNDARY)
+    before, behind = items[:1] == [border], len(items) > 1 and items[-1] == border
+    inner = items[before : len(items) - behind]
+    if not inner or not all(op is sre.LITERAL and given < 128 for op, given in inner):
+        return None
+    return "".join(chr(given) for _, given in inner).lower(), before, behind
+
+
+def _required(items) -> frozenset[str]:
+    found, run = [], ""
+    for op, given in items:
+        if op is sre.LITERAL and given < 128:
+            run += chr(given).lower()
+            continue
+        if op in (sre.AT, sre.ASSERT, sre.ASSERT_NOT):
+            continue
+        found.append(frozenset([run] if run else []))
+        run = ""
+        if op is sre.SUBPATTERN:
+            found.append(_required(given[3]))
+        elif op is sre.IN and len(given) <= 8 and all(o is sre.LITERAL and v < 128 for o, v in given):
+            found.append(frozenset(chr(v).lower() for _, v in given))
+        elif op is sre.BRANCH:
+            each = [_required(x) for x in given[1]]
+            found.append(frozenset().union(*each) if all(each) else frozenset())
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and given[0]:
+            found.append(_required(given[2]))
+    found.append(frozenset([run] if run else []))
+    return max((x for x in found if x), key=lambda x: (min(map(len, x)), -len(x)), default=frozenset())

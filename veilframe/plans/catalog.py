@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, scalars
+from ..functions.automaton import masked_by_automaton, rule_totals
 from ..functions.encoding import with_encoding, with_lines
 from ..functions.masking import OUTSIDE, masked, with_ranges
 from ..functions.rules import DEFAULT_RULES, NON_ASCII, category, fixed_width, keyword_table, rule_table
 from ..operators import jobs
 from ..operators.audit import audit, file_totals, job_total, unit_hits, with_keywords
 from ..operators.sanitize import hit_rows, sanitized
+from ..sources.shared import new_path
+from ..sources.text_ranges import checked_lines, line_units, scan_lines
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -109,6 +112,32 @@ def mask_other_rules(spark, sf_dir):
     return done.select("doc_id", F.col("masked").alias("sanitized"), *(F.col("hits")[i].alias(f"n{i}") for i in range(len(MORE_RULES) + 1)))
 
 
+def benchmark_rules(spark: SparkSession, sf_dir: str) -> list[str]:
+    """A long rule list: each word of the benchmark as a rule. Rule lists are on the driver, as always."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9_]+"), F.lit(0))).alias("word")).filter(F.col("word").rlike("^[a-z]{4,}$")).distinct()
+    return [rf"\b{r['word']}\b" for r in words.orderBy("word").collect()]
+
+
+MANY = f"""WITH known AS (SELECT word, row_number() OVER (ORDER BY word) AS place FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS word FROM benchmark) WHERE regexp_matches(word, '^[a-z]{{4,}}$')),
+{sql_fold('documents', 'text', [], 'doc_id')},
+tokens AS (SELECT doc_id, n0, unnest(regexp_extract_all(t, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+')) AS token, unnest(range(len(regexp_extract_all(t, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+')))) AS i FROM f0),
+told AS (SELECT tokens.*, place FROM tokens LEFT JOIN known ON known.word = lower(token))"""
+
+
+@query(MANY + """ SELECT doc_id, md5(coalesce(string_agg(CASE WHEN place IS NULL THEN token ELSE repeat('X', length(token)) END, '' ORDER BY i), '')) AS masked_md5, coalesce(max(told.n0), 0) + count(place) AS total, count(DISTINCT place) AS n_rules
+FROM documents LEFT JOIN told USING (doc_id) GROUP BY doc_id""")
+def mask_many_rules(spark, sf_dir):
+    """Thousands of rules in one pass."""
+    done = masked_by_automaton(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", benchmark_rules(spark, sf_dir))
+    return done.select("doc_id", F.md5("masked").alias("masked_md5"), "total", F.size(F.filter("found", lambda f: f["place"] > 0)).cast("long").alias("n_rules"))
+
+
+@query(MANY + ", counts AS (SELECT place, count(*) AS n FROM told GROUP BY place) SELECT place::INTEGER AS place, '\\b' || word || '\\b' AS rule, coalesce(n, 0)::BIGINT AS n FROM known LEFT JOIN counts USING (place) UNION ALL SELECT 0, NULL, sum(n0)::BIGINT FROM f0")
+def many_rule_totals(spark, sf_dir):
+    rules = benchmark_rules(spark, sf_dir)
+    return rule_totals(masked_by_automaton(table(spark, sf_dir, "documents").select("text"), "text", rules), rules)
+
+
 def sql_category() -> str:
     low = "lower(pattern)"
     has = lambda *parts: "(" + " AND ".join(f"contains({low}, {quoted(p)})" for p in parts) + ")"
@@ -117,17 +146,20 @@ def sql_category() -> str:
 
 
 CATALOG_RULES = [*DEFAULT_RULES, *MORE_RULES, r"([0-9a-f]{2}:){5}", r"https?://\S+", r"\bhost\d+\b", r"employee-\d+", r"api[_-]?key"]
-RULES_SQL = f"rules AS (SELECT rule_ix, pattern, {sql_category()} AS kind FROM (VALUES " + ", ".join(f"({i}, {quoted(r)})" for i, r in enumerate(CATALOG_RULES, 1)) + ") v(rule_ix, pattern))"
+RULES_SQL = f"""words AS (SELECT word, row_number() OVER (ORDER BY word) AS place FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS word FROM benchmark) WHERE regexp_matches(word, '^[a-z]{{4,}}$')),
+listed(rule_ix, pattern) AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, {quoted(r)})" for i, r in enumerate(CATALOG_RULES, 1)) + f""") UNION ALL SELECT {len(CATALOG_RULES)} + place, '\\b' || word || '\\b' FROM words),
+rules AS (SELECT rule_ix::INTEGER AS rule_ix, pattern, {sql_category()} AS kind FROM listed)"""
 
 
 @query(f"WITH {RULES_SQL} SELECT rule_ix, pattern, kind FROM rules")
 def rule_catalog(spark, sf_dir):
-    return rule_table(spark, CATALOG_RULES)
+    """A rule list with the words of the benchmark in it."""
+    return rule_table(spark, CATALOG_RULES + benchmark_rules(spark, sf_dir))
 
 
 @query(f"WITH {RULES_SQL} SELECT kind, string_agg(pattern, ' | ' ORDER BY rule_ix) AS keywords FROM rules GROUP BY kind")
 def rule_keywords(spark, sf_dir):
-    return keyword_table(spark, CATALOG_RULES)
+    return keyword_table(spark, CATALOG_RULES + benchmark_rules(spark, sf_dir))
 
 
 @query(f"WITH {sql_fold('documents', 'text', DEFAULT_RULES, 'doc_id')} SELECT unnest(range({N + 1}))::INTEGER AS place, unnest([{', '.join(f'sum(n{i})' for i in range(N + 1))}])::BIGINT AS n FROM f{N}")
@@ -141,7 +173,7 @@ def audit_lines(spark, sf_dir):
     return audit(unit_hits(document_lines(spark, sf_dir), DEFAULT_RULES))
 
 
-@query(AUDIT + f", {RULES_SQL.replace('rules AS', 'known AS')} SELECT file, match_type, occurrences, location, coalesce(CASE WHEN match_type = {quoted(NON_ASCII)} THEN match_type END, (SELECT string_agg(pattern, ' | ' ORDER BY rule_ix) FROM known WHERE kind = match_type AND rule_ix <= {N}), match_type) AS keywords FROM audit")
+@query(AUDIT + f", {RULES_SQL.replace('rules AS (SELECT rule_ix', 'known AS (SELECT rule_ix')} SELECT file, match_type, occurrences, location, coalesce(CASE WHEN match_type = {quoted(NON_ASCII)} THEN match_type END, (SELECT string_agg(pattern, ' | ' ORDER BY rule_ix) FROM known WHERE kind = match_type AND rule_ix <= {N}), match_type) AS keywords FROM audit")
 def audit_keywords(spark, sf_dir):
     return with_keywords(audit(unit_hits(document_lines(spark, sf_dir), DEFAULT_RULES)), DEFAULT_RULES)
 
@@ -233,6 +265,36 @@ def sanitize_files_audit(spark, sf_dir):
     return audit(hit_rows(sanitized(document_files(spark, sf_dir), DEFAULT_RULES)))
 
 
+def text_volumes(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of text files made of documents: a file for each source and thousand ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("-"), F.expr("doc_id div 1000").cast("string")).alias("volume"), F.coalesce("text", F.lit("")).alias("value"))
+    docs.repartition("volume").sortWithinPartitions("volume", "doc_id").select("volume", "value").write.partitionBy("volume").text(path := new_path(spark))
+    return path
+
+
+def volume(file):
+    return F.regexp_extract(file, "^volume=([^/]*)/", 1)
+
+
+LINE_SQL = quoted("[^\\r\\n]*(?:\\r\\n|\\r|\\n)|[^\\r\\n]+$")
+VOLUMES = f"""volumes AS (SELECT source || '-' || doc_id // 1000 AS file, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS text FROM documents GROUP BY ALL),
+units AS (SELECT file, unnest(regexp_extract_all(text, {LINE_SQL})) AS line, unnest(range(1, len(regexp_extract_all(text, {LINE_SQL})) + 1))::BIGINT AS ordinal FROM volumes)"""
+
+
+@query(f"WITH {VOLUMES} SELECT file, ordinal AS line_no, line FROM units")
+def range_lines(spark, sf_dir):
+    """Lines of files that are read by ranges of 4 kB."""
+    lines = checked_lines(scan_lines(spark, text_volumes(spark, sf_dir), 4096))
+    return lines.select(volume(F.col("file")).alias("file"), "line_no", "line")
+
+
+@query(AUDIT.replace(LINES, VOLUMES) + " SELECT * FROM audit")
+def range_audit(spark, sf_dir):
+    """The audit of the same files, read by ranges of 64 kB."""
+    units = line_units(scan_lines(spark, text_volumes(spark, sf_dir), 64 << 10))
+    return audit(unit_hits(units.withColumn("file", volume(F.col("file"))), DEFAULT_RULES))
+
+
 @query()
 def encoding_detect(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
