@@ -4,14 +4,16 @@ being unpacked, and an expression for columns."""
 from __future__ import annotations
 
 import re
-import tempfile
 from collections import Counter
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .masking import hits_by_kind, mask_text, masked
+from .ordering import running
 from .rules import FILENAME_FORMAT
 
 # Suffixes of archives, the compound ones in the order in which they are tried.
@@ -199,33 +201,92 @@ def with_masked_paths(df: DataFrame, path: str, rules: list[str]) -> DataFrame:
     return df.join(whole.select("__path", "masked_path", kinds.alias("path_hits")), given == F.col("__path")).drop("__path")
 
 
-def _checkpoints(spark: SparkSession) -> None:
-    """A local session that names no checkpoint folder gets one made here."""
-    context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined():
-        if context.master != "local" and not context.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="veilframe-"))
+def numbered_column(name, number):
+    """A name with _1, _2, ... before its suffix."""
+    end = suffix_column(name)
+    return F.concat(F.left(name, F.length(name) - F.length(end)), F.lit("_"), number.cast("string"), end)
+
+
+NUMBERED = r"^(.*)_([1-9][0-9]{0,17})$"
+
+
+def _with_parent(names: DataFrame) -> DataFrame:
+    """Adds parent and slot: the name whose slot-th numbered form this one is, or null; and depth, how many numbers it ends in."""
+    end = suffix_column(F.col("name"))
+    body = F.left("name", F.length("name") - F.length(end))
+    above = F.concat(F.regexp_extract(body, NUMBERED, 1), end)
+    names = names.withColumn("depth", F.length(F.regexp_replace(F.regexp_extract(body, r"((?:_[1-9][0-9]*)*)$", 1), "[^_]", "")))
+    names = names.withColumn("parent", F.when(body.rlike(NUMBERED), above)).withColumn("slot", F.when(body.rlike(NUMBERED), F.regexp_extract(body, NUMBERED, 2).cast("long")))
+    real = suffix_column(F.col("parent")) == end
+    return names.withColumns({"slot": F.when(real, F.col("slot")), "parent": F.when(real, F.col("parent"))})
+
+
+def _passed(blocks: DataFrame) -> DataFrame:
+    """folder, name, slot, limit -> the same with skipped: how many blocked numbers of its name were passed before each, null where
+    the number itself is given away. A number is passed if no more were passed before it than `limit`. One pass over sorted rows
+    that remembers one count."""
+
+    def walk(batches):
+        now, n = None, 0
+        for batch in batches:
+            out = []
+            for folder, name, limit in zip(batch.column("folder").to_pylist(), batch.column("name").to_pylist(), batch.column("limit").to_pylist()):
+                if (folder, name) != now:
+                    now, n = (folder, name), 0
+                out.append(n if n <= limit else None)
+                n += n <= limit
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "skipped"])
+
+    rows = blocks.select("folder", "name", "slot", "limit", "child")
+    return rows.repartition("folder", "name").sortWithinPartitions("folder", "name", "slot").mapInArrow(walk, "folder string, name string, slot long, limit long, child string, skipped long")
 
 
 def with_unique_names(df: DataFrame, folder: str, name: str, order: str) -> DataFrame:
-    """Adds unique_name: names of a folder that are taken already get _1, _2, ... in the given order, as unique_names() does it. A
-    repeated name begins with its place among its likes; where the result is taken by an earlier row it moves on, and those behind it
-    do too. Such rounds, on what is written to the session's checkpoint folder, end when no name is taken twice."""
-    alike = Window.partitionBy(folder, name).orderBy(order)
-    end = suffix_column(F.col(name))
-    numbered = F.concat(F.substring(F.col(name), F.lit(1), F.length(name) - F.length(end)), F.lit("_"), F.col("__number").cast("string"), end)
-    now = F.when(F.col("__number") == 0, F.col(name)).otherwise(numbered)
-    late = F.row_number().over(Window.partitionBy(folder, "__now").orderBy(order)) > 1
-    out = df.withColumn("__place", (F.row_number().over(alike) - 1).cast("long")).withColumn("__number", F.col("__place"))
-    # Only a name that looks like a numbered one can be in another's way.
-    looks = F.regexp_extract(name, r"^(.*)_[0-9]+(\.[^.]*)?$", 0) != ""
-    if not df.filter(looks).limit(1).isEmpty():
-        _checkpoints(df.sparkSession)
-        while True:
-            out = out.withColumn("__now", now).withColumn("__late", late).checkpoint()
-            if out.filter("__late").limit(1).isEmpty():
-                break
-            least = F.col("__number") + F.col("__late").cast("long") - F.col("__place")
-            out = out.withColumn("__number", F.col("__place") + F.max(least).over(alike)).drop("__now", "__late")
-    return out.withColumn("unique_name", now).drop("__place", "__number", "__now", "__late")
+    """Adds unique_name: names of a folder that are taken already get _1, _2, ... in the given order, as unique_names() does it. Names are
+    safe ones, which have no dot at their end.
+
+    The first row of a name takes it, the k-th one after it the k-th number that is free. A number is not free if a row has asked for just that
+    numbered name before. Such numbers are sorted by name and number; one pass tells which of them are passed, and a running sum
+    moves the rows behind them. A number that is given away first leaves the row that asks for it with a number of its own, so
+    names that end in more numbers come later: as many turns as numbers follow each other in a name, whatever their values. Ranks
+    and sums are those of running(), so that no name has to meet in one task; only blocked numbers of one name pass through one, in order."""
+    base = running(df, [folder, name], [order], name="__rank")
+    rows = base.select("__id", F.col(folder).cast("string").alias("folder"), F.col(name).alias("name"), F.col("__rank").alias("rank"), F.struct(order, name, "__rank").alias("time"))
+    names = _with_parent(rows.groupBy("folder", "name").agg(F.count("*").alias("rows"), F.min("time").alias("time")))
+    known = names.select(F.col("folder").alias("f"), F.col("name").alias("n"), F.col("rows").alias("of"), F.col("depth").alias("above"))
+    same = F.col("folder").eqNullSafe(F.col("f"))
+    # Numbered names whose plain form is there as well.
+    children = names.filter("parent is not null").join(known, same & (F.col("parent") == F.col("n"))).select("folder", F.col("parent").alias("name"), "slot", F.col("name").alias("child"), "time", "of", "above")
+    many = children.groupBy("folder", "name").agg(F.count("*").alias("blocked")).withColumnsRenamed({"folder": "f", "name": "n"})
+    reached = F.col("slot") <= F.col("of") + F.col("blocked")
+    children = written(children.join(many, same & (F.col("name") == F.col("n"))).filter(reached).drop("f", "n", "blocked"))
+    robbed = passed = None
+    depths = [r["above"] for r in children.select("above").distinct().orderBy("above").collect()]  # as many as numbers follow each other in a name
+    if depths:
+        families = children.select(F.col("folder").alias("f"), F.col("name").alias("n")).distinct()
+        asked = rows.join(families, same & (F.col("name") == F.col("n")), "left_semi").select("folder", "name", "time", F.lit(1).alias("one"), F.lit(None).cast("string").alias("child"))
+        events = asked.unionByName(children.select("folder", "name", "time", F.lit(0).alias("one"), "child"))
+        earlier = running(events, ["folder", "name"], ["time"], "one", "earlier").filter("child is not null").select(F.col("folder").alias("f"), F.col("child").alias("c"), "earlier")
+        blocks = written(children.join(earlier, same & (F.col("child") == F.col("c"))).select("folder", "name", "slot", "child", "above", "earlier"))
+        schema = "folder string, name string"
+        robbed = df.sparkSession.createDataFrame([], schema)
+        for depth in depths:
+            own = blocks.filter(F.col("above") == depth)
+            taken = robbed.select(F.col("folder").alias("f"), F.col("name").alias("n"), F.lit(0).alias("first"))
+            own = own.join(taken, same & (F.col("name") == F.col("n")), "left")
+            before = F.greatest(F.col("earlier") - F.coalesce("first", F.lit(1)), F.lit(0))
+            done = written(_passed(own.withColumn("limit", F.col("slot") - 1 - before)))
+            robbed = robbed.unionByName(done.filter("skipped is null").select("folder", F.col("child").alias("name")))
+            passed = done if passed is None else passed.unionByName(done)
+        taken = robbed.select(F.col("folder").alias("f"), F.col("name").alias("n"), F.lit(1).alias("more"))
+        rows = rows.join(taken, same & (F.col("name") == F.col("n")), "left").withColumn("j", F.col("rank") + F.coalesce("more", F.lit(0))).drop("f", "n", "more")
+        # The j-th number that is not passed lies behind all passed ones with fewer than j free numbers before them.
+        jumps = passed.filter("skipped is not null").select("folder", "name", (F.col("slot") - 1 - F.col("skipped")).alias("at"), F.lit(1).alias("turn"), F.lit(1).alias("one"), F.lit(None).cast("long").alias("row"))
+        inside = rows.join(families, same & (F.col("name") == F.col("n")), "left_semi").filter("j > 0").select("folder", "name", F.col("j").alias("at"), F.lit(0).alias("turn"), F.lit(0).alias("one"), F.col("__id").alias("row"))
+        moved = running(inside.unionByName(jumps), ["folder", "name"], ["at", "turn"], "one", "jumped").filter("row is not null").select(F.col("row").alias("__id"), "jumped")
+        numbers = rows.select("__id", "j").join(moved, "__id", "left").select("__id", (F.col("j") + F.coalesce("jumped", F.lit(0))).alias("__number"))
+        base = base.join(numbers, "__id")
+    else:
+        base = base.withColumn("__number", F.col("__rank"))
+    unique = F.when(F.col("__number") == 0, F.col(name)).otherwise(numbered_column(F.col(name), F.col("__number")))
+    return base.withColumn("unique_name", unique).select(*df.columns, "unique_name")

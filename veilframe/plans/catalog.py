@@ -13,10 +13,12 @@ from ..functions import paths, scalars
 from ..functions.automaton import masked_by_automaton, rule_totals
 from ..functions.encoding import with_encoding, with_lines
 from ..functions.masking import OUTSIDE, masked, with_ranges
-from ..functions.rules import DEFAULT_RULES, NON_ASCII, category, fixed_width, keyword_table, rule_table
+from ..functions.rules import DEFAULT_RULES, FILENAME_FORMAT, NON_ASCII, category, fixed_width, keyword_table, rule_table
 from ..operators import jobs
 from ..operators.audit import audit, file_totals, job_total, unit_hits, with_keywords
+from ..operators.boxes import fixed_cells, range_boxes
 from ..operators.sanitize import hit_rows, sanitized
+from ..operators.tree import name_hits, with_renamed_paths
 from ..sources.shared import new_path
 from ..sources.text_ranges import checked_lines, line_units, scan_lines
 
@@ -242,6 +244,32 @@ def masked_paths(spark, sf_dir):
     return done.select("page_id", "masked_path", F.aggregate(F.map_values("path_hits"), F.lit(0).cast("long"), lambda a, n: a + n).alias("n_masked"))
 
 
+TREE = f"""WITH p AS (SELECT DISTINCT url, list_filter(string_split(replace(url, '\\', '/'), '/'), lambda x: x NOT IN ('', '.', '..')) AS parts FROM pages),
+steps AS MATERIALIZED (SELECT url, place, len(parts) AS size, array_to_string(parts[:place], '/') AS node, array_to_string(parts[:place - 1], '/') AS folder, parts[place] AS part FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS place FROM p)),
+nodes AS (SELECT node, folder, part, max(place = size) AS is_file FROM steps GROUP BY ALL),
+c AS (SELECT *, regexp_replace(regexp_replace(part, {quoted(paths.BAD_CHARACTER)}, 'X', 'g'), '[ .]+$', '') AS clean, len(regexp_extract_all(part, {quoted(paths.BAD_CHARACTER)}))::BIGINT AS bad FROM nodes),
+n AS (SELECT * EXCLUDE (clean), CASE WHEN clean = '' THEN 'file' ELSE clean END AS name FROM c),
+e AS (SELECT *, CASE WHEN NOT is_file THEN 0 WHEN {SQL_ARCHIVE} IN ({_in(paths.ARCHIVES)}) THEN length({SQL_ARCHIVE}) ELSE length({SUFFIX.format('name')}) END AS w FROM n),
+stems AS (SELECT node, folder, is_file, bad, substr(name, 1, length(name) - w) AS stem, substr(name, length(name) - w + 1) AS tail FROM e),
+{sql_fold('stems', 'stem', PATH_RULES, 'node, folder, is_file, bad, tail')}"""
+
+
+@query(TREE + f""", m AS (SELECT *, t || tail AS name FROM f{len(PATH_RULES)}),
+k AS (SELECT node, name, {SUFFIX.format('name')} AS e, row_number() OVER (PARTITION BY folder, name ORDER BY CASE WHEN is_file THEN '0' ELSE '1' END || node) - 1 AS k FROM m),
+named AS (SELECT node, CASE WHEN k = 0 THEN name ELSE substr(name, 1, length(name) - length(e)) || '_' || k || e END AS name FROM k),
+whole AS (SELECT url, string_agg(name, '/' ORDER BY place) AS new_path FROM steps JOIN named USING (node) GROUP BY url)
+SELECT page_id, new_path FROM pages JOIN whole USING (url)""")
+def renamed_tree(spark, sf_dir):
+    """All URLs as one tree of files and folders."""
+    return with_renamed_paths(table(spark, sf_dir, "pages").select("page_id", "url"), "url", PATH_RULES).select("page_id", "new_path")
+
+
+@query(TREE + ", h AS (" + " UNION ALL ".join(f"SELECT node, is_file, {quoted(k)} AS kind, {n} AS n FROM f{len(PATH_RULES)} WHERE {n} > 0" for k, n in [(FILENAME_FORMAT, "bad"), (NON_ASCII, "n0"), *((category(r, i), f"n{i}") for i, r in enumerate(PATH_RULES, 1))]) + ") SELECT node AS file, CASE WHEN is_file THEN 'Filename: ' ELSE 'Directory: ' END || kind AS match_type, sum(n)::BIGINT AS n FROM h GROUP BY ALL")
+def tree_hits(spark, sf_dir):
+    """What was masked in the names of the tree."""
+    return name_hits(table(spark, sf_dir, "pages"), "url", PATH_RULES)
+
+
 @query("""WITH n AS (SELECT doc_id, source AS folder, lang || '.txt' AS name FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY doc_id) - 1 AS k FROM n)
 SELECT doc_id, folder, name, CASE WHEN k = 0 THEN name ELSE substr(name, 1, length(name) - 4) || '_' || k || '.txt' END AS unique_name FROM r""")
 def unique_file_names(spark, sf_dir):
@@ -436,6 +464,32 @@ def match_ranges(spark, sf_dir):
     return found.select("doc_id", F.explode("ranges").alias("r")).groupBy("doc_id", "r.kind").agg(F.count("*").alias("n"))
 
 
+def sql_ranges(rules: list[str]) -> str:
+    """CTE ranges: doc_id, kind, start, stop of every match, from the lengths of the pieces between matches."""
+    places = [f"SELECT doc_id, {quoted(NON_ASCII)} AS kind, text AS t FROM documents"] + [f"SELECT doc_id, {quoted(category(r, i))} AS kind, t FROM f{i - 1}" for i, r in enumerate(rules, 1)]
+    total = lambda x: f"coalesce(list_sum(list_transform({x}, lambda y: length(y))), 0)::BIGINT"
+    parts = "\nUNION ALL ".join(f"SELECT doc_id, kind, string_split_regex(t, {quoted(p)}) AS parts, regexp_extract_all(t, {quoted(p)}) AS found FROM ({sql}) WHERE regexp_matches(t, {quoted(p)})" for sql, p in zip(places, [OUTSIDE, *map(sql_rule, rules)]))
+    return f"""pieces AS ({parts}),
+starts AS (SELECT doc_id, kind, parts, found, unnest(range(1, len(found) + 1)) AS k FROM pieces),
+ranges AS MATERIALIZED (SELECT doc_id, kind, {total('parts[:k]')} + {total('found[:k - 1]')} AS start, {total('parts[:k]')} + {total('found[:k]')} AS stop FROM starts)"""
+
+
+BOX_RULES = [*MORE_RULES, r"\bthe\s+\w+"]
+
+
+@query(f"""WITH {sql_fold('documents', 'text', BOX_RULES, 'doc_id')}, {sql_ranges(BOX_RULES)},
+each AS (SELECT doc_id, string_split(text, chr(10)) AS rows FROM documents),
+numbered AS (SELECT doc_id, unnest(rows) AS row, unnest(range(len(rows))) AS line FROM each),
+lines AS MATERIALIZED (SELECT doc_id, line, coalesce(sum(length(row) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first, length(row) AS size FROM numbered)
+SELECT r.doc_id, kind, start::INTEGER AS start, stop::INTEGER AS "end", line::INTEGER AS line, (greatest(start, first) - first) * 6.0::DOUBLE AS x0, line * 12.0::DOUBLE AS y0, (least(stop, first + size) - first) * 6.0::DOUBLE AS x1, (line + 1) * 12.0::DOUBLE AS y1
+FROM ranges r JOIN lines l ON l.doc_id = r.doc_id AND r.start < l.first + l.size AND r.stop > l.first""")
+def match_boxes(spark, sf_dir):
+    """Boxes around matches in documents that are laid out in cells of 6 by 12."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = with_ranges(docs, "text", BOX_RULES).select("doc_id", F.explode("ranges").alias("r")).select("doc_id", "r.*")
+    return range_boxes(found, fixed_cells(docs, "doc_id", "text", 6.0, 12.0), "doc_id").select("doc_id", "kind", "start", "end", "line", *(F.col("box")[i].alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))))
+
+
 RUNS = "regexp_extract_all(text, '[^ ]* |[^ ]+$')"
 
 
