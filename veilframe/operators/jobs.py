@@ -24,13 +24,17 @@ UNFINISHED = ["Queued", "Processing"]
 DEFAULTS = {"filenames": "[]", "total_replacements": 0, "duration": 0.0, "created_by": ""}
 
 
-def latest(jobs: DataFrame, limit: int | str | None = 100, at: str = "created_at", key: str = "job_id") -> DataFrame:
-    """The latest jobs, 1 to 500 of them; 100 if the limit is missing, zero or no number."""
+def latest_limit(limit: int | str | None) -> int:
+    """1 to 500; 100 if it is missing, zero or no number."""
     try:
-        limit = int(limit or 100)
+        return max(1, min(int(limit or 100), 500))
     except ValueError:
-        limit = 100
-    return jobs.orderBy(F.col(at).desc(), key).limit(max(1, min(limit, 500)))
+        return 100
+
+
+def latest(jobs: DataFrame, limit: int | str | None = 100, at: str = "created_at", key: str = "job_id") -> DataFrame:
+    """The latest jobs, as many as latest_limit() says."""
+    return jobs.orderBy(F.col(at).desc(), key).limit(latest_limit(limit))
 
 
 def job(jobs: DataFrame, key: str, value: object) -> DataFrame:

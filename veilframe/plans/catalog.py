@@ -6,6 +6,8 @@ none); it is the same on these tables, where no version number stands before an
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from ..functions.automaton import masked_by_automaton, rule_totals
 from ..functions.encoding import with_encoding, with_lines
 from ..functions.masking import OUTSIDE, masked, with_ranges
 from ..functions.rules import DEFAULT_RULES, FILENAME_FORMAT, NON_ASCII, category, fixed_width, keyword_table, rule_table
-from ..operators import jobs
+from ..operators import history, jobs
 from ..operators.audit import audit, file_totals, job_total, unit_hits, with_keywords
 from ..operators.boxes import fixed_cells, range_boxes
 from ..operators.sanitize import hit_rows, sanitized
@@ -356,6 +358,36 @@ def retention(spark, sf_dir):
     return jobs.retained(table(spark, sf_dir, "events").select("event_id", "ts"), F.lit(NOW).cast("timestamp_ntz" if dict(table(spark, sf_dir, "events").dtypes)["ts"] == "timestamp_ntz" else "timestamp"), 10, "ts")
 
 
+def event_history(spark: SparkSession, sf_dir: str) -> str:
+    """events as a history table in the warehouse; its name."""
+    events = table(spark, sf_dir, "events")
+    rows = events.select(F.col("event_id").cast("string").alias("job_id"), F.col("event_type").alias("status"), F.col("ts").cast("timestamp_ntz").alias("created_at"), "user_id")
+    history.create(rows, name := f"veilframe_history_{uuid.uuid4().hex}")
+    return name
+
+
+@query("SELECT event_id::VARCHAR AS job_id, event_type AS status, user_id FROM events ORDER BY ts DESC, event_id::VARCHAR LIMIT 300")
+def history_latest(spark, sf_dir):
+    """The latest jobs from the last partitions of the table."""
+    return history.latest(spark.table(event_history(spark, sf_dir)), 300).select("job_id", "status", "user_id")
+
+
+@query("SELECT e.event_id::VARCHAR AS job_id, e.event_type AS status, f.user_id FROM events e JOIN events f USING (event_id) WHERE e.user_id % 3 = 0")
+def history_join(spark, sf_dir):
+    """A join of two bucketed tables by job: no exchange."""
+    a, b = (spark.table(event_history(spark, sf_dir)) for _ in range(2))
+    return a.filter("user_id % 3 = 0").select("job_id", "status").join(b.select("job_id", "user_id"), "job_id")
+
+
+@query(f"SELECT event_id::VARCHAR AS job_id, event_type AS status, ts AS created_at FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 10 DAY - INTERVAL 5 HOUR OR (event_type = 'signup' AND user_id % 10 = 0)")
+def history_purged(spark, sf_dir):
+    """What a purge leaves of the table: some old jobs are in progress."""
+    name = event_history(spark, sf_dir)
+    active = table(spark, sf_dir, "events").filter("event_type = 'signup' and user_id % 10 = 0").select(F.col("event_id").cast("string").alias("job_id"))
+    history.purge(spark, name, F.lit(NOW).cast("timestamp_ntz") - F.expr("INTERVAL '5' HOUR"), 10, active)
+    return spark.table(name).select("job_id", "status", "created_at")
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus IN ('O', 'P') THEN 'Failed' ELSE o_orderstatus END AS o_orderstatus FROM orders")
 def restart_fixup(spark, sf_dir):
     return jobs.after_restart(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), F.current_timestamp(), "o_orderstatus", ["O", "P"])
