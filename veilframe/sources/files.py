@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-import io
-import os
-import zipfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import download_name
 from .office import write_xlsx
 
 BINARY_FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -38,23 +33,3 @@ def report_workbook(job_id: str, totals: DataFrame, audit_rows: DataFrame, gener
     rows = [[r["file"], r["match_type"], r["occurrences"], r["location"], r["keywords"]] for r in audit_rows.collect()]
     summary: list[list[object]] = [["Data Sanitization Report"], ["Job ID", job_id], ["Status", status], ["Generated", generated], ["Total Replacements", sum(f[1] for f in files)], ["Duration (seconds)", round(duration, 3)], *([["Error", error]] if error else []), [], ["File Name", "Replacements", "Duration (seconds)"], *files]
     return write_xlsx([("Summary", summary), ("Audit", [["File Name", "Match Type", "Occurrences", "Location", "Keywords"], *(rows or [["", "No sensitive matches detected", 0, "", ""]])])])
-
-
-def write_direct(row, folder: str) -> str:
-    """One masked file under its download name."""
-    os.makedirs(folder, exist_ok=True)
-    path = os.path.join(folder, download_name(os.path.basename(row["safe_path"])))
-    with open(path + ".new", "wb") as file:
-        file.write(row["content"])
-    os.replace(path + ".new", path)
-    return path
-
-
-def package(rows, report: bytes, report_name: str, level: int = 1) -> bytes:
-    """Masked files and their report in one archive; rows are taken one after the other."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=max(0, min(level, 9))) as target:
-        for row in rows:
-            target.writestr(f"Sanitized_Files/{row['safe_path']}", row["content"])
-        target.writestr(report_name, report)
-    return out.getvalue()
