@@ -23,6 +23,8 @@ from ..operators.sanitize import hit_rows, sanitized
 from ..operators.tree import name_hits, with_renamed_paths
 from ..sources.shared import new_path
 from ..sources.text_ranges import checked_lines, line_units, scan_lines
+from ..streaming import job_states
+from ..streaming.upserts import History
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -433,6 +435,47 @@ def user_changes(spark, sf_dir):
     return changed.select("username", "role", "enabled")
 
 
+def sql_state_fold() -> str:
+    """A step of the states as SQL: s is the state so far, x the request (both as status, since and counts)."""
+    late = f"(s.status IN ('Queued', 'Processing') AND x.since >= s.since + {job_states.TIMEOUT})"
+    now = f"(CASE WHEN {late} THEN 'Failed' ELSE s.status END)"
+    ok = f"(CASE x.status WHEN 'Queued' THEN {now} IN ('new', 'Done', 'Failed') WHEN 'Processing' THEN {now} = 'Queued' WHEN 'Done' THEN {now} = 'Processing' WHEN 'Failed' THEN {now} IN ('Queued', 'Processing') ELSE false END)"
+    return f"struct_pack(status := CASE WHEN {ok} THEN x.status ELSE {now} END, since := CASE WHEN {ok} THEN x.since WHEN {late} THEN s.since + {job_states.TIMEOUT} ELSE s.since END, accepted := s.accepted + {ok}::BIGINT, refused := s.refused + (NOT {ok})::BIGINT, timeouts := s.timeouts + {late}::BIGINT)"
+
+
+WANTED = "CASE event_type WHEN 'signup' THEN 'Queued' WHEN 'view' THEN 'Processing' WHEN 'purchase' THEN 'Done' WHEN 'error' THEN 'Failed' ELSE event_type END"
+
+
+@query(f"""WITH g AS (SELECT user_id::VARCHAR AS job_id, list(struct_pack(status := {WANTED}, since := epoch_us(ts), accepted := 0::BIGINT, refused := 0::BIGINT, timeouts := 0::BIGINT) ORDER BY ts, event_id) AS l FROM events GROUP BY user_id),
+f AS (SELECT job_id, list_reduce(l, lambda s, x: {sql_state_fold()}, struct_pack(status := 'new', since := 0::BIGINT, accepted := 0::BIGINT, refused := 0::BIGINT, timeouts := 0::BIGINT)) AS s FROM g),
+t AS (SELECT *, s.status IN ('Queued', 'Processing') AND s.since + {job_states.TIMEOUT} <= (SELECT max(epoch_us(ts)) FROM events) AS late FROM f)
+SELECT job_id, CASE WHEN late THEN 'Failed' ELSE nullif(s.status, 'new') END AS status, s.accepted AS accepted, s.refused AS refused, s.timeouts + late::BIGINT AS timeouts FROM t""")
+def job_state_stream(spark, sf_dir):
+    """States of jobs from events that arrive in two parts, the stream started anew between them."""
+    events = table(spark, sf_dir, "events")
+    rows = events.select(F.col("user_id").cast("string").alias("job_id"), F.col("ts").cast("timestamp").alias("at"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), F.col("event_id").cast("long").alias("turn"), F.expr(WANTED).alias("wanted"))
+    middle = rows.agg(F.avg("micros").cast("long")).first()[0] or 0
+    folder, output, checkpoint = (new_path(spark) for _ in range(3))
+    for part in (F.col("micros") < middle, F.col("micros") >= middle):
+        rows.filter(part).write.mode("append").parquet(folder)
+        job_states.follow(spark, folder, output, checkpoint).awaitTermination()
+    return job_states.last_states(spark.read.schema(job_states.CHANGES).parquet(output))
+
+
+@query("""SELECT o_orderkey::VARCHAR AS job_id, CASE WHEN o_orderkey % 11 = 0 THEN 'Done' WHEN o_orderkey % 7 = 0 THEN 'Queued' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 7 = 0 THEN 0 ELSE o_custkey END::BIGINT AS total_replacements FROM orders""")
+def upsert_stream(spark, sf_dir):
+    """orders and two sets of changes as a stream of upserts, one batch each."""
+    orders = table(spark, sf_dir, "orders").withColumn("job_id", F.col("o_orderkey").cast("string"))
+    whole = orders.select("job_id", F.col("o_orderstatus").alias("status"), F.col("o_custkey").cast("long").alias("total_replacements"))
+    changes = [orders.filter(f"o_orderkey % {k} = 0").select("job_id", F.lit(status).alias("status"), F.lit(0).cast("long").alias("total_replacements")) for k, status in ((7, "Queued"), (11, "Done"))]
+    folder, checkpoint, kept = (new_path(spark) for _ in range(3))
+    history = History(spark, kept, whole.schema)
+    for batch in (whole, *changes):
+        batch.write.mode("append").parquet(folder)
+        history.follow(spark.readStream.schema(whole.schema).parquet(folder), checkpoint).awaitTermination()
+    return history.table()
+
+
 @query("SELECT o_orderkey, CASE WHEN o_custkey = 370 THEN 'Done' ELSE o_orderstatus END AS status FROM orders")
 def update_jobs(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status"))
