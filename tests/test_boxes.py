@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from veilframe.operators.boxes import binned, fixed_cells, range_boxes
+from veilframe.operators.boxes import binned, fixed_cells, fixed_rows, range_boxes
 
 
 def plain(ranges, characters):
@@ -43,8 +43,8 @@ def test_fixed_cells(spark):
             else:
                 characters.append((k, pos, line, [column * 2.0, line * 3.0, column * 2.0 + 2.0, line * 3.0 + 3.0]))
                 column += 1
-    cells = fixed_cells(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "k", "t", 2.0, 3.0)
-    got = sorted((r["k"], c["pos"], c["line"], list(c["box"])) for r in cells.select("k", F.explode("cells").alias("c")).collect() for c in [r["c"]])
+    rows = fixed_rows(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "k", "t")
+    got = sorted((r["k"], c["pos"], c["line"], list(c["box"])) for r in rows.select("k", F.explode(fixed_cells(2.0, 3.0)).alias("c")).collect() for c in [r["c"]])
     assert got == sorted(characters)
     ranges = [(k, a, a + n, "x") for k in range(7) for a in (0, 2, 60, 127) for n in (1, 3, 70)]
-    assert boxes(range_boxes(spark.createDataFrame(ranges, "k int, start int, end int, kind string"), cells, "k")) == plain(ranges, characters)
+    assert boxes(range_boxes(spark.createDataFrame(ranges, "k int, start int, end int, kind string"), rows, "k", fixed_cells(2.0, 3.0))) == plain(ranges, characters)

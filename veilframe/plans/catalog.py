@@ -18,7 +18,7 @@ from ..functions.masking import OUTSIDE, masked, with_ranges
 from ..functions.rules import DEFAULT_RULES, FILENAME_FORMAT, NON_ASCII, category, fixed_width, keyword_table, rule_table
 from ..operators import history, jobs
 from ..operators.audit import audit, file_totals, job_total, unit_hits, with_keywords
-from ..operators.boxes import fixed_cells, range_boxes
+from ..operators.boxes import fixed_cells, fixed_rows, range_boxes
 from ..operators.sanitize import hit_rows, sanitized
 from ..operators.tree import name_hits, with_renamed_paths
 from ..sources.shared import new_path
@@ -315,15 +315,15 @@ units AS (SELECT file, unnest(regexp_extract_all(text, {LINE_SQL})) AS line, unn
 
 @query(f"WITH {VOLUMES} SELECT file, ordinal AS line_no, line FROM units")
 def range_lines(spark, sf_dir):
-    """Lines of files that are read by ranges of 4 kB."""
-    lines = checked_lines(scan_lines(spark, text_volumes(spark, sf_dir), 4096))
+    """Lines of files that are read by ranges of 64 kB."""
+    lines = checked_lines(scan_lines(spark, text_volumes(spark, sf_dir), 64 << 10))
     return lines.select(volume(F.col("file")).alias("file"), "line_no", "line")
 
 
 @query(AUDIT.replace(LINES, VOLUMES) + " SELECT * FROM audit")
 def range_audit(spark, sf_dir):
-    """The audit of the same files, read by ranges of 64 kB."""
-    units = line_units(scan_lines(spark, text_volumes(spark, sf_dir), 64 << 10))
+    """The audit of the same files, read by ranges of 256 kB."""
+    units = line_units(scan_lines(spark, text_volumes(spark, sf_dir), 256 << 10))
     return audit(unit_hits(units.withColumn("file", volume(F.col("file"))), DEFAULT_RULES))
 
 
@@ -562,7 +562,7 @@ def match_boxes(spark, sf_dir):
     """Boxes around matches in documents that are laid out in cells of 6 by 12."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = with_ranges(docs, "text", BOX_RULES).select("doc_id", F.explode("ranges").alias("r")).select("doc_id", "r.*")
-    return range_boxes(found, fixed_cells(docs, "doc_id", "text", 6.0, 12.0), "doc_id").select("doc_id", "kind", "start", "end", "line", *(F.col("box")[i].alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))))
+    return range_boxes(found, fixed_rows(docs, "doc_id", "text"), "doc_id", fixed_cells(6.0, 12.0)).select("doc_id", "kind", "start", "end", "line", *(F.col("box")[i].alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))))
 
 
 RUNS = "regexp_extract_all(text, '[^ ]* |[^ ]+$')"
