@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilframe.operators import jobs
+from veilframe.streaming.drop_folder import mask_dropped
 from veilframe.streaming.job_states import REQUESTS, TIMEOUT, follow, followed, last_states
 from veilframe.streaming.upserts import History
 
@@ -120,3 +121,18 @@ def test_columns_that_changes_lack_have_defaults(spark, tmp_path):
     history.upsert(spark.createDataFrame([("a", "Queued", 2)], "job_id string, status string, turn long"), 1)
     assert [tuple(r) for r in history.table().collect()] == [("a", "Queued", jobs.DEFAULTS["total_replacements"], 2)]
     assert history.table().filter(F.col("status") == "Done").count() == 0
+
+
+def test_rules_are_read_anew_for_every_batch(spark, tmp_path):
+    rules = tmp_path / "rules.txt"
+
+    def drop(name, text):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text("andy and bob")
+        rules.write_text(text)
+        mask_dropped(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "checkpoint"), str(rules)).awaitTermination()
+
+    drop("1.txt", "andy")
+    drop("2.txt", "bob # andy no more")
+    got = {r["path"]: (bytes(r["content"]), r["batch"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"1.txt": (b"XXXX and bob", 0), "2.txt": (b"andy and XXX", 1)}

@@ -86,3 +86,16 @@ def test_audit_of_ranges_is_that_of_whole_files(spark, tmp_path):
             want.add((f"{k}.txt", kind, sum(h[2] for h in own), first[3]))
     got = audit(unit_hits(line_units(scan_lines(spark, str(tmp_path), 2048)), DEFAULT_RULES)).collect()
     assert {(r["file"], r["match_type"], r["occurrences"], r["location"]) for r in got} == want
+
+
+def test_a_sample_that_cuts_a_character(spark, tmp_path):
+    from veilframe.functions.encoding import SAMPLE, whole_characters
+
+    content = b"a" * (SAMPLE - 1) + "é\n\u0081 end".encode()
+    (tmp_path / "a.txt").write_bytes(content)
+    assert detect(content) == ("cp1252", b"") and detect(content, True) == ("utf-8", b"")
+    assert any(r["error"] for r in scan_lines(spark, str(tmp_path)).collect())
+    assert [r["line"] for r in scan_lines(spark, str(tmp_path), whole_characters=True).orderBy("line_no").collect()] == content.decode().splitlines(keepends=True)[:1] + ["\u0081 end"]
+    for text in ("aé", "a日", "a𝄞", "a"):
+        raw = text.encode()
+        assert whole_characters(raw) == raw and all(whole_characters(raw[: 1 + k]) == b"a" for k in range(1, len(raw) - 1))

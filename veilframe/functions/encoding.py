@@ -38,10 +38,23 @@ def _reads(sample: bytes, codec: str, share: float) -> bool:
         return False
 
 
-def detect(content: bytes) -> tuple[str, bytes] | None:
+def whole_characters(sample: bytes) -> bytes:
+    """Without a UTF-8 character at its end that is cut off."""
+    for k in range(1, min(3, len(sample)) + 1):
+        lead = sample[-k]
+        if lead >= 0xC0:
+            return sample[:-k] if k < (2 if lead < 0xE0 else 3 if lead < 0xF0 else 4) else sample
+        if lead < 0x80:
+            break
+    return sample
+
+
+def detect(content: bytes, whole: bool = False) -> tuple[str, bytes] | None:
     """(codec, byte order mark) of text, None if it does not look like text. A character that the end of the sample cuts makes
-    UTF-8 fail, and the content may then count as cp1252."""
+    UTF-8 fail, and the content may then count as cp1252, unless only whole characters of the sample are asked for."""
     sample = content[:SAMPLE]
+    if whole and len(sample) == SAMPLE:
+        sample = whole_characters(sample)
     for codec, mark in MARKS:
         if sample.startswith(mark):
             return codec, mark

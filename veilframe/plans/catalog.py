@@ -316,14 +316,14 @@ units AS (SELECT file, unnest(regexp_extract_all(text, {LINE_SQL})) AS line, unn
 @query(f"WITH {VOLUMES} SELECT file, ordinal AS line_no, line FROM units")
 def range_lines(spark, sf_dir):
     """Lines of files that are read by ranges of 64 kB."""
-    lines = checked_lines(scan_lines(spark, text_volumes(spark, sf_dir), 64 << 10))
+    lines = checked_lines(scan_lines(spark, text_volumes(spark, sf_dir), 64 << 10, whole_characters=True))
     return lines.select(volume(F.col("file")).alias("file"), "line_no", "line")
 
 
 @query(AUDIT.replace(LINES, VOLUMES) + " SELECT * FROM audit")
 def range_audit(spark, sf_dir):
     """The audit of the same files, read by ranges of 256 kB."""
-    units = line_units(scan_lines(spark, text_volumes(spark, sf_dir), 256 << 10))
+    units = line_units(scan_lines(spark, text_volumes(spark, sf_dir), 256 << 10, whole_characters=True))
     return audit(unit_hits(units.withColumn("file", volume(F.col("file"))), DEFAULT_RULES))
 
 

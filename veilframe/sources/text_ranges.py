@@ -57,6 +57,7 @@ class Reader(DataSourceReader):
         self.path = options["path"].rstrip("/")
         self.range_bytes = max(2, int(options.get("rangebytes", RANGE_BYTES)))
         self.counting = options.get("counting", "false").lower() == "true"
+        self.whole = options.get("wholecharacters", "false").lower() == "true"
 
     def partitions(self) -> list[Range]:
         """The ranges of all files below the path: names and lengths, and the encoding told from a sample of each file."""
@@ -69,7 +70,7 @@ class Reader(DataSourceReader):
 
         def told(file: fs.FileInfo) -> list[Range]:
             with system.open_input_file(file.path) as stream:
-                kind = detect(stream.read(SAMPLE))
+                kind = detect(stream.read(SAMPLE), self.whole)
             codec, mark = (kind[0], len(kind[1])) if kind else (None, 0)
             step = self.range_bytes - self.range_bytes % 2
             cuts = [0, *range(mark + step, file.size, step), file.size] if codec else [0, file.size]
@@ -179,7 +180,8 @@ def counted(part: Range, stream) -> Iterator[pa.RecordBatch]:
 
 
 class TextRanges(DataSource):
-    """Format text_ranges. Options: path, rangeBytes, counting (a row with the number of lines for each range, in place of the lines)."""
+    """Format text_ranges. Options: path, rangeBytes, counting (a row with the number of lines for each range, in place of the lines),
+    wholeCharacters (a character that the end of the sample cuts doesn't speak against UTF-8)."""
 
     @classmethod
     def name(cls) -> str:
@@ -192,10 +194,10 @@ class TextRanges(DataSource):
         return Reader({k.lower(): v for k, v in self.options.items()})
 
 
-def scan_lines(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def scan_lines(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, whole_characters: bool = False) -> DataFrame:
     """file (relative to the path), line_no (from 1), line (with its end), error."""
     spark.dataSource.register(TextRanges)
-    read = spark.read.format("text_ranges").option("path", path).option("rangeBytes", range_bytes)
+    read = spark.read.format("text_ranges").option("path", path).option("rangeBytes", range_bytes).option("wholeCharacters", str(whole_characters))
     before = F.sum("lines").over(Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     # A row for each range; Spark broadcasts the written table where its size allows.
     firsts = written(read.option("counting", "true").load().select("file", "range", F.coalesce(before, F.lit(0)).alias("before")))
