@@ -6,6 +6,7 @@ import html as html_module
 import os
 import random
 import struct
+import time
 import zlib
 
 import duckdb
@@ -138,6 +139,26 @@ def test_site_tree_removes_what_a_host_repeats(spark, tmp_path):
     assert {r["text"] for r in html_text.extract(everything).collect()} == {"all the same"}
 
 
+def test_classes_that_number_pages_are_no_part_of_the_template(spark):
+    rng = random.Random(9)
+    own = [words(rng, 30) for _ in range(60)]
+    pages = {
+        "http://plain.org/": "<body><div class=top>Same line everywhere</div><div class=c2><p>{}</p></div></body>",
+        "http://blog.org/": "<body class='post postid-{n} css-{n}x'><div class='top item-{n}'>Same line everywhere</div><div class='c2 build-{n}_x'><p>{}</p></div></body>",
+    }
+    rows = [(k * 1000 + i, url, page.format(own[i], n=i)) for k, (url, page) in enumerate(pages.items()) for i in range(60)]
+    found = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {k * 1000 + i: " ".join(own[i].split()) for k in range(2) for i in range(60)}
+    assert html_text.template_classes("post postid-17 css-1a2b_x  c2 p1234 ") == ["post", "postid-#", "css-#_x", "c2", "p#"]
+
+
+def test_end_tags_that_close_nothing_take_no_time():
+    begun = time.perf_counter()
+    assert html_text.main_text("<div>" * 20_000 + "</x>" * 20_000 + "end") == "end"
+    assert html_text.main_text("<x>" + "<div>" * 20_000 + "</x>" + "</div>" * 20_000 + "end") == "end"
+    assert time.perf_counter() - begun < 10  # by a scan of the stack for each it was minutes
+
+
 @pytest.mark.parametrize("most", [50_000, 0])
 def test_importance_decides_inside_and_outside_of_articles(spark, monkeypatch, most):
     monkeypatch.setattr(html_text, "BROADCAST_ROWS", most)  # beyond it, pages are joined with the low elements

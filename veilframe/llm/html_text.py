@@ -89,6 +89,14 @@ def attributes(raw: str) -> dict[str, str]:
     return found
 
 
+NUMBERING = re.compile(r"(?<=[-_])[^-_]*[0-9][^-_]*|[0-9]{3,}")
+
+
+def template_classes(given: str) -> list[str]:
+    """An element's classes without what numbers pages, posts and builds: parts with digits behind a dash, and three digits or more."""
+    return [NUMBERING.sub("#", name) for name in given.split()]
+
+
 CLEAR, COMPOUND, NAMED, CHROME = range(4)
 
 
@@ -121,10 +129,13 @@ def walk(page: str, on_text, on_close, on_block, low: frozenset[int] = frozenset
     there is an article element (or main) outside of what is dropped and of all branches, and the branches."""
     stack = [Element("", ROOT, ROOT, 0, False, False, False, None)]
     seen_article, branches = False, []
+    opened = {"": 1}  # open elements by tag: an end tag of none is passed over
 
     def close(to: int) -> None:
         while len(stack) > to:
-            on_close(stack.pop())
+            element = stack.pop()
+            opened[element.tag] -= 1
+            on_close(element)
 
     at, end = 0, len(page)
     while at < end:
@@ -141,10 +152,11 @@ def walk(page: str, on_text, on_close, on_block, low: frozenset[int] = frozenset
         if found[1] or found[4]:
             if tag not in INLINE:
                 on_block()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
+            if opened.get(tag):
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                close(k)
             continue
         if tag == "br":
             on_text(stack[-1], "\n")
@@ -162,7 +174,7 @@ def walk(page: str, on_text, on_close, on_block, low: frozenset[int] = frozenset
                     break
         top = stack[-1]
         given = attributes(raw) if raw.strip() else {}
-        kind = tag + "." + given["class"] if given.get("class") else tag
+        kind = tag + "." + " ".join(own) if (own := template_classes(given.get("class", ""))) else tag
         path = ((top.path * 1_000_003) ^ known_mark(kind)) & 0x7FFFFFFFFFFFFFFF
         kind = CHROME if top.dropped else is_chrome(tag, given, top.article)
         dropped, branch = kind == CHROME, top.branch
@@ -186,6 +198,7 @@ def walk(page: str, on_text, on_close, on_block, low: frozenset[int] = frozenset
             on_close(inner)
         else:
             stack.append(inner)
+            opened[tag] = opened.get(tag, 0) + 1
     on_block()
     close(0)
     return seen_article, branches
