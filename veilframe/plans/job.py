@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import download_name, is_single_file, with_unique_names
 from ..functions.rules import DEFAULT_RULES, active_rules, read_rules
-from ..operators.audit import audit, file_totals, report
+from ..operators.audit import audit, report
 from ..operators.sanitize import checked, hit_rows, sanitized
 from ..sources.file_sink import write_files
 from ..sources.files import report_workbook, scan
