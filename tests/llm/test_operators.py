@@ -775,3 +775,8 @@ def test_shared_folder_is_the_sessions(spark):
     from veilframe.llm.common import shared_dir
 
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/") and os.path.isdir(shared_dir(spark).removeprefix("file:"))
+
+
+def test_links_inside_of_batches_are_spread():
+    seen = collections.Counter(ngram_join.local_bucket(part, number, 16) for part in range(100) for number in range(5))
+    assert set(seen) == set(range(-16, 0)) and max(seen.values()) < 3 * min(seen.values())
