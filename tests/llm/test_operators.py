@@ -780,3 +780,14 @@ def test_shared_folder_is_the_sessions(spark):
 def test_links_inside_of_batches_are_spread():
     seen = collections.Counter(ngram_join.local_bucket(part, number, 16) for part in range(100) for number in range(5))
     assert set(seen) == set(range(-16, 0)) and max(seen.values()) < 3 * min(seen.values())
+
+
+def test_a_vocabulary_with_merges_out_of_order_is_refused():
+    import json
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as file:
+        spec = json.loads(file.read())
+    assert packing.encoder(json.dumps(spec).encode())
+    spec["model"]["merges"][5:7] = reversed(spec["model"]["merges"][5:7])
+    with pytest.raises(ValueError, match="order of its ids"):
+        packing.encoder(json.dumps(spec).encode())

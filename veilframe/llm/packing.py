@@ -80,11 +80,15 @@ _encoders: dict[str, tiktoken.Encoding] = {}
 
 def encoder(raw: bytes) -> tiktoken.Encoding:
     """The vocabulary of a byte-level tokenizers file. Ids are those of the tokenizers library; the merges are found by
-    tiktoken, which is several times as fast. Special strings in a text are special ids, as by that library's default."""
+    tiktoken, which is several times as fast. It takes ids for ranks, so a vocabulary whose merges don't come in the order of its ids is
+    refused. Special strings in a text are special ids, as by that library's default."""
     key = hashlib.sha256(raw).hexdigest()
     if key not in _encoders:
         spec, letters = json.loads(raw), byte_alphabet()
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        made = [spec["model"]["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+        if any(b <= a for a, b in zip(made, made[1:])):
+            raise ValueError("the merges of this vocabulary are not in the order of its ids")
         ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         _encoders[key] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return _encoders[key]
