@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+PARTS = 50_000  # of a text, in one batch
 
 
 def clamp(value, low: int, high: int):
@@ -59,11 +65,24 @@ def before_days(now, days: int):
 
 
 def spread(df, key: str, masked: str, parts: str):
-    """key, place, part: a masked text cut into pieces as long as the given parts. One row for each key is expected."""
-    each = df.select(key, masked, F.posexplode(parts).alias("place", "own"))
-    before = Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("own")).over(before), F.lit(0)).cast("int")
-    return each.withColumn("start", start).select(key, "place", F.substring(F.col(masked), F.col("start") + 1, F.length("own")).alias("part"))
+    """key, place, part: a masked text cut into pieces as long as the given parts. Every row is cut where it is: its text is neither
+    copied for each part nor shuffled."""
+    given = df.select(key, masked, F.transform(parts, F.length).alias("sizes"))
+    schema = T.StructType([given.schema[key], T.StructField("place", T.IntegerType()), T.StructField("part", T.StringType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text, sizes = batch.column(masked)[i].as_py(), np.asarray(batch.column("sizes")[i].values if batch.column("sizes")[i].is_valid else [], dtype=float)
+                known = np.isfinite(sizes)
+                ends = np.cumsum(np.where(known, sizes, 0)).astype(np.int64)
+                for first in range(0, len(sizes), PARTS):
+                    rows = range(first, min(first + PARTS, len(sizes)))
+                    pieces = [None if text is None or not known[k] else text[ends[k] - int(sizes[k]) : ends[k]] for k in rows]
+                    own = batch.column(key).take(pa.array([i] * len(rows)))
+                    yield pa.RecordBatch.from_arrays([own, pa.array(rows, pa.int32()), pa.array(pieces, pa.string())], names=[key, "place", "part"])
+
+    return given.mapInArrow(cut, schema)
 
 
 def union_box(boxes):
