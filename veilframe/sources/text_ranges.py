@@ -26,6 +26,7 @@ from ..functions.encoding import LINE, SAMPLE, detect
 from .shared import written
 
 RANGE_BYTES = 64 << 20
+TASK_BYTES = 16 << 20  # small ranges are read by one task up to so many bytes
 BLOCK = 1 << 20
 BATCH_LINES, BATCH_BYTES = 10_000, 4 << 20
 LINES = "file string, range int, place long, line string, error string"
@@ -46,6 +47,26 @@ class Range(InputPartition):
     mark: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Several ranges, one after the other."""
+
+    ranges: list[Range]
+
+
+def together(ranges: list[Range], size: int) -> Iterator[Ranges]:
+    """Ranges in order, as many in a partition as have so many bytes; one that is larger stays alone."""
+    held, total = [], 0
+    for each in ranges:
+        if held and total + each.stop - each.start > size:
+            yield Ranges(held)
+            held, total = [], 0
+        held.append(each)
+        total += each.stop - each.start
+    if held:
+        yield Ranges(held)
+
+
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     if re.match(r"file:/|/", path):
         return fs.LocalFileSystem(), re.sub(r"^(file:)?/+", "/", path)
@@ -58,9 +79,11 @@ class Reader(DataSourceReader):
         self.range_bytes = max(2, int(options.get("rangebytes", RANGE_BYTES)))
         self.counting = options.get("counting", "false").lower() == "true"
         self.whole = options.get("wholecharacters", "false").lower() == "true"
+        self.task_bytes = int(options.get("taskbytes", 0))
 
-    def partitions(self) -> list[Range]:
-        """The ranges of all files below the path: names and lengths, and the encoding told from a sample of each file."""
+    def partitions(self) -> list[Range] | list[Ranges]:
+        """The ranges of all files below the path: names and lengths, and the encoding told from a sample of each file. A partition is one of
+        them, or as many as have taskBytes, if that is given."""
         system, root = opened(self.path)
         at = system.get_file_info(root)
         found = [at] if at.is_file else system.get_file_info(fs.FileSelector(root, recursive=True))
@@ -77,11 +100,14 @@ class Reader(DataSourceReader):
             return [Range(file.path, name(file), k, a, b, file.size, codec, mark) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
 
         with ThreadPoolExecutor(16) as pool:
-            return [r for own in pool.map(told, files) for r in own]
+            ranges = [r for own in pool.map(told, files) for r in own]
+        return list(together(ranges, self.task_bytes)) if self.task_bytes else ranges
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        with opened(self.path)[0].open_input_file(partition.path) as stream:
-            yield from (counted if self.counting else decoded)(partition, stream)
+    def read(self, partition: Range | Ranges) -> Iterator[pa.RecordBatch]:
+        system = opened(self.path)[0]
+        for part in partition.ranges if isinstance(partition, Ranges) else [partition]:
+            with system.open_input_file(part.path) as stream:
+                yield from (counted if self.counting else decoded)(part, stream)
 
 
 def raw_lines(part: Range, stream) -> Iterator[bytes]:
@@ -92,10 +118,11 @@ def raw_lines(part: Range, stream) -> Iterator[bytes]:
     at = part.start - unit if part.number else part.mark
     stream.seek(at)
     held, begun, done = b"", at, False  # begun: where in the file held begins
+    block = min(BLOCK, max(4096, (part.stop - at) // 2 * 2 + 4096))  # of a small range no more than it and the rest of its last line
     skipping = part.number > 0
     while True:
-        more = stream.read(BLOCK) if not done else b""
-        done = len(more) < BLOCK
+        more = stream.read(block) if not done else b""
+        done, block = len(more) < block, min(BLOCK, 2 * block)
         held += more
         place, found = 0, {feed: -1, back: -1}  # the next of either, looked for once
         if not skipping and (end := _last(held, feed, part.stop - begun, unit)):
@@ -108,6 +135,8 @@ def raw_lines(part: Range, stream) -> Iterator[bytes]:
             first = min(found.values())
             end = first + unit
             if first == len(held):  # no end is left
+                if skipping and begun + len(held) >= part.stop:  # the range lies inside of a line
+                    return
                 break
             if first == found[back]:
                 if end >= len(held) and not done:  # a last \r waits for what follows
@@ -180,7 +209,7 @@ def counted(part: Range, stream) -> Iterator[pa.RecordBatch]:
 
 
 class TextRanges(DataSource):
-    """Format text_ranges. Options: path, rangeBytes, counting (a row with the number of lines for each range, in place of the lines),
+    """Format text_ranges. Options: path, rangeBytes, taskBytes, counting (a row with the number of lines for each range, in place of the lines),
     wholeCharacters (a character that the end of the sample cuts doesn't speak against UTF-8)."""
 
     @classmethod
@@ -197,7 +226,7 @@ class TextRanges(DataSource):
 def scan_lines(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, whole_characters: bool = False) -> DataFrame:
     """file (relative to the path), line_no (from 1), line (with its end), error."""
     spark.dataSource.register(TextRanges)
-    read = spark.read.format("text_ranges").option("path", path).option("rangeBytes", range_bytes).option("wholeCharacters", str(whole_characters))
+    read = spark.read.format("text_ranges").option("path", path).option("rangeBytes", range_bytes).option("taskBytes", TASK_BYTES).option("wholeCharacters", str(whole_characters))
     before = F.sum("lines").over(Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     # A row for each range; Spark broadcasts the written table where its size allows.
     firsts = written(read.option("counting", "true").load().select("file", "range", F.coalesce(before, F.lit(0)).alias("before")))
