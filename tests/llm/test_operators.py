@@ -668,6 +668,35 @@ def test_jaccard(spark, odd, n, percent, rows, hot, monkeypatch):
         assert sorted(str(tuple(r)) for r in ngram_join.jaccard_groups(df, n, percent).collect()) == brute_groups(texts, n, percent)
 
 
+def test_a_common_line_does_not_multiply_all_sets(spark, monkeypatch):
+    rng, texts, laid = random.Random(11), [], []
+    line = words(rng, 24)
+    for _ in range(150):
+        own = words(rng, 60).split(" ")
+        texts.append((len(texts), f"{line} {' '.join(own)}"))
+        own[30] = "other"
+        texts.append((len(texts), f"{line} {' '.join(own)}"))
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 16)
+    multiply = ngram_join.products
+    monkeypatch.setattr(ngram_join, "products", lambda sets, rows, percent: laid.append(rows.count()) or multiply(sets, rows, percent))
+    got = ngram_join.jaccard_groups(spark.createDataFrame(texts, "doc_id long, text string"), 5, 80).collect()
+    assert sorted(str(tuple(r)) for r in got) == brute_groups(texts, 5, 80)
+    assert sum(laid) <= 2 * len(texts)
+
+
+def test_prefixes_share_an_ngram_of_linked_sets():
+    rng = np.random.Generator(np.random.PCG64(3))
+    for percent in (50, 80, 90):
+        for _ in range(300):
+            base = rng.permutation(60)[: rng.integers(1, 60)].astype(np.uint64)
+            a, b = base[rng.random(len(base)) < 0.95], np.concatenate([base[rng.random(len(base)) < 0.95], 60 + rng.permutation(4)[: rng.integers(0, 4)].astype(np.uint64)])
+            both = len(np.intersect1d(a, b))
+            if both and 100 * both >= percent * (len(a) + len(b) - both):
+                name = np.concatenate([a, b])
+                kept = ngram_join.prefixes(np.array([len(a), len(b)]), name, 2 + rng.integers(0, 5, 64)[name.astype(int)], percent)
+                assert np.intersect1d(a[kept[: len(a)]], b[kept[len(a) :]]).size
+
+
 def test_jaccard_query(spark):
     assert sorted(map(str, rows_of(spark, "op9_jaccard", SF, "doc_id", "n_shingles", "component_id"))) == brute_groups(texts_of(SF), 3, 90)
 

@@ -4,7 +4,10 @@ Documents with equal sets are one class. A partner of a set lacks few of its n-g
 document has can have none: a fixed share of all n-grams, chosen by hash, is counted over all documents, and sets with too many
 lone ones leave. All n-grams of the others are counted, for each set once, and again sets leave, PEELED times. Of those that stay, sets of similar size that reach the threshold differ in at most d n-grams; when the columns of the
 incidence matrix are dealt to more than d bundles by a hash, some bundles have the same n-grams in both, and equal bundles
-give candidate groups. Inside a group blocks of documents are multiplied as sparse document by n-gram matrices,
+give candidate groups. Sets that share little, such as one common line, often have some small bundle in common, and in large corpora
+that joins most candidates to one group. So groups of several blocks are cut again: of two linked sets that list their n-grams from the
+rarest in the group on, each has one of the common ones so early that the rest could not reach the threshold; only sets that
+share an n-gram up to there stay together. Inside a group blocks of documents are multiplied as sparse document by n-gram matrices,
 one block of columns after the other; overlap counts add up, and pairs whose overlap stays below the bound that their
 sizes give are discarded. Blocks return spanning forests, so no list of all pairs exists anywhere. In a group of several blocks the
 first block is multiplied with all others; what that links is cut into blocks of its own, which need no products with each
@@ -270,25 +273,22 @@ def local_bucket(part: int, number: int, buckets: int) -> int:
     return -1 - (part * 7919 + number) % buckets
 
 
-def bundle_edges(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """Edges between sets with an equal bundle."""
+def sent(name: np.ndarray, cid: np.ndarray, local: int, buckets: int) -> list[pa.Array]:
+    """bucket, packed: what a slice tells of its (name, set) pairs. The links that it has inside of itself go to the bucket `local`."""
+    entries = np.empty(len(name), PAIR)
+    entries["name"], entries["cid"] = name, cid
+    entries = entries[np.argsort(name, kind="stable")]
+    name, cid = entries["name"], entries["cid"]
+    new = np.ones(len(name), bool)
+    new[1:] = name[1:] != name[:-1]
+    u, v = forest(cid[1:][~new[1:]], cid[:-1][~new[1:]])
+    entries = entries[new]  # a name that a slice has several times travels once
+    cut = [(k, packed(entries[at])) for k, at in by_range(entries["name"], buckets)] + ([(local, packed(np.concatenate([u, v])))] if len(u) else [])
+    return [pa.array([k for k, _ in cut], pa.int32()), pa.array([x for _, x in cut], pa.binary())]
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        for number, batch in enumerate(sliced(batches, "grams")):
-            each = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("grams")]
-            size = np.array([len(x) for x in each], np.int64)
-            doc, name = bundle_names(np.repeat(np.arange(len(each)), size), np.concatenate(each), size, percent)
-            entries = np.empty(len(name), PAIR)
-            entries["name"], entries["cid"] = name, batch.column("cid").to_numpy()[doc]
-            entries = entries[np.argsort(name, kind="stable")]
-            name, cid = entries["name"], entries["cid"]
-            new = np.ones(len(name), bool)
-            new[1:] = name[1:] != name[:-1]
-            u, v = forest(cid[1:][~new[1:]], cid[:-1][~new[1:]])
-            entries = entries[new]  # a bundle that a batch has several times travels once
-            cut = [(k, packed(entries[at])) for k, at in by_range(entries["name"], buckets)] + ([(local_bucket(part, number, buckets), packed(np.concatenate([u, v])))] if len(u) else [])
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in cut], pa.int32()), pa.array([x for _, x in cut], pa.binary())], names=["bucket", "packed"])
+
+def edges_of(rows: DataFrame) -> DataFrame:
+    """The rows of sent() -> u, v: edges between sets with an equal name."""
 
     def meet(group: pa.Table) -> pa.Table:
         blobs = group.column("packed")
@@ -302,7 +302,75 @@ def bundle_edges(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
         u, v = forest(u, v)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return sets.select("cid", "grams").mapInArrow(emit, "bucket int, packed binary").groupBy("bucket").applyInArrow(meet, "u long, v long")
+    return rows.groupBy("bucket").applyInArrow(meet, "u long, v long")
+
+
+def bundle_edges(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """Edges between sets with an equal bundle."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for number, batch in enumerate(sliced(batches, "grams")):
+            each = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("grams")]
+            size = np.array([len(x) for x in each], np.int64)
+            doc, name = bundle_names(np.repeat(np.arange(len(each)), size), np.concatenate(each), size, percent)
+            yield pa.RecordBatch.from_arrays(sent(name, batch.column("cid").to_numpy()[doc], local_bucket(part, number, buckets), buckets), names=["bucket", "packed"])
+
+    return edges_of(sets.select("cid", "grams").mapInArrow(emit, "bucket int, packed binary"))
+
+
+COUNT = np.dtype([("name", "<u8"), ("n", "<u4")])
+
+
+def prefixes(size: np.ndarray, name: np.ndarray, found: np.ndarray, percent: int) -> np.ndarray:
+    """Which n-grams of the sets (size of each, names one set after the other, how many sets have the name) are in their set's
+    prefix: so many of the rarest that a partner lacking all of them would be below the threshold. Names of one set only link nothing."""
+    owner = np.repeat(np.arange(len(size)), size)
+    place = np.empty(len(name), np.int64)
+    place[np.lexsort((name, found, owner))] = np.arange(len(name)) - np.repeat(np.cumsum(size) - size, size)
+    return (place <= size[owner] + (-percent * size // 100)[owner]) & (found > 1)
+
+
+def prefix_edges(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Edges between sets of one group (cid, comp, k) that have an n-gram of their prefixes in common. All sets of a group order n-grams
+    alike, so the first that two linked sets share is in both prefixes."""
+    buckets = int((groups.agg(F.sum("k")).first()[0] or 0) // ENTRIES_PER_BUCKET + 8)
+    placed = groups.select("cid", "comp").dropDuplicates(["cid"])
+    rows = staged(sets.select("cid", "grams").join(placed, "cid").withColumn("slice", F.pmod(F.xxhash64("cid"), F.lit(buckets)).cast("int")))
+
+    def names(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        each = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("grams")]
+        size = np.array([len(x) for x in each], np.int64)
+        return size, mixed(np.concatenate(each) + np.repeat(mixed(group.column("comp").to_numpy().view(np.uint64)), size))
+
+    def emit(group: pa.Table) -> pa.Table:
+        name, n = np.unique(names(group)[1], return_counts=True)
+        entries = np.empty(len(name), COUNT)
+        entries["name"], entries["n"] = name, n
+        cut = [(k, packed(entries[at])) for k, at in by_range(name, buckets)]
+        return pa.table({"bucket": pa.array([k for k, _ in cut], pa.int32()), "slice": pa.array([group.column("slice")[0].as_py()] * len(cut), pa.int32()), "packed": pa.array([x for _, x in cut], pa.binary())})
+
+    def count(group: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x.as_py(), COUNT) for x in group.column("packed")]
+        entries = np.concatenate(parts)
+        _, at = np.unique(entries["name"], return_inverse=True)
+        found = np.bincount(at, entries["n"]).astype(np.uint32)[at]
+        edges = np.cumsum([0] + [len(x) for x in parts])
+        return group.select(["bucket", "slice"]).append_column("packed", pa.array([packed(found[a:b]) for a, b in zip(edges, edges[1:])], pa.binary()))
+
+    def share(group: pa.Table, counts: pa.Table) -> pa.Table:
+        size, name = names(group)
+        blobs = counts.column("packed")
+        found = np.concatenate([np.frombuffer(blobs[k].as_py(), np.uint32) for k in np.argsort(counts.column("bucket").to_numpy()).tolist()])
+        _, at = np.unique(name, return_inverse=True)
+        keep = prefixes(size, name, found[at], percent)
+        cid = np.repeat(group.column("cid").to_numpy(), size)
+        return pa.table(sent(name[keep], cid[keep], -1 - group.column("slice")[0].as_py(), buckets), names=["bucket", "packed"])
+
+    counts = rows.groupBy("slice").applyInArrow(emit, "bucket int, slice int, packed binary").groupBy("bucket").applyInArrow(count, "bucket int, slice int, packed binary")
+    out = staged(edges_of(rows.groupBy("slice").cogroup(counts.groupBy("slice")).applyInArrow(share, "bucket int, packed binary")))
+    dropped(rows)
+    return out
 
 
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -369,11 +437,24 @@ def linked_in_groups(sets: DataFrame, candidates: DataFrame, percent: int) -> Da
     blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("all") / BLOCK_NGRAMS), F.lit(1)).cast("int")
     own = lambda n: F.pmod(F.xxhash64("cid"), n.cast("long")).cast("int")
     pair = lambda i, j, side, alone: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).cast("int").alias("side"), alone.alias("alone"))
+
+    def laid(narrow: DataFrame, total: int) -> DataFrame:
+        sizes = narrow.groupBy("comp").agg(F.count("*").alias("rows"), F.sum("k").alias("all"))
+        return staged(joined(narrow, sizes, ["comp"], "rows", total).select("cid", "comp", "k", blocks.alias("blocks")).withColumn("b", own(F.col("blocks"))))
+
     narrow = staged(sets.select("cid", "k").join(candidates.select(F.col("id").alias("cid"), F.col("component").alias("comp")), "cid"))
     total = narrow.count()
-    sizes = narrow.groupBy("comp").agg(F.count("*").alias("rows"), F.sum("k").alias("all"))
-    placed = staged(joined(narrow, sizes, ["comp"], "rows", total).select("cid", "comp", "k", blocks.alias("blocks")).withColumn("b", own(F.col("blocks"))))
+    placed = laid(narrow, total)
     dropped(narrow)
+    large = placed.filter("blocks > 1")
+    if not large.isEmpty():
+        edges = prefix_edges(sets, large, percent)
+        closer = components(edges).select(F.col("id").alias("cid"), F.col("component").alias("comp"))
+        narrow = staged(placed.filter("blocks = 1").select("cid", "comp", "k").unionByName(large.select("cid", "k").join(closer, "cid").select("cid", "comp", "k")))
+        dropped(edges, placed)
+        total = narrow.count()
+        placed = laid(narrow, total)
+        dropped(narrow)
     zero, no = F.lit(0), F.lit(False)
     first = F.when(F.col("b") == 0, F.transform(F.sequence(zero, F.col("blocks") - 1), lambda j: pair(zero, j, 0, j == 0))).otherwise(F.array(pair(zero, F.col("b"), 1, no)))
     links = products(sets, placed.select("cid", "comp", F.explode(first).alias("p")).select("cid", "comp", "p.*"), percent)
