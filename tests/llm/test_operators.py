@@ -677,6 +677,7 @@ def test_a_common_line_does_not_multiply_all_sets(spark, monkeypatch):
         own[30] = "other"
         texts.append((len(texts), f"{line} {' '.join(own)}"))
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(ngram_join, "WHOLE_BLOCKS", 1, raising=False)
     multiply = ngram_join.products
     monkeypatch.setattr(ngram_join, "products", lambda sets, rows, percent: laid.append(rows.count()) or multiply(sets, rows, percent))
     got = ngram_join.jaccard_groups(spark.createDataFrame(texts, "doc_id long, text string"), 5, 80).collect()

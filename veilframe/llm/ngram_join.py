@@ -5,7 +5,7 @@ document has can have none: a fixed share of all n-grams, chosen by hash, is cou
 lone ones leave. All n-grams of the others are counted, for each set once, and again sets leave, PEELED times. Of those that stay, sets of similar size that reach the threshold differ in at most d n-grams; when the columns of the
 incidence matrix are dealt to more than d bundles by a hash, some bundles have the same n-grams in both, and equal bundles
 give candidate groups. Sets that share little, such as one common line, often have some small bundle in common, and in large corpora
-that joins most candidates to one group. So groups of several blocks are cut again: of two linked sets that list their n-grams from the
+that joins most candidates to one group. So groups of many blocks are cut again: of two linked sets that list their n-grams from the
 rarest in the group on, each has one of the common ones so early that the rest could not reach the threshold; only sets that
 share an n-gram up to there stay together. Inside a group blocks of documents are multiplied as sparse document by n-gram matrices,
 one block of columns after the other; overlap counts add up, and pairs whose overlap stays below the bound that their
@@ -34,6 +34,7 @@ from .components import components, forest, joined
 ENTRIES_PER_BUCKET = 250_000
 PEELED = 1  # rounds in which sets with too many lone n-grams leave
 BLOCK_ROWS, BLOCK_NGRAMS, COLUMNS = 512, 1 << 19, 2048
+WHOLE_BLOCKS = 8  # groups of more blocks are cut by prefixes before blocks are multiplied; for others that takes longer
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
@@ -446,11 +447,11 @@ def linked_in_groups(sets: DataFrame, candidates: DataFrame, percent: int) -> Da
     total = narrow.count()
     placed = laid(narrow, total)
     dropped(narrow)
-    large = placed.filter("blocks > 1")
+    large = placed.filter(F.col("blocks") > WHOLE_BLOCKS)
     if not large.isEmpty():
         edges = prefix_edges(sets, large, percent)
         closer = components(edges).select(F.col("id").alias("cid"), F.col("component").alias("comp"))
-        narrow = staged(placed.filter("blocks = 1").select("cid", "comp", "k").unionByName(large.select("cid", "k").join(closer, "cid").select("cid", "comp", "k")))
+        narrow = staged(placed.filter(F.col("blocks") <= WHOLE_BLOCKS).select("cid", "comp", "k").unionByName(large.select("cid", "k").join(closer, "cid").select("cid", "comp", "k")))
         dropped(edges, placed)
         total = narrow.count()
         placed = laid(narrow, total)
